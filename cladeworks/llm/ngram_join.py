@@ -16,11 +16,11 @@ it sees three times or more; a different choice changes the cost but no
 result.  At most ``MAX_FREQUENT`` of them, the most frequent, are broadcast.
 
 Only classes of linked documents are asked for, so lists are not expanded into
-pairs at once.  First each list ties its sets to one pivot; those pairs are
-verified on whole texts, and sets tied to the same pivot get one label.  Then
-only pairs of different labels are looked at.  Two linked sets share so many of
-their first shingles that counting common lists rejects nearly all others:
-short lists give pairs whose counts are summed, lists of more than
+pairs at once.  First each list ties its sets to one pivot.  Two linked sets
+share so many of their first shingles that counting common lists rejects nearly
+all others.  The ties that pass are verified on whole texts, and sets tied to
+the same pivot get one label.  Then only pairs of different labels are looked
+at, with the same count: short lists give pairs whose counts are summed, lists of more than
 ``LONG_LIST`` sets are cut into blocks of bounded size, and each task compares
 two blocks by one matrix product.  What passes is verified on whole texts.
 No pair is given up for cost.
@@ -423,14 +423,12 @@ def _block_pairs(percent: int):
     return run
 
 
-def _long_pairs(lists: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+def _long_pairs(tokens: DataFrame, long: DataFrame, percent: int) -> DataFrame:
     """Candidates among ``long``, the rows with labels of lists of more than LONG_LIST sets."""
     by_label = long.groupBy("gid", "label").count()
     plan = by_label.groupBy("gid").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("total")).filter("labels > 1")
     plan = materialize(plan.select("gid", "major", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most") / BLOCK).cast("int").alias("majors")), "plan")
     rows = materialize(long.join(broadcast_if_small(plan, 500_000), "gid"), "long")
-    keys = materialize(rows.select("key").distinct(), "long_keys")
-    tokens = lists.filter("not subset").join(broadcast_if_small(keys), "key").groupBy("key").agg(F.collect_list("gid").alias("tokens"), F.collect_list(F.when(F.col("size") > LONG_LIST, F.col("gid"))).alias("long"))
     out = F.col("label") != F.col("major")
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.when(out, F.col("others")).otherwise(F.col("majors"))).cast("int"))
     # Cells: two blocks of minor labels, or one of those and a block of the major label.
@@ -443,10 +441,24 @@ def _long_pairs(lists: DataFrame, long: DataFrame, percent: int) -> DataFrame:
     )
     major = F.transform(count("others"), lambda i: cell(i, "m", F.col("block"), 1))
     dealt = blocks.withColumn("at", F.explode(F.when(out, minor).otherwise(major))).select("gid", "at.cell", "at.side", "key", "n", "label")
-    full = dealt.join(materialize(tokens, "tokens"), "key").repartition("gid", "cell").sortWithinPartitions("gid", "cell")
+    full = dealt.join(tokens.select("key", "tokens", "long"), "key").repartition("gid", "cell").sortWithinPartitions("gid", "cell")
     return full.select("gid", "cell", "side", "key", "n", "label", "tokens", "long").mapInArrow(_block_pairs(percent), _PAIRS).dropDuplicates(["a", "b"])
 
 
+def _likely(lists: str, n_a: str, n_b: str, percent: int):
+    """``_enough`` as a column."""
+    rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+    least = F.ceil(F.lit(percent) * (F.col(n_a) + F.col(n_b)) / (100 + percent))
+    return F.col(lists) + F.greatest(rest(n_a), rest(n_b)) >= least
+
+
+def _likely_ties(ties: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Ties by a shared subset, and those whose sets share enough lists."""
+    side = lambda c: tokens.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
+    open_ = ties.filter("not sure").join(side("a"), "a").join(side("b"), "b").withColumn("lists", F.size(F.array_intersect("t_a", "t_b")))
+    return ties.filter("sure").select("a", "b").union(open_.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b"))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``(id, component)``: the least id that is reachable over ``links (a, b)``, for every id in a link.
 
@@ -485,8 +497,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     blobs = docs.mapInArrow(_postings(width, percent, small, buckets, shipped), "bucket long, blob binary")
     lists = materialize(blobs.repartition(buckets, "bucket").mapInArrow(_lists(percent), _LISTS), "lists")
 
-    ties = materialize(lists.filter("pivot is not null").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct(), "ties")
-    first = verified(docs, ties, classes, width, percent)
+    tokens = lists.filter("not subset").groupBy("key").agg(F.first("n").alias("n"), F.collect_list("gid").alias("tokens"), F.collect_list(F.when(F.col("size") > LONG_LIST, F.col("gid"))).alias("long"))
+    tokens = materialize(tokens, "tokens")
+    ties = lists.filter("pivot is not null").groupBy(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).agg(F.max("subset").alias("sure"))
+    ties = materialize(ties, "ties")
+    first = verified(docs, materialize(_likely_ties(ties, tokens, percent), "likely_ties"), classes, width, percent)
     by_rep = classes.select(F.col("rep"), F.col("k1").alias("key"))
     near = first.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("rep"), F.col("m").alias("label"))
     step = near.join(near.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
@@ -496,11 +511,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     labelled = lists.filter("not subset").join(broadcast_if_small(labels), "key", "left").select("gid", "key", "n", F.coalesce(F.col("label"), F.col("key")).alias("label"), "size")
     short = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition("gid").mapInArrow(_short_pairs(percent), _PAIRS)
     counted = short.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("lists").alias("lists"))
-    whole = lambda n: n - F.ceil(F.lit(percent) * n / 100) + 1
-    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    likely = counted.filter(F.col("lists") + F.greatest(F.col("n_a") - whole(F.col("n_a")), F.col("n_b") - whole(F.col("n_b"))) >= least)
-    long = _long_pairs(lists, materialize(labelled.filter(F.col("size") > LONG_LIST), "long_lists"), percent)
-    fresh = materialize(likely.select("a", "b").union(long.select("a", "b")).distinct().join(ties, ["a", "b"], "left_anti"), "fresh")
+    likely = counted.filter(_likely("lists", "n_a", "n_b", percent))
+    long = _long_pairs(tokens, materialize(labelled.filter(F.col("size") > LONG_LIST), "long_lists"), percent)
+    fresh = materialize(likely.select("a", "b").union(long.select("a", "b")).distinct().join(ties.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
     second = verified(docs, fresh, classes, width, percent)
 
     components = connected(first.union(second))
