@@ -12,18 +12,19 @@ choose) enumerate, for every partner size, their subsets of exactly
 last, and each set enters the lists of its first
 ``n - ceil(J n) + 1`` shingles, which two linked sets must share one of.  The
 frequent shingles come from counts that every partition makes of the shingles
-it sees three times or more; a different choice changes the cost but no
+it sees twice or more; a different choice changes the cost but no
 result.  At most ``MAX_FREQUENT`` of them, the most frequent, are broadcast.
 
 Only classes of linked documents are asked for, so lists are not expanded into
 pairs at once.  First each list ties its sets to one pivot.  Two linked sets
 share so many of their first shingles that counting common lists rejects nearly
-all others.  The ties that pass are verified on whole texts, and sets tied to
-the same pivot get one label.  Then only pairs of different labels are looked
+all others.  The ties that pass are verified on whole texts, and sets that they
+connect get one label.  Then only pairs of different labels are looked
 at, with the same count: short lists give pairs whose counts are summed, lists of more than
 ``LONG_LIST`` sets are cut into blocks of bounded size, and each task compares
-two blocks by one matrix product.  What passes is verified on whole texts.
-No pair is given up for cost.
+two blocks by one matrix product.  Of what passes each set's best candidate is
+verified first, then every pair whose sets are still apart.  No pair is given
+up for cost.
 
 Null and empty texts and texts without words have no shingles and link with
 nothing.  Rows whose ``doc_id`` is null have no component.  Repeated rows are
@@ -46,12 +47,12 @@ from .words import mix64, shingle_sets
 
 WIDTH = 5
 PERCENT = 75
-FREQUENT = 64
+FREQUENT = 8
 MAX_FREQUENT = 1_000_000
 LONG_LIST = 64
 BLOCK = 512
 MAX_SMALL = 12
-_LOCAL_FREQUENT = 3
+_LOCAL_FREQUENT = 2
 _POSTINGS_A_TASK = 1_500_000
 _SLICE_ROWS = 512
 _SUBSET, _SAME = np.uint32(1 << 31), np.uint32(1 << 30)
@@ -459,6 +460,11 @@ def _likely_ties(ties: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return ties.filter("sure").select("a", "b").union(open_.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b"))
 
 
+def _labels(components: DataFrame, by_rep: DataFrame) -> DataFrame:
+    """The component of each set that is in one, by the set's key."""
+    return materialize(components.join(by_rep, components["id"] == by_rep["rep"]).groupBy("key").agg(F.min("component").alias("label")), "labels")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """``(id, component)``: the least id that is reachable over ``links (a, b)``, for every id in a link.
 
@@ -503,20 +509,28 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     ties = materialize(ties, "ties")
     first = verified(docs, materialize(_likely_ties(ties, tokens, percent), "likely_ties"), classes, width, percent)
     by_rep = classes.select(F.col("rep"), F.col("k1").alias("key"))
-    near = first.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("rep"), F.col("m").alias("label"))
-    step = near.join(near.select(F.col("rep").alias("label"), F.col("label").alias("next")), "label", "left").select("rep", F.coalesce("next", "label").alias("label"))
-    heads = first.select(F.col("a").alias("rep")).distinct().join(step.select("rep"), "rep", "left_anti").select("rep", F.col("rep").alias("label"))
-    labels = materialize(step.union(heads).join(by_rep, "rep").groupBy("key").agg(F.min("label").alias("label")), "labels")
+    tied = connected(first)
+    labels = _labels(tied, by_rep)
 
     labelled = lists.filter("not subset").join(broadcast_if_small(labels), "key", "left").select("gid", "key", "n", F.coalesce(F.col("label"), F.col("key")).alias("label"), "size")
     short = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition("gid").mapInArrow(_short_pairs(percent), _PAIRS)
     counted = short.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("lists").alias("lists"))
     likely = counted.filter(_likely("lists", "n_a", "n_b", percent))
     long = _long_pairs(tokens, materialize(labelled.filter(F.col("size") > LONG_LIST), "long_lists"), percent)
-    fresh = materialize(likely.select("a", "b").union(long.select("a", "b")).distinct().join(ties.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-    second = verified(docs, fresh, classes, width, percent)
-
-    components = connected(first.union(second))
+    fresh = likely.select("a", "b", "lists").union(long.select("a", "b", "lists")).groupBy("a", "b").agg(F.max("lists").alias("lists"))
+    fresh = materialize(fresh.join(ties.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
+    # Each set's best candidate first; what those links connect need not be compared again.
+    either = fresh.select(F.col("a").alias("x"), "a", "b", "lists").union(fresh.select("b", "a", "b", "lists"))
+    best = materialize(either.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("lists", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "best")
+    second = verified(docs, best, classes, width, percent)
+    tied = connected(tied.toDF("a", "b").union(second))
+    labels = _labels(tied, by_rep)
+    side = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
+    apart = ~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))
+    rest = fresh.select("a", "b").join(best, ["a", "b"], "left_anti").join(broadcast_if_small(side("a")), "a", "left").join(broadcast_if_small(side("b")), "b", "left").filter(apart)
+    third = verified(docs, materialize(rest.select("a", "b"), "rest"), classes, width, percent)
+
+    components = connected(tied.toDF("a", "b").union(third))
     of_class = materialize(classes.join(components, F.col("rep") == F.col("id"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")), "components")
     return rows.join(of_class, ["k1", "k2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
