@@ -22,9 +22,10 @@ all others.  The ties that pass are verified on whole texts, and sets that they
 connect get one label.  Then only pairs of different labels are looked
 at, with the same count: short lists give pairs whose counts are summed, lists of more than
 ``LONG_LIST`` sets are cut into blocks of bounded size, and each task compares
-two blocks by one matrix product.  Of what passes each set's best candidate is
-verified first, then every pair whose sets are still apart.  No pair is given
-up for cost.
+two blocks by one matrix product.  A first pass over the blocks takes only the
+``NEAREST`` candidates of each set in each list, and its best one of all short lists; these are
+verified and connected.  A second pass takes every pair whose sets are still
+apart, and all of those are verified.  No pair is given up for cost.
 
 Null and empty texts and texts without words have no shingles and link with
 nothing.  Rows whose ``doc_id`` is null have no component.  Repeated rows are
@@ -52,6 +53,7 @@ MAX_FREQUENT = 1_000_000
 LONG_LIST = 64
 BLOCK = 512
 MAX_SMALL = 12
+NEAREST = 1
 _LOCAL_FREQUENT = 2
 _POSTINGS_A_TASK = 1_500_000
 _SLICE_ROWS = 512
@@ -371,8 +373,20 @@ def _enough(lists, n_a, n_b, percent: int, greatest):
     return lists + rest >= need(n_a, n_b, percent)
 
 
-def _block_pairs(percent: int):
-    """Pairs of different labels of two blocks of one long list, each pair in the first long list that holds both."""
+def _nearest(score: np.ndarray, ok: np.ndarray, nearest: int) -> np.ndarray:
+    """Of ``ok`` the entries that are among the largest of their row."""
+    score = np.where(ok, score, -1.0)
+    top = np.argsort(-score, axis=1, kind="stable")[:, :nearest]
+    out = np.zeros_like(ok)
+    np.put_along_axis(out, top, True, axis=1)
+    return out & ok
+
+
+def _block_pairs(percent: int, nearest: int | None):
+    """Pairs of different labels of two blocks of one long list, each pair in the first long list that holds both.
+
+    With ``nearest`` only so many for each set outside the list's major label, from every list.
+    """
 
     def compare(rows):
         left = [r for r in rows if r["side"] == 0]
@@ -395,13 +409,20 @@ def _block_pairs(percent: int):
         ll, lr = np.array([r["label"] for r in left])[:, None], np.array([r["label"] for r in right])[None, :]
         low, high = np.minimum(nl, nr), np.maximum(nl, nr)
         ok = (ll != lr) & (need(low, high, percent) <= low) & _enough(common, nl, nr, percent, np.maximum)
+        if nearest:
+            # Counts that differ little say little; each list takes others of them, so that its choices add to those of the rest.
+            kl, kr = (np.array([r["key"] for r in side], np.int64).view(np.uint64) for side in (left, right))
+            mixed = mix64(mix64(kl)[:, None] ^ mix64(kr)[None, :] ^ np.uint64(rows[0]["gid"] & (2**64 - 1)))
+            score = common * (1 + (mixed >> np.uint64(11)) / 2.0**53 / 4)
+            rows_of = _nearest(score, ok, nearest)
+            ok = rows_of if rows[0]["cell"].split(",")[1] == "m" else rows_of | _nearest(score.T, ok.T, nearest).T
         if within:
             ok &= np.triu(np.ones_like(ok), 1)
         out = []
         gid = rows[0]["gid"]
         for i, j in zip(*np.nonzero(ok), strict=True):
             p, q = left[i], right[j]
-            if gid == min(set(p["long"]) & set(q["long"])):
+            if nearest or gid == min(set(p["long"]) & set(q["long"])):
                 if p["key"] > q["key"]:
                     p, q = q, p
                 out.append((p["key"], q["key"], p["n"], q["n"], int(common[i, j])))
@@ -424,8 +445,8 @@ def _block_pairs(percent: int):
     return run
 
 
-def _long_pairs(tokens: DataFrame, long: DataFrame, percent: int) -> DataFrame:
-    """Candidates among ``long``, the rows with labels of lists of more than LONG_LIST sets."""
+def _long_pairs(tokens: DataFrame, long: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
+    """Candidates among ``long``, the rows with labels of lists of more than LONG_LIST sets; with ``nearest`` the first of each set."""
     by_label = long.groupBy("gid", "label").count()
     plan = by_label.groupBy("gid").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("total")).filter("labels > 1")
     plan = materialize(plan.select("gid", "major", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most") / BLOCK).cast("int").alias("majors")), "plan")
@@ -443,7 +464,7 @@ def _long_pairs(tokens: DataFrame, long: DataFrame, percent: int) -> DataFrame:
     major = F.transform(count("others"), lambda i: cell(i, "m", F.col("block"), 1))
     dealt = blocks.withColumn("at", F.explode(F.when(out, minor).otherwise(major))).select("gid", "at.cell", "at.side", "key", "n", "label")
     full = dealt.join(tokens.select("key", "tokens", "long"), "key").repartition("gid", "cell").sortWithinPartitions("gid", "cell")
-    return full.select("gid", "cell", "side", "key", "n", "label", "tokens", "long").mapInArrow(_block_pairs(percent), _PAIRS).dropDuplicates(["a", "b"])
+    return full.select("gid", "cell", "side", "key", "n", "label", "tokens", "long").mapInArrow(_block_pairs(percent, nearest), _PAIRS).dropDuplicates(["a", "b"])
 
 
 def _likely(lists: str, n_a: str, n_b: str, percent: int):
@@ -513,22 +534,27 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     labels = _labels(tied, by_rep)
 
     labelled = lists.filter("not subset").join(broadcast_if_small(labels), "key", "left").select("gid", "key", "n", F.coalesce(F.col("label"), F.col("key")).alias("label"), "size")
-    short = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition("gid").mapInArrow(_short_pairs(percent), _PAIRS)
-    counted = short.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("lists").alias("lists"))
-    likely = counted.filter(_likely("lists", "n_a", "n_b", percent))
-    long = _long_pairs(tokens, materialize(labelled.filter(F.col("size") > LONG_LIST), "long_lists"), percent)
-    fresh = likely.select("a", "b", "lists").union(long.select("a", "b", "lists")).groupBy("a", "b").agg(F.max("lists").alias("lists"))
-    fresh = materialize(fresh.join(ties.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-    # Each set's best candidate first; what those links connect need not be compared again.
-    either = fresh.select(F.col("a").alias("x"), "a", "b", "lists").union(fresh.select("b", "a", "b", "lists"))
-    best = materialize(either.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("lists", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "best")
+    pairs = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition("gid").mapInArrow(_short_pairs(percent), _PAIRS)
+    counted = pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("lists").alias("lists"))
+    untied = ties.select("a", "b")
+    short = materialize(counted.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b", "lists").join(untied, ["a", "b"], "left_anti"), "short")
+    # The best candidates first: a set that they attach to a label is not compared with all the others of it.
+    either = short.select(F.col("a").alias("x"), "a", "b", "lists").union(short.select("b", "a", "b", "lists"))
+    best = either.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("lists", "a", "b")).alias("p")).select("p.a", "p.b")
+    listed = materialize(labelled.filter(F.col("size") > LONG_LIST), "long_lists")
+    near = _long_pairs(tokens, listed, percent, NEAREST).select("a", "b").join(untied, ["a", "b"], "left_anti")
+    best = materialize(best.union(near).distinct(), "best")
     second = verified(docs, best, classes, width, percent)
     tied = connected(tied.toDF("a", "b").union(second))
     labels = _labels(tied, by_rep)
+
+    again = listed.drop("label").join(broadcast_if_small(labels), "key", "left").withColumn("label", F.coalesce(F.col("label"), F.col("key")))
     side = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
     apart = ~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))
-    rest = fresh.select("a", "b").join(best, ["a", "b"], "left_anti").join(broadcast_if_small(side("a")), "a", "left").join(broadcast_if_small(side("b")), "b", "left").filter(apart)
-    third = verified(docs, materialize(rest.select("a", "b"), "rest"), classes, width, percent)
+    open_ = short.join(broadcast_if_small(side("a")), "a", "left").join(broadcast_if_small(side("b")), "b", "left").filter(apart).select("a", "b")
+    long = _long_pairs(tokens, materialize(again, "relabelled"), percent).select("a", "b")
+    rest = open_.union(long).distinct().join(untied.union(best), ["a", "b"], "left_anti")
+    third = verified(docs, materialize(rest, "rest"), classes, width, percent)
 
     components = connected(tied.toDF("a", "b").union(third))
     of_class = materialize(classes.join(components, F.col("rep") == F.col("id"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")), "components")
