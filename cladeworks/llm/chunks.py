@@ -16,13 +16,13 @@ import numpy as np
 
 from .words import segment_hashes
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 class ChunkTable:
     """Ids of the chunks met so far."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 700_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 200_000):
         self.encode, self.most = encode, most
         self._clear()
 
