@@ -37,7 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixture", mixture), ("tokens", tokens)]
-#: Language identification and tokenization are no SQL. The operators have their own tests; one of the whole pipeline is open.
+#: Language identification and tokenization are no SQL; tests/llm/test_pipeline.py holds the stages against a brute-force version.
 ORACLE_SQL = None
 
 
