@@ -95,34 +95,46 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return materialize(out, "thresholds")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken`` and ``times``, how often the mix takes it."""
+def _plan(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """``(_s, source_size, target, whole, threshold)``, one row per source of ``rows (source, position, size)``."""
     if most > 2:
         raise ValueError("a row is taken twice at most")
-    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(F.col("doc_id"), seed).alias("position")), "sizes")
     plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budgets = plan.withColumn("whole", whole.cast("int")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = thresholds(rows, budgets)
-    side = materialize(
+    return materialize(
         budgets.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold"), "plan"
     )
-    times = F.col("whole") + F.when(F.col("position") < F.col("threshold"), 1).otherwise(0)
+
+
+def _sizes(docs: DataFrame, seed: str) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(F.col("doc_id"), seed).alias("position")), "sizes")
+
+
+def _times(place: Column) -> Column:
+    return (F.col("whole") + F.when(place < F.col("threshold"), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, source, size, source_size, target, taken`` and ``times``, how often the mix takes it."""
+    rows = _sizes(docs, seed)
+    side = broadcast_if_small(_plan(rows, weights, share, most), 100_000)
+    times = _times(F.col("position"))
     return (
-        rows.join(broadcast_if_small(side, 100_000), F.col("source").eqNullSafe(F.col("_s")))
-        .select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"))
+        rows.join(side, F.col("source").eqNullSafe(F.col("_s")))
+        .select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.alias("times"))
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "") -> DataFrame:
     """The rows of ``docs`` that the mix takes, those taken twice in two copies, with the columns of ``docs``.
 
+    A row's position follows from its identifier, so it meets only the table of
+    sources: texts are read and filtered where they lie, without a shuffle.
     A row without words has size 0 and goes with the rows around its position.
     """
-    rows = docs.select("*", F.col("doc_id").alias("_id"))
-    seed = options.get("seed", "")
-    chosen = materialize(mix(docs, **options).groupBy("doc_id", "source").agg(F.max("times").alias("times")), "times")
-    side = broadcast_if_small(chosen.filter("times != 1").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "times"))
-    del seed
-    joined = rows.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")), "left")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(2)))).filter(F.col("_copy") <= F.coalesce("times", F.lit(1))).select(*docs.columns)
+    side = broadcast_if_small(_plan(_sizes(docs, seed), weights, share, most), 100_000)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_source"), position(F.col("doc_id"), seed).alias("_position"))
+    joined = rows.join(side, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_times", _times(F.col("_position")))
+    return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

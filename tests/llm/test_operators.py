@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cladeworks.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, queries, sentence_pieces, token_planes, url_filter, warc
 from cladeworks.llm.queries import tokenizer_path
@@ -464,3 +465,13 @@ def test_larger_mixes_contain_smaller_ones(spark):
     small = {r.doc_id: r.taken for r in mixing.mix(documents(spark), share=0.5).collect()}
     large = {r.doc_id: r.taken for r in mixing.mix(documents(spark), share=1.2).collect()}
     assert all(large[d] >= t for d, t in small.items())
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    df = documents(spark)
+    for name in ("_row", "_s", "_times", "_copy", "whole", "threshold", "target", "times"):
+        df = df.withColumn(name, F.col("doc_id"))
+    times = {r.doc_id: r.times for r in mixing.mix(df).collect()}
+    rows = mixing.mixed(df).collect()
+    assert {k: n for k, n in times.items() if n} == Counter(r.doc_id for r in rows)
+    assert all(r["times"] == r["whole"] == r["_row"] == r.doc_id for r in rows)
