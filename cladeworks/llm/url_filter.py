@@ -10,13 +10,14 @@ the same digest are compared too, so collisions cannot decide.
 
 Of the rules that fit the one with the longest text decides, then the one with
 the longest host.  A URL without a fitting rule is looked up in a second
-index of the same kind, the block list, and allowed if that has nothing.  Null
-URLs and those without ``://`` have an empty host and path and are allowed.
+index of the same kind, the block list (``blocked_hosts.txt`` unless another is
+given), and allowed if that has nothing.  Null URLs and those without ``://`` have an empty host and path and are allowed.
 """
 
 from __future__ import annotations
 
 import os
+import pkgutil
 import tempfile
 
 import numpy as np
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 
 #: The rules of the contract: (rule, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
+
+
+def read_hosts(text: str) -> tuple[str, ...]:
+    """The hosts of a block list, one a line, as rules; blank lines and those with ``#`` in front do not count."""
+    return tuple(f"{x}/" for x in map(str.strip, text.splitlines()) if x and not x.startswith("#"))
+
+
 #: Hosts, with their subdomains, that the shipped block list names.
-BLOCKED_HOSTS = (
-    "ads-track.example.com/", "casino-win.example.net/", "spam-farm.example.org/",
-    "adult-x.example.com/", "cheap-pills.example.net/", "free-bets.example.net/", "adult-x.example.net/",
-)
+BLOCKED_HOSTS = read_hosts(pkgutil.get_data(__package__, "blocked_hosts.txt").decode())
 _MAGIC = b"UDA1"
 
 

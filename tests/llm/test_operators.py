@@ -189,6 +189,19 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_block_list_covers_its_sites_under_every_suffix(spark):
+    names = ("ads-track", "casino-win", "spam-farm", "adult-x", "cheap-pills", "free-bets")
+    bad = [f"http://{sub}{name}.example.{top}{end}" for name in names for top in ("com", "net", "org") for sub in ("", "www.", "m.", "blog.") for end in ("", "?q")]
+    fine = ["http://notspam-farm.example.net", "http://spam-farm.example.net.other.test/", "http://example.com/", "http://farm.example.org"]
+    df = spark.createDataFrame([(u,) for u in bad + fine], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
+    assert {got[u] for u in bad} == {(None, "block")}
+    assert {got[u][1] for u in fine} == {"allow"}
+    pages = url_filter.judge_urls(spark.read.parquet(f"{SF}/pages.parquet").select("url")).filter("rule is null").collect()
+    on_sites = [r.verdict for r in pages if any(re.search(rf"(^|\.){n}\.", r.host) for n in names)]
+    assert on_sites and set(on_sites) == {"block"}
+
+
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     import xxhash
 
