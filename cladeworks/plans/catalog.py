@@ -204,7 +204,7 @@ def local_matcher(spark, d):
 
     groups = _groups(spark, d)
     asked = ladder.lookups(ladder.rungs(groups))
-    taxa = V.taxa(spark, d).withColumn("source_id", F.lit(11)).groupBy("source_id", "canonicalName", "taxonRank").agg(F.min("taxonID").alias("taxonID"), F.first("taxonomicStatus").alias("taxonomicStatus"), F.min("family").alias("family"), F.min("genus").alias("genus"))
+    taxa = V.taxa(spark, d).withColumn("source_id", F.lit(11))
     return match_locally(asked, taxa).select("term", "source_id", "response.matchType", F.size("response.results").alias("n"))
 
 

@@ -64,12 +64,37 @@ def program_responses(lookups: DataFrame, program: str, batch: int = BATCH, **op
     return parse_responses(rows).filter("response is not null").select("term", "source_id", "response")
 
 
+def _pieces(name: str, most_edits: int) -> str:
+    """Keys of a stored name in SQL: its length, and each of ``most_edits + 1`` consecutive parts with its number."""
+    n, k = f"length({name})", most_edits
+    at = f"cast(i * {n} div {k + 1} as int)"
+    return f"transform(sequence(0, {k}), i -> named_struct('n', {n}, 'i', i, 'piece', substring({name}, {at} + 1, cast((i + 1) * {n} div {k + 1} as int) - {at})))"
+
+
+def _probes(term: str, most_edits: int) -> str:
+    """Keys that a name within ``most_edits`` edits of a term can have: edits leave one of its parts whole and move it by as many places at most."""
+    m, k = f"length({term})", most_edits
+    at, size = f"cast(i * n div {k + 1} as int) + s", f"(cast((i + 1) * n div {k + 1} as int) - cast(i * n div {k + 1} as int))"
+    piece = f"case when {at} between 0 and {m} - {size} then substring({term}, {at} + 1, {size}) end"
+    keys = f"transform(sequence(-{k}, {k}), s -> named_struct('n', n, 'i', i, 'piece', {piece}))"
+    of_length = f"flatten(transform(sequence(0, {k}), i -> {keys}))"
+    return f"filter(array_distinct(flatten(transform(sequence(greatest(0, {m} - {k}), {m} + {k}), n -> {of_length}))), x -> x.piece is not null)"
+
+
+def near_names(terms: DataFrame, names: DataFrame, most_edits: int = 2) -> DataFrame:
+    """``source_id, term, canonical, edits`` for every different name of ``names (source_id, canonical)`` within 1 to ``most_edits`` edits of a term."""
+    stored = names.select("source_id", "canonical").distinct().withColumn("key", F.explode(F.expr(_pieces("canonical", most_edits)))).select("source_id", "canonical", "key.*")
+    asked = terms.select("source_id", "term").distinct().withColumn("key", F.explode(F.expr(_probes("term", most_edits)))).select("source_id", "term", "key.*")
+    pairs = asked.join(stored, ["source_id", "n", "i", "piece"]).withColumn("edits", F.levenshtein("term", "canonical", most_edits))
+    return pairs.filter(F.col("edits").between(1, most_edits)).select("source_id", "term", "canonical", "edits").distinct()
+
+
 def match_locally(lookups: DataFrame, taxa: DataFrame, most_edits: int = 2) -> DataFrame:
     """An approximation of the external program over a backbone table.
 
-    Exact by canonical name, else Fuzzy within ``most_edits`` edits among names
-    of the same length class and first letters, else PartialExact on the genus
-    of a binomial.  Answers come from one source table, given as ``taxa`` with
+    Exact by canonical name, else Fuzzy with every name within ``most_edits``
+    edits, else PartialExact on the genus of a binomial.  Each row of ``taxa``
+    with a matching name is a result of its own.  Answers come from one source table, given as ``taxa`` with
     ``source_id, taxonID, canonicalName, taxonomicStatus`` and ranks.
     """
     ranks = F.lit("|".join(RANKS))
@@ -81,9 +106,7 @@ def match_locally(lookups: DataFrame, taxa: DataFrame, most_edits: int = 2) -> D
     asked = lookups.withColumn("genus", F.substring_index("term", " ", 1))
     exact = asked.join(record, (asked["term"] == record["canonical"]) & (asked["source_id"] == record["source_id"])).select(asked["term"], asked["source_id"], "canonical", "recordId", "path", "taxonomicStatus", F.lit("Exact").alias("how"), F.lit(0).alias("edits"))
     left = asked.join(exact.select("term", "source_id").distinct(), ["term", "source_id"], "left_anti")
-    near_key = lambda c: F.substring(c, 1, 4)
-    a, b = left.withColumn("block", near_key("term")), record.withColumn("block", near_key("canonical"))
-    fuzzy = a.join(b, ["source_id", "block"]).withColumn("edits", F.levenshtein("term", "canonical", most_edits)).filter("edits between 1 and " + str(most_edits)).select("term", "source_id", "canonical", "recordId", "path", "taxonomicStatus", F.lit("Fuzzy").alias("how"), "edits")
+    fuzzy = near_names(left, record, most_edits).join(record, ["source_id", "canonical"]).select("term", "source_id", "canonical", "recordId", "path", "taxonomicStatus", F.lit("Fuzzy").alias("how"), "edits")
     rest = left.join(fuzzy.select("term", "source_id").distinct(), ["term", "source_id"], "left_anti").filter("genus <> term")
     partial = rest.join(record, (rest["genus"] == record["canonical"]) & (rest["source_id"] == record["source_id"])).select("term", rest["source_id"], "canonical", "recordId", "path", "taxonomicStatus", F.lit("PartialExact").alias("how"), F.lit(0).alias("edits"))
     every = exact.unionByName(fuzzy).unionByName(partial)

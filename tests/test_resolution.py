@@ -309,3 +309,52 @@ def test_command_line(spark, tmp_path):
     assert cli.run_trace(spark, trace) == 0
     trace.uuid = "absent"
     assert cli.run_trace(spark, trace) == 1
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def matched(term, names):
+    """(how, [(edits, name)]) over different names, each standing for all its rows."""
+    if term in names:
+        return "Exact", [(0, term)]
+    near = [(d, c) for c in names if (d := edits_between(term, c)) <= 2]
+    if near:
+        return "Fuzzy", near
+    genus = term.split(" ")[0]
+    return ("PartialExact", [(0, genus)]) if genus != term and genus in names else None
+
+
+def test_local_matcher_against_brute_force(spark):
+    from cladeworks.sources.verifier import match_locally
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 9)))
+    names = ["Canis lupus", "Canis", "Felis", "Quercus alba", "Quercus", *[word() for _ in range(60)], *[f"{word()} {word()}" for _ in range(60)]]
+    taxa = [(11, f"t{i}", c, rng.choice(["accepted", "synonym"]), f"G{i % 7}") for i, c in enumerate([*names, *rng.choices(names, k=80)])]
+    terms = {"anis lupus", "Xanis lupus", "Cnais lupus", "aCanis lupus", "elis", "Quercus rubra", "Canis lupusxx", "Canis lupusxxx", "Zzzzzzzzz yyy", *[word() for _ in range(80)], *[f"{word()} {word()}" for _ in range(80)], *names[:9]}
+    df = spark.createDataFrame(taxa, "source_id int, taxonID string, canonicalName string, taxonomicStatus string, genus string")
+    asked = spark.createDataFrame([(t, 11) for t in sorted(terms)], "term string, source_id int")
+    got = {r.term: (r.response.matchType, sorted((x.editDistance, x.recordId, x.matchType) for x in r.response.results)) for r in match_locally(asked, df).collect()}
+    expected = {}
+    for t in terms:
+        if (found := matched(t, set(names))) is not None:
+            expected[t] = found[0], sorted((d, x[1], found[0]) for d, c in found[1] for x in taxa if x[2] == c)
+    assert got == expected
+    assert {"Exact", "Fuzzy", "PartialExact"} == {how for how, _ in got.values()} and got["anis lupus"][0] == "Fuzzy"
+
+
+def test_local_matcher_query_sees_every_taxon(spark):
+    from cladeworks.plans import catalog, driver_views
+
+    sf = "/root/testdata/sf0.001"
+    rows = Counter(r.canonicalName for r in driver_views.taxa(spark, sf).collect())
+    terms = {r.term for r in ladder.lookups(ladder.rungs(catalog._groups(spark, sf))).filter("source_id = 11").collect()}
+    expected = {t: (found[0], sum(rows[c] for _, c in found[1])) for t in terms if (found := matched(t, rows)) is not None}
+    assert {r.term: (r.matchType, r.n) for r in catalog.local_matcher(spark, sf).collect()} == expected
