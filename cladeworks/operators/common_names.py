@@ -87,15 +87,15 @@ def lookup_names(rows: DataFrame, lookup: DataFrame, climb: bool = True) -> Data
         asked = F.coalesce(*[F.when(F.col(r).isNotNull(), F.struct(F.lit(r).alias("rank"), (F.col(f"taxonID_{r}").cast("string") if r in present else F.lit(None).cast("string")).alias("id"))) for r in FINE_FIRST if r in rows.columns])
         joined = rows.withColumn("_ask", asked).join(side, F.col("_ask.id") == F.col("_id"), "left")
         return joined.withColumns({"common_name": F.col("_name"), "common_name_rank": F.when(F.col("_name").isNotNull(), F.col("_ask.rank"))}).drop("_ask", "_id", "_name")
-    for r in present:
-        rows = rows.join(side.select(F.col("_id").alias(f"_id_{r}"), F.col("_name").alias(f"_name_{r}")), F.col(f"taxonID_{r}").cast("string") == F.col(f"_id_{r}"), "left")
     if not present:
         return rows.withColumns({"common_name": F.lit(None).cast("string"), "common_name_rank": F.lit(None).cast("string")})
-    found = rows.withColumns({
-        "common_name": F.coalesce(*[f"_name_{r}" for r in present]),
-        "common_name_rank": F.coalesce(*[F.when(F.col(f"_name_{r}").isNotNull(), F.lit(r)) for r in present]),
-    })
-    return found.drop(*[f"_id_{r}" for r in present], *[f"_name_{r}" for r in present])
+    # Names can be long: only identifiers are joined by rank, and the name of the one that decides comes last.
+    known = side.select("_id").distinct()
+    for r in present:
+        rows = rows.join(known.select(F.col("_id").alias(f"_id_{r}")), F.col(f"taxonID_{r}").cast("string") == F.col(f"_id_{r}"), "left")
+    picked = F.coalesce(*[F.when(F.col(f"_id_{r}").isNotNull(), F.struct(F.lit(r).alias("rank"), F.col(f"_id_{r}").alias("id"))) for r in present])
+    found = rows.withColumn("_pick", picked).drop(*[f"_id_{r}" for r in present]).join(side, F.col("_pick.id") == F.col("_id"), "left")
+    return found.withColumns({"common_name": F.col("_name"), "common_name_rank": F.col("_pick.rank")}).drop("_pick", "_id", "_name")
 
 
 def merge_common_names(rows: DataFrame, taxa: DataFrame, vernacular: DataFrame, climb: bool = True) -> DataFrame:

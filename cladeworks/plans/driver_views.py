@@ -88,8 +88,8 @@ def taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vernacular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of taxa from the first words of documents."""
-    return _read(spark, sf_dir, "documents").selectExpr("cast(doc_id % 400 as string) as taxonID", "substring(text, 1, 24) as vernacularName", "lang as language", "doc_id")
+    """Names of taxa from the whole texts of documents."""
+    return _read(spark, sf_dir, "documents").selectExpr("cast(doc_id % 400 as string) as taxonID", "text as vernacularName", "lang as language", "doc_id")
 
 
 _V = "('unknown', 'null', 'none', '', 'n/a')"

@@ -358,3 +358,24 @@ def test_local_matcher_query_sees_every_taxon(spark):
     terms = {r.term for r in ladder.lookups(ladder.rungs(catalog._groups(spark, sf))).filter("source_id = 11").collect()}
     expected = {t: (found[0], sum(rows[c] for _, c in found[1])) for t in terms if (found := matched(t, rows)) is not None}
     assert {r.term: (r.matchType, r.n) for r in catalog.local_matcher(spark, sf).collect()} == expected
+
+
+def test_vernacular_queries_read_whole_texts(spark, tmp_path):
+    from cladeworks.plans import catalog
+
+    texts = [(400, "fr", "un nom assez long pour la coupe o'brien-x"), (800, "en", "THE LONG name of a beast\nwith 2nd line, past-any prefix ÉTÉ"), (1200, "en", "later one"), (401, "de", "ein " * 3000 + "ende"), (402, None, "no language")]
+    spark.createDataFrame([(i, t, k) for i, k, t in texts], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def title(text):
+        return "".join(c.upper() if i == 0 or not text[i - 1].isalnum() else c for i, c in enumerate(text)) if (text := text.lower()) else text
+
+    expected = {"0": title(texts[1][2]), "1": title(texts[3][2])}
+    assert {r.taxonID: r.vernacularName for r in catalog.prioritize_vernacular(spark, str(tmp_path)).collect()} == expected
+    sf = "/root/testdata/sf0.001"
+    best = {}
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").filter("lang is not null").collect(), key=lambda r: (r.lang != "en", r.doc_id)):
+        best.setdefault(str(r.doc_id % 400), r.text)
+    whole = {r.taxonID: r.vernacularName for r in catalog.prioritize_vernacular(spark, sf).collect()}
+    assert whole == {k: title(v) for k, v in best.items()}
+    for query in (catalog.common_names_on, catalog.common_names_off):
+        assert {r.common_name for r in query(spark, sf).collect() if r.common_name} <= set(whole.values())
