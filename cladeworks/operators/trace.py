@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import RANKS
@@ -24,7 +24,8 @@ def trace_entry(entries: DataFrame, groups: DataFrame, tried: DataFrame, uuid: s
     derived = mine.withColumns({"most_specific_term": most_specific_term(), "most_specific_rank": most_specific_rank()})
     entry = derived.select("group_key", F.struct(*[c for c in derived.columns if c != "group_key"]).alias("entry"))
     keys = mine.select("group_key").distinct()
-    members = with_group_key(entries).join(F.broadcast(keys.limit(1000)), "group_key", "left_semi").select("group_key", "uuid").orderBy("uuid").limit(3).groupBy("group_key").agg(F.array_sort(F.collect_list("uuid")).alias("first_members"))
+    ranked = with_group_key(entries).join(keys, "group_key", "left_semi").select("group_key", "uuid", F.row_number().over(Window.partitionBy("group_key").orderBy("uuid")).alias("_at"))
+    members = ranked.filter("_at <= 3").groupBy("group_key").agg(F.array_sort(F.collect_list("uuid")).alias("first_members"))
     group = initial_plan(groups).join(keys, "group_key", "left_semi").join(members, "group_key", "left")
     plan = group.select("group_key", F.struct("scientific_name", *RANKS, "group_count", "first_members").alias("group"), F.struct("query_term", "query_rank", "source_id").alias("query_plan"))
     steps = tried.join(keys, "group_key", "left_semi").groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("rung", "query_term", "query_rank", "source_id", "status", "strategy", "failure_reason", "error"))).alias("attempts"))

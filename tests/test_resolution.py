@@ -379,3 +379,13 @@ def test_vernacular_queries_read_whole_texts(spark, tmp_path):
     assert whole == {k: title(v) for k, v in best.items()}
     for query in (catalog.common_names_on, catalog.common_names_off):
         assert {r.common_name for r in query(spark, sf).collect() if r.common_name} <= set(whole.values())
+
+
+def test_trace_gives_first_members_of_each_group(spark):
+    from cladeworks.operators.trace import trace_entry
+
+    rows = [(u, f"Homo s{g}", *[None] * 7) for g in range(3) for u in ("x", *[f"{g}{k}" for k in range(5)])]
+    df = spark.createDataFrame(rows, ENTRY)
+    tried = spark.createDataFrame([], "group_key string, rung int, query_term string, query_rank string, source_id int, status string, strategy string, failure_reason string, error string")
+    got = [json.loads(r.trace)["group"] for r in trace_entry(df, grouping.group_entries(df), tried, "x").collect()]
+    assert sorted(g["first_members"] for g in got) == [[f"{g}{k}" for k in range(3)] for g in range(3)]
