@@ -44,12 +44,12 @@ def parser() -> argparse.ArgumentParser:
 
 
 def _responses(spark, args, groups):
-    from .operators.ladder import lookups, rungs
+    from .operators.ladder import lookups
 
     if args.responses:
         return spark.read.parquet(args.responses)
     if args.verifier:
-        return verifier.program_responses(lookups(rungs(groups)), args.verifier, args.batch_size)
+        return verifier.program_responses(lookups(groups), args.verifier, args.batch_size)
     raise SystemExit("give --responses or --verifier")
 
 
@@ -70,7 +70,7 @@ def run_resolve(spark: SparkSession, args) -> int:
             sinks.write(resolve.forced_rows(one(rows_in, f)), f"{args.output_dir}/{base}.forced.{args.output_format}", args.output_format)
         return 0
     groups = grouping.group_entries(rows_in).persist()
-    final = resolve.force_failed(resolve.final_attempts(resolve.climb(groups, _responses(spark, args, groups)))).persist()
+    final = resolve.force_failed(resolve.final_attempts(groups, _responses(spark, args, groups))).persist()
     for f, base in bases.items():
         sinks.write_resolution(resolve.output_rows(one(rows_in, f), final), args.output_dir, base, args.output_format)
     sinks.write_statistics(resolve.statistics(final), args.output_dir)
@@ -79,9 +79,7 @@ def run_resolve(spark: SparkSession, args) -> int:
 
 def run_trace(spark: SparkSession, args) -> int:
     rows = entries.read_entries(spark, args.from_input)
-    groups = grouping.group_entries(rows)
-    tried = resolve.climb(groups, _responses(spark, args, groups))
-    said = trace.trace_entry(rows, groups, resolve.chains(tried, resolve.final_attempts(tried)), args.uuid).collect()
+    said = trace.trace_entry(rows, lambda groups: resolve.chains(resolve.final_attempts(groups, _responses(spark, args, groups))), args.uuid).collect()
     for r in said:
         print(r.trace)
     return 0 if said else 1

@@ -2,10 +2,11 @@
 
 RANKS = ("kingdom", "phylum", "class", "order", "family", "genus", "species")
 QUERY_ORDER = ("species", "scientific_name", "genus", "family", "order", "class", "phylum", "kingdom")
-KEY_ORDER = ("species", "scientific_name", "genus", "family", "order", "class", "phylum", "kingdom")
 #: Data sources in order of preference.
 SOURCES = (11, 1, 179)
 PRIMARY, SECONDARY = SOURCES[0], SOURCES[1]
+#: The characters with Unicode's property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INVALID = ("unknown", "null", "none", "", "n/a")
 #: Lower-cased kingdom names and synonyms to the canonical name.
 KINGDOMS = {

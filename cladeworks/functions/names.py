@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import INVALID, KEY_ORDER, KINGDOMS, QUERY_ORDER, RANKS
+from ..constants import INVALID, KINGDOMS, QUERY_ORDER, RANKS, WHITE_SPACE
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"^(?U:\s)+|(?U:\s)+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def valid(c: Column) -> Column:
@@ -41,7 +41,7 @@ def normalized(c: Column) -> Column:
 
 def group_key() -> Column:
     """SHA-256 of the normalised names, joined by ``|``."""
-    return F.sha2(F.concat_ws("|", *[normalized(F.col(c)) for c in KEY_ORDER]), 256)
+    return F.sha2(F.concat_ws("|", *[normalized(F.col(c)) for c in QUERY_ORDER]), 256)
 
 
 def canonical_kingdom(c: Column) -> Column:
@@ -62,7 +62,22 @@ def lineage() -> Column:
     return F.array(*[F.coalesce(F.col(c), F.lit("")) for c in RANKS])
 
 
+def valid_names() -> Column:
+    """The stripped names in query order, null where one is invalid."""
+    return F.array(*[F.when(valid(F.col(c)), strip(F.col(c))) for c in QUERY_ORDER])
+
+
+def terms(names: Column) -> Column:
+    """The different names of ``valid_names``, each where it comes first."""
+    return F.array_except(names, F.array(F.lit(None).cast("string")))
+
+
+def term_rank(term: Column, names: Column) -> Column:
+    """The first rank in query order that has this name among ``valid_names``; null if none has."""
+    return F.get(F.array(*[F.lit(c) for c in QUERY_ORDER]), (F.array_position(names, term) - 1).cast("int"))
+
+
 def term_rank_pairs() -> Column:
     """``array<struct<term, rank>>``: valid names in query order, each term once with its first rank."""
-    pairs = F.array_compact(F.array(*[F.when(valid(F.col(c)), F.struct(strip(F.col(c)).alias("term"), F.lit(c).alias("rank"))) for c in QUERY_ORDER]))
-    return F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda y: y["term"] == x["term"]))
+    names = valid_names()
+    return F.transform(terms(names), lambda t: F.struct(t.alias("term"), term_rank(t, names).alias("rank")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SOURCES
-from ..functions.names import most_specific_rank, most_specific_term, term_rank_pairs
+from ..functions.names import most_specific_rank, most_specific_term, term_rank, terms, valid_names
 
 
 def initial_plan(groups: DataFrame) -> DataFrame:
@@ -14,22 +14,23 @@ def initial_plan(groups: DataFrame) -> DataFrame:
     return groups.withColumns({"query_term": F.coalesce(most_specific_term(), F.lit("")), "query_rank": most_specific_rank(), "source_id": F.lit(SOURCES[0])})
 
 
+def source_at(place: Column) -> Column:
+    """The source at a place in the order of preference."""
+    return F.get(F.array(*[F.lit(s) for s in SOURCES]), place.cast("int"))
+
+
 def rungs(groups: DataFrame) -> DataFrame:
     """One row per group and rung.  A group without valid names has one rung with an empty term and no rank."""
-    pairs = term_rank_pairs()
-    climbed = groups.select("*", F.posexplode_outer(pairs).alias("_pair", "_query")).select(
-        "*", F.posexplode(F.array(*[F.lit(s) for s in SOURCES])).alias("_source", "source_id")
-    )
-    return (
-        climbed.filter(F.col("_pair").isNotNull() | (F.col("_source") == 0))
-        .withColumns({
-            "rung": F.coalesce(F.col("_pair") * len(SOURCES) + F.col("_source"), F.lit(0)),
-            "query_term": F.coalesce("_query.term", F.lit("")), "query_rank": F.col("_query.rank"),
-        })
-        .withColumn("is_retry", F.col("rung") > 0).drop("_pair", "_query", "_source")
-    )
-
-
-def lookups(rungs_: DataFrame) -> DataFrame:
-    """The different ``(term, source_id)`` that groups ask for."""
-    return rungs_.filter("query_term <> ''").select(F.col("query_term").alias("term"), "source_id").distinct()
+    asked = groups.withColumn("_names", valid_names()).select("*", F.posexplode_outer(terms(F.col("_names"))).alias("_at", "_term"))
+    places = F.when(F.col("_term").isNull(), F.array(F.lit(0))).otherwise(F.array(*[F.lit(k) for k in range(len(SOURCES))]))
+    climbed = asked.select("*", F.explode(places).alias("_source"))
+    return climbed.withColumns({
+        "rung": F.coalesce(F.col("_at") * len(SOURCES), F.lit(0)) + F.col("_source"), "source_id": source_at(F.col("_source")),
+        "query_term": F.coalesce("_term", F.lit("")), "query_rank": term_rank(F.col("_term"), F.col("_names")),
+    }).withColumn("is_retry", F.col("rung") > 0).drop("_names", "_at", "_term", "_source")
+
+
+def lookups(groups: DataFrame) -> DataFrame:
+    """The different ``(term, source_id)`` that groups ask for: each of their terms at each source."""
+    asked = groups.select(F.explode(terms(valid_names())).alias("term")).distinct()
+    return asked.select("term", F.explode(F.array(*[F.lit(s) for s in SOURCES])).alias("source_id"))

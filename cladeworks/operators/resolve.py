@@ -1,45 +1,66 @@
-"""Resolution: every rung is classified at once and the first decisive one counts.
+"""Resolution: the first decisive rung of each group's ladder, then the rules.
 
-A rung's outcome depends on its group and answer only, so climbing until
-something decides equals taking the least rung that is no retry.  One shuffle
-by group key does it; look-ups join on ``(term, source)``.
+Only an answer without results lets a group climb on.  So a narrow table of
+the terms that have results anywhere finds each group's rung before any rule
+runs: most groups stop at their first term, and the others expand to one row a
+term.  The wide answers join once, one row per group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import EXHAUSTED, FAILED, FORCED, FORCED_INPUT, RANKS, RETRY, STATUSES, SUCCESSFUL
-from .cascade import classify
+from ..constants import EXHAUSTED, FAILED, FORCED, FORCED_INPUT, RANKS, RETRY, SOURCES, STATUSES, SUCCESSFUL
+from ..functions.names import term_rank, terms, valid_names
+from .cascade import classify, prepared
 from .grouping import NAMES, group_entries, with_group_key
-from .ladder import rungs
+from .ladder import rungs, source_at
 
 _OUTCOME = ("status", "strategy", "resolved", "failure_reason", "error", "metadata", "query_term", "query_rank", "source_id", "rung")
 
 
-def climb(groups: DataFrame, responses: DataFrame) -> DataFrame:
-    """All rungs of all groups with their answers.  ``responses`` has ``term, source_id, response``."""
-    side = responses.select(F.col("term").alias("query_term"), "source_id", "response")
-    return rungs(groups).join(side, ["query_term", "source_id"], "left")
+def _with_answers(asked: DataFrame, responses: DataFrame) -> DataFrame:
+    return asked.join(prepared(responses).withColumnRenamed("term", "query_term"), ["query_term", "source_id"], "left")
 
 
 def attempts(groups: DataFrame, responses: DataFrame) -> DataFrame:
     """All rungs of all groups with their outcomes, also those that a climb would not reach."""
-    return classify(climb(groups, responses))
+    return classify(_with_answers(rungs(groups), responses))
 
 
-def final_attempts(climbed: DataFrame) -> DataFrame:
-    """One row per group: the first decisive rung, or the last one, exhausted.
+def decisive_rungs(groups: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per group: ``group_key``, its names and ``rung, query_term, query_rank, source_id, is_retry`` of the first rung that has results, else of the last.
 
-    Only an answer without results lets a group climb on, so the rung is found
-    before the rules run and they see one row per group.
+    ``responses`` has ``term, source_id, response``.  Only their terms are joined here.
     """
-    empty = F.coalesce(F.size("response.results"), F.lit(0)) <= 0
-    no_answer = F.col("response").isNull() | F.coalesce(F.col("response.matchType") == "NoMatch", F.lit(False)) | empty
-    at = F.struct("rung", "query_term", "query_rank", "source_id", "is_retry", "response")
-    ended = climbed.groupBy("group_key").agg(F.min_by(at, F.when(~no_answer, F.col("rung"))).alias("hit"), F.max_by(at, "rung").alias("last"), *[F.first(c).alias(c) for c in NAMES])
-    rows = classify(ended.withColumn("o", F.coalesce("hit", "last")).select("group_key", *NAMES, "o.*"))
+    decides = F.coalesce(F.size("response.results"), F.lit(0)) > 0
+    decides = decides & ~F.coalesce(F.col("response.matchType") == "NoMatch", F.lit(False))
+    place = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source_id")) - 1
+    known = responses.filter(decides & F.col("source_id").isin(*SOURCES)).groupBy(F.col("term").alias("_term")).agg(F.min(place).cast("int").alias("_at")).filter("_at is not null")
+    asked = groups.select("group_key", *NAMES, valid_names().alias("_names")).withColumn("_terms", terms(F.col("_names")))
+    first = asked.join(known, F.get("_terms", F.lit(0)) == F.col("_term"), "left").drop("_term")
+    hit = first.filter("_at is not null").withColumn("_rung", F.col("_at")).drop("_at")
+    others = first.filter("_at is null").drop("_at").select("group_key", F.struct(*NAMES, "_names", "_terms").alias("_group"), F.posexplode_outer("_terms").alias("_k", "_asked"))
+    later = others.join(known, F.col("_asked") == F.col("_term"), "left").groupBy("group_key").agg(
+        F.first("_group").alias("_group"), F.min(F.col("_k") * len(SOURCES) + F.col("_at")).alias("_rung")
+    )
+    last = F.greatest(len(SOURCES) * F.size("_terms") - 1, F.lit(0))
+    both = hit.unionByName(later.select("group_key", "_group.*", "_rung")).withColumn("rung", F.coalesce("_rung", last))
+    term = _term_at(F.col("rung"))
+    return both.select(
+        "group_key", *NAMES, "rung", F.coalesce(term, F.lit("")).alias("query_term"), term_rank(term, F.col("_names")).alias("query_rank"),
+        source_at(F.col("rung") % len(SOURCES)).alias("source_id"), (F.col("rung") > 0).alias("is_retry"),
+    )
+
+
+def _term_at(rung: Column) -> Column:
+    return F.get("_terms", F.floor(rung / len(SOURCES)).cast("int"))
+
+
+def final_attempts(groups: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per group: the outcome of its first decisive rung, or of its last one, exhausted."""
+    rows = classify(_with_answers(decisive_rungs(groups, responses), responses))
     lost = F.when(F.col("strategy") == "NoMatchNonEmptyQuery", "No match found after exhausting all retry combinations.").otherwise(
         "Retries exhausted after detecting primary source inconsistency (missing rank)."
     )
@@ -47,13 +68,23 @@ def final_attempts(climbed: DataFrame) -> DataFrame:
     return rows.withColumns({"failure_reason": F.when(none, lost).otherwise(F.col("failure_reason")), "status": F.when(none, EXHAUSTED).otherwise(F.col("status"))}).select("group_key", *NAMES, *_OUTCOME)
 
 
-def chains(climbed: DataFrame, final: DataFrame) -> DataFrame:
-    """The rungs that a group has climbed, in order, each with its key."""
-    key = F.sha2(F.concat_ws("|", "group_key", "query_term", F.coalesce("query_rank", F.lit("")), F.col("source_id").cast("string"), F.col("rung").cast("string")), 256)
-    before = climbed.select("group_key", "rung", "query_term", "query_rank", "source_id").join(final.select("group_key", F.col("rung").alias("_last")), "group_key").filter("rung < _last").drop("_last")
-    none = F.lit(None).cast("string")
-    before = before.withColumns({"status": F.lit(RETRY), "strategy": F.lit("NoMatchNonEmptyQuery"), "failure_reason": none, "error": none})
-    return before.unionByName(final.select(*before.columns)).withColumn("attempt_key", key)
+def chains(final: DataFrame) -> DataFrame:
+    """The rungs that a group has climbed, in order, each with its key and the key of the one before.
+
+    A group's names and its last rung say which rungs those are, so nothing is joined.
+    """
+    rank = lambda k: term_rank(_term_at(k), F.col("_names"))
+    source = lambda k: source_at(k % len(SOURCES))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    key = lambda k: F.sha2(F.concat_ws("|", "group_key", text(_term_at(k)), text(rank(k)), text(source(k)), text(k)), 256)
+    k, ended = F.col("_k"), F.col("_k") == F.col("rung")
+    rows = final.withColumn("_names", valid_names()).withColumn("_terms", terms(F.col("_names"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("rung"))))
+    return rows.select(
+        "group_key", k.alias("rung"), text(_term_at(k)).alias("query_term"), rank(k).alias("query_rank"), source(k).alias("source_id"),
+        F.when(ended, F.col("status")).otherwise(RETRY).alias("status"), F.when(ended, F.col("strategy")).otherwise("NoMatchNonEmptyQuery").alias("strategy"),
+        F.when(ended, F.col("failure_reason")).alias("failure_reason"), F.when(ended, F.col("error")).alias("error"),
+        key(k).alias("attempt_key"), F.when(k > 0, key(k - 1)).alias("previous_key"),
+    )
 
 
 def force_failed(final: DataFrame) -> DataFrame:
@@ -118,7 +149,7 @@ def expand_metadata(rows: DataFrame, keys) -> DataFrame:
 
 def resolve(entries: DataFrame, responses: DataFrame, order: str = "uuid") -> DataFrame:
     """Entries to output rows."""
-    final = force_failed(final_attempts(climb(group_entries(entries, order), responses)))
+    final = force_failed(final_attempts(group_entries(entries, order), responses))
     return output_rows(entries, final)
 
 

@@ -4,31 +4,35 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import RANKS
 from ..functions.names import most_specific_rank, most_specific_term
-from .grouping import with_group_key
+from .grouping import group_entries, with_group_key
 from .ladder import initial_plan
 
 
-def trace_entry(entries: DataFrame, groups: DataFrame, tried: DataFrame, uuid: str) -> DataFrame:
-    """One JSON row: the entry, its group with the first three members, the first look-up and every attempt.
+def trace_entry(entries: DataFrame, attempts_of: Callable[[DataFrame], DataFrame], uuid: str) -> DataFrame:
+    """One JSON row for each entry with this ``uuid``: the entry, its group with the first three members, the first look-up and every attempt.
 
-    Empty if no entry has this ``uuid``.  The attempts carry the status before
-    failures fall back to their input.
+    Empty if no entry has it.  Only the groups that hold the entry are formed and tried, by ``attempts_of(groups)``.
+    The attempts carry the status before failures fall back to their input.
     """
-    mine = with_group_key(entries).filter(F.col("uuid") == uuid)
+    keyed = with_group_key(entries)
+    mine = keyed.filter(F.col("uuid") == uuid)
     derived = mine.withColumns({"most_specific_term": most_specific_term(), "most_specific_rank": most_specific_rank()})
     entry = derived.select("group_key", F.struct(*[c for c in derived.columns if c != "group_key"]).alias("entry"))
     keys = mine.select("group_key").distinct()
-    ranked = with_group_key(entries).join(keys, "group_key", "left_semi").select("group_key", "uuid", F.row_number().over(Window.partitionBy("group_key").orderBy("uuid")).alias("_at"))
+    inside = keyed.join(keys, "group_key", "left_semi")
+    groups = group_entries(inside)
+    ranked = inside.select("group_key", "uuid", F.row_number().over(Window.partitionBy("group_key").orderBy("uuid")).alias("_at"))
     members = ranked.filter("_at <= 3").groupBy("group_key").agg(F.array_sort(F.collect_list("uuid")).alias("first_members"))
-    group = initial_plan(groups).join(keys, "group_key", "left_semi").join(members, "group_key", "left")
+    group = initial_plan(groups).join(members, "group_key", "left")
     plan = group.select("group_key", F.struct("scientific_name", *RANKS, "group_count", "first_members").alias("group"), F.struct("query_term", "query_rank", "source_id").alias("query_plan"))
-    steps = tried.join(keys, "group_key", "left_semi").groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("rung", "query_term", "query_rank", "source_id", "status", "strategy", "failure_reason", "error"))).alias("attempts"))
+    steps = attempts_of(groups).groupBy("group_key").agg(F.array_sort(F.collect_list(F.struct("rung", "query_term", "query_rank", "source_id", "status", "strategy", "failure_reason", "error"))).alias("attempts"))
     whole = entry.join(plan, "group_key").join(steps, "group_key", "left")
     return whole.select(F.to_json(F.struct("group_key", "entry", "group", "query_plan", "attempts")).alias("trace"))
 

@@ -28,18 +28,17 @@ def _groups(spark, d) -> DataFrame:
     return G.group_entries(V.entries(spark, d))
 
 
-def _attempts(spark, d) -> DataFrame:
-    groups = _groups(spark, d)
-    return resolve.attempts(groups, V.responses(ladder.lookups(ladder.rungs(groups))))
+def _answers(groups) -> DataFrame:
+    return V.responses(ladder.lookups(groups))
 
 
-def _climb(spark, d) -> DataFrame:
+def _ended(spark, d) -> DataFrame:
     groups = _groups(spark, d)
-    return resolve.climb(groups, V.responses(ladder.lookups(ladder.rungs(groups))))
+    return resolve.final_attempts(groups, _answers(groups))
 
 
 def _final(spark, d) -> DataFrame:
-    return resolve.force_failed(resolve.final_attempts(_climb(spark, d)))
+    return resolve.force_failed(_ended(spark, d))
 
 
 def scan_normalize(spark, d):
@@ -117,11 +116,12 @@ def rank_of_term(spark, d):
 
 
 def resolve_attempts(spark, d):
-    return _attempts(spark, d).select("group_key", F.col("rung").cast("long").alias("rung"), "status")
+    groups = _groups(spark, d)
+    return resolve.attempts(groups, _answers(groups)).select("group_key", F.col("rung").cast("long").alias("rung"), "status")
 
 
 def first_terminal_rung(spark, d):
-    return resolve.final_attempts(_climb(spark, d)).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
+    return _ended(spark, d).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
 
 
 def resolve_final(spark, d):
@@ -141,8 +141,7 @@ def successful_attempts(spark, d):
 
 
 def attempts_chain(spark, d):
-    tried = _climb(spark, d)
-    return resolve.chains(tried, resolve.final_attempts(tried)).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
+    return resolve.chains(_ended(spark, d)).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
 
 
 _OUT = ("uuid", "source_dataset", "resolution_status", *RANKS, "resolution_path", "final_query_term", "final_query_rank", "final_data_source_id")
@@ -161,9 +160,7 @@ def forced_output(spark, d):
 
 
 def trace_one(spark, d):
-    rows = V.entries(spark, d)
-    groups, tried = _groups(spark, d), _climb(spark, d)
-    return trace_entry(rows, groups, resolve.chains(tried, resolve.final_attempts(tried)), "6")
+    return trace_entry(V.entries(spark, d), lambda groups: resolve.chains(resolve.final_attempts(groups, _answers(groups))), "6")
 
 
 def normalize_taxonomic_columns(spark, d):
@@ -203,7 +200,7 @@ def local_matcher(spark, d):
     from ..sources.verifier import match_locally
 
     groups = _groups(spark, d)
-    asked = ladder.lookups(ladder.rungs(groups))
+    asked = ladder.lookups(groups)
     taxa = V.taxa(spark, d).withColumn("source_id", F.lit(11))
     return match_locally(asked, taxa).select("term", "source_id", "response.matchType", F.size("response.results").alias("n"))
 
@@ -237,10 +234,10 @@ _BASE = "SELECT p_name AS species, split_part(p_name, ' ', 1) AS genus, p_brand
 _TAXA = f"{_E},\nnormal AS (SELECT uuid, {_NORMAL} FROM entries),\nbase AS ({_BASE})"
 _SPECIES = "sp AS (SELECT species, genus, family, \"order\", min(p_partkey * 3) AS id FROM base GROUP BY ALL)"
 _GENUS = "ge AS (SELECT genus, family, \"order\", min(p_partkey * 3 + 1) AS id FROM base GROUP BY ALL)"
-_TITLE = "array_to_string(list_transform(range(1, length(v) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[\\pL\\pN]') THEN replace(upper(v[i]), 'ẞ', 'SS') ELSE v[i] END), '')"
+_TITLE = "array_to_string(list_transform(v, lambda x, i: CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[\\pL\\pN]') THEN replace(upper(x), 'ẞ', 'SS') ELSE x END), '')"
 _NAMES = f"""names AS (
   SELECT id, {_TITLE} AS name FROM (
-    SELECT doc_id % 400 AS id, lower(arg_min(substr(text, 1, 24), (CASE WHEN lang = 'en' THEN 0 ELSE 1 END) * 1000000000 + doc_id)) AS v FROM documents WHERE lang IS NOT NULL GROUP BY 1))"""
+    SELECT doc_id % 400 AS id, string_split(lower(arg_min(text, (CASE WHEN lang = 'en' THEN 0 ELSE 1 END) * 1000000000 + doc_id)), '') AS v FROM documents WHERE lang IS NOT NULL GROUP BY 1))"""
 _IDS = f"""{_TAXA},
 s1 AS (SELECT species, min(p_partkey * 3) AS id FROM base GROUP BY 1), g1 AS (SELECT genus, min(p_partkey * 3 + 1) AS id FROM base GROUP BY 1), f1 AS (SELECT family, min(p_partkey * 3 + 2) AS id FROM base GROUP BY 1),
 {_NAMES},

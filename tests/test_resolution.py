@@ -200,10 +200,18 @@ def test_cascade_against_the_specification(spark):
         if r.group_key not in first or first[r.group_key][1] == "RETRY_SCHEDULED":
             first[r.group_key] = (r.rung, status)
     assert len(seen) >= 18, seen
-    final = resolve.final_attempts(resolve.climb(groups, table))
+    final = resolve.final_attempts(groups, table)
     for r in final.collect():
         rung, status = first[r.group_key]
         assert (r.rung, r.status) == (rung, "NO_MATCH_RETRIES_EXHAUSTED" if status == "RETRY_SCHEDULED" else status)
+    steps = sorted(resolve.chains(final).collect(), key=lambda r: (r.group_key, r.rung))
+    assert len(steps) == sum(r + 1 for r, _ in first.values()) and len({r.attempt_key for r in steps}) == len(steps)
+    for before, r in zip([None, *steps], steps, strict=False):
+        rung, status = first[r.group_key]
+        assert r.status == ("RETRY_SCHEDULED" if r.rung < rung else "NO_MATCH_RETRIES_EXHAUSTED" if status == "RETRY_SCHEDULED" else status)
+        assert r.previous_key == (before.attempt_key if r.rung else None)
+    asked = {(r.group_key, r.rung): (r.query_term, r.query_rank, r.source_id) for r in climbed}
+    assert all(asked[r.group_key, r.rung] == (r.query_term, r.query_rank, r.source_id) for r in [*steps, *final.collect()])
     rows = resolve.resolve(df, table).collect()
     assert len(rows) == df.count()
     assert all((r.resolution_path == "UNSOLVED") == (r.resolution_status not in SUCCESSFUL) for r in rows)
@@ -355,7 +363,7 @@ def test_local_matcher_query_sees_every_taxon(spark):
 
     sf = "/root/testdata/sf0.001"
     rows = Counter(r.canonicalName for r in driver_views.taxa(spark, sf).collect())
-    terms = {r.term for r in ladder.lookups(ladder.rungs(catalog._groups(spark, sf))).filter("source_id = 11").collect()}
+    terms = {r.term for r in ladder.lookups(catalog._groups(spark, sf)).filter("source_id = 11").collect()}
     expected = {t: (found[0], sum(rows[c] for _, c in found[1])) for t in terms if (found := matched(t, rows)) is not None}
     assert {r.term: (r.matchType, r.n) for r in catalog.local_matcher(spark, sf).collect()} == expected
 
@@ -387,5 +395,5 @@ def test_trace_gives_first_members_of_each_group(spark):
     rows = [(u, f"Homo s{g}", *[None] * 7) for g in range(3) for u in ("x", *[f"{g}{k}" for k in range(5)])]
     df = spark.createDataFrame(rows, ENTRY)
     tried = spark.createDataFrame([], "group_key string, rung int, query_term string, query_rank string, source_id int, status string, strategy string, failure_reason string, error string")
-    got = [json.loads(r.trace)["group"] for r in trace_entry(df, grouping.group_entries(df), tried, "x").collect()]
+    got = [json.loads(r.trace)["group"] for r in trace_entry(df, lambda groups: tried, "x").collect()]
     assert sorted(g["first_members"] for g in got) == [[f"{g}{k}" for k in range(3)] for g in range(3)]
