@@ -10,8 +10,12 @@ A temperature, chosen on a part of the sample that the fit has not seen,
 calibrates the probabilities.
 
 A text that is null or has no letter is ``und`` with score 0.  Null labels are
-not learnt from.  At most ``MAX_LABELS`` labels are learnt, the most frequent
-ones.  Without any labelled text everything is ``und``.
+not learnt from; every other label is learnt, however many there are: the
+sample then holds about ``_LEAST`` texts of each, and only weights that are
+not zero are kept.  Without any labelled text everything is ``und``.  Texts are
+read whole, whatever their length; of equal probabilities the label first by
+code point wins.  Repeated rows count each, a null identifier is the empty
+string, extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,48 +34,65 @@ from .runtime import materialize
 
 DIM = 1 << 15
 SAMPLE_ROWS = 4_000
-MAX_LABELS = 64
+#: Texts of fewer n-grams than this are counted by sorting, longer ones by histograms; both give the same counts.
+_SHORT = 3_000
 UNKNOWN = "und"
+#: Expected texts of each label in the sample, at least.
+_LEAST = 8
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
-def features(text: str) -> np.ndarray:
-    """Counts of the hashed n-grams of a text."""
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and counts of the hashed n-grams of a text."""
     codes = np.frombuffer(f" {text.lower().translate(_BLANK)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     shift = np.uint32(17)
     one = codes * np.uint32(0x9E3779B1)
-    counts = np.bincount(one >> shift, minlength=DIM)
     two = (one[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(31) + one[1:] * np.uint32(0xC2B2AE35)
-    counts += np.bincount((two * np.uint32(0x27D4EB2F)) >> shift, minlength=DIM)
     three = two[:-1] * np.uint32(0x165667B1) + one[2:] * np.uint32(0xD3A2646D)
-    counts += np.bincount(((three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift, minlength=DIM)
-    return counts
+    grams = np.concatenate([one >> shift, (two * np.uint32(0x27D4EB2F)) >> shift, ((three ^ (three >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift])
+    if len(grams) < _SHORT:
+        at, counts = np.unique(grams, return_counts=True)
+        return at.astype(np.int64), counts
+    counts = np.bincount(grams, minlength=DIM)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
 
 
 class Model:
-    """Weights, document frequencies and temperature."""
+    """Labels, document frequencies, temperature, and for each feature its labels and weights that are not zero."""
 
     def __init__(self, labels: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.labels, self.idf, self.weights, self.bias, self.temperature = labels, idf, weights, bias, temperature
-
-    def logits(self, counts: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(counts)
-        x = counts[at] * self.idf[at]
-        return (x @ self.weights[at]) / max(1e-12, float(np.sqrt(x @ x))) + self.bias
+        self.labels, self.idf, self.bias, self.temperature = labels, idf.astype(np.float32), bias.astype(np.float32), temperature
+        feature, label = np.nonzero(weights)
+        self.label, self.weight = label.astype(np.int32), weights[feature, label].astype(np.float32)
+        self.start = np.searchsorted(feature, np.arange(DIM + 1))
+
+    def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        x = counts * self.idf[at]
+        first, n = self.start[at], self.start[at + 1] - self.start[at]
+        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        sums = np.bincount(self.label[place], self.weight[place] * np.repeat(x, n), len(self.labels))
+        return sums / max(1e-12, float(np.sqrt(x @ x))) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.labels or text is None or not _LETTER.search(text):
             return UNKNOWN, 0.0
-        z = self.logits(features(text)) / self.temperature
+        z = self.logits(*features(text)) / self.temperature
         p = np.exp(z - z.max())
         k = int(p.argmax())
         return self.labels[k], float(p[k] / p.sum())
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4, seed: int = 7):
-    """FTRL-proximal over sparse rows ``(indices, values, class)``; returns weights and bias."""
-    z, n = np.zeros((DIM + 1, classes)), np.zeros((DIM + 1, classes))
+    """FTRL-proximal over sparse rows ``(indices, values, class)``; returns weights and bias.
+
+    Only features that the rows have hold any state.
+    """
+    active = np.unique(np.concatenate([at for at, _, _ in rows]))
+    bias = len(active)
+    z, n = (np.zeros((bias + 1, classes), np.float32) for _ in range(2))
+    rows = [(np.append(np.searchsorted(active, at), bias), np.append(x, 1.0).astype(np.float32), label) for at, x, label in rows]
 
     def weights(at):
         zz = z[at]
@@ -82,7 +103,6 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha
         random.shuffle(order)
         for i in order:
             at, x, label = rows[i]
-            at, x = np.append(at, DIM), np.append(x, 1.0)
             w = weights(at)
             s = x @ w
             p = np.exp(s - s.max())
@@ -93,8 +113,9 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha
             new = old + g * g
             z[at] += g - (np.sqrt(new) - np.sqrt(old)) / alpha * w
             n[at] = new
-    w = weights(np.arange(DIM + 1))
-    return w[:DIM], w[DIM]
+    w = np.zeros((DIM, classes), np.float32)
+    w[active] = weights(np.arange(bias))
+    return w, weights(np.array([bias]))[0]
 
 
 def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -121,12 +142,11 @@ def _statistics(batches):
         for text, label, chosen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if not _LETTER.search(text):
                 continue
-            counts = features(text)
-            at = np.flatnonzero(counts)
+            at, counts = features(text)
             total[at] += 1
             total[DIM] += 1
             if chosen:
-                sample.append((label, at.astype("<u2").tobytes(), np.minimum(counts[at], 65535).astype("<u2").tobytes()))
+                sample.append((label, at.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], schema=_STATS_SCHEMA)
     if sample:
@@ -142,36 +162,42 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the texts and labels of ``docs (doc_id, text, lang)`` that are not held out."""
-    open_ = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = open_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
-    labels = sorted(r["lang"] for r in counts)
-    if not labels:
+    every = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    open_ = every.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = open_.groupBy("lang").count().collect()  # a row for each label, which the model holds anyway
+    if not counts:
         return Model([], np.zeros(DIM), np.zeros((DIM, 1)), np.zeros(1), 1.0)
-    each = max(1, sample_rows // len(labels))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
-    point = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    stats = materialize(
-        open_.filter(F.col("lang").isin(labels)).select("text", "lang", (point < share[F.col("lang")]).alias("chosen")).mapInArrow(_statistics, _STATS), "statistics"
-    )
-    # At most DIM + 1 rows, and about ``sample_rows`` rows.
+    each = max(_LEAST, sample_rows // len(counts))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "label string, share double"))
+    point = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce("doc_id", F.lit("")), "text"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = open_.join(share, F.col("lang") == F.col("label")).select("text", "lang", (point < F.col("share")).alias("chosen"))
+    stats = materialize(chosen.mapInArrow(_statistics, _STATS), "statistics")
+    # At most DIM + 1 rows.
     df = np.zeros(DIM + 1)
     for r in stats.filter("feature is not null").groupBy("feature").agg(F.sum("df").alias("df")).collect():
         df[r["feature"]] = r["df"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
+    # About ``sample_rows`` rows, or _LEAST for each label; equal texts of a label count once, so that copies cannot add to them.
+    sample = stats.filter("label is not null").select("label", "indices", "counts").distinct().orderBy(F.xxhash64("indices", "counts"), "label").collect()
+    labels = sorted({r["label"] for r in sample})
+    if not labels:
+        return Model([], np.zeros(DIM), np.zeros((DIM, 1)), np.zeros(1), 1.0)
     number = {x: k for k, x in enumerate(labels)}
-    rows, apart = [], []
-    for k, r in enumerate(stats.filter("label is not null").orderBy(F.xxhash64("indices", "counts"), "label").limit(2 * sample_rows + 1000).collect()):
-        at, c = np.frombuffer(r["indices"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u2")
+    rows, apart, seen = [], [], set()
+    for k, r in enumerate(sample):
+        at, c = np.frombuffer(r["indices"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4")
         x = c * idf[at]
-        (apart if k % 5 == 4 else rows).append((at, x / max(1e-12, np.sqrt(x @ x)), number[r["label"]]))
-    weights, bias = fit_ftrl(rows or apart, len(labels))
+        # The first text of a label is always fitted.
+        (apart if k % 5 == 4 and r["label"] in seen else rows).append((at, x / max(1e-12, np.sqrt(x @ x)), number[r["label"]]))
+        seen.add(r["label"])
+    weights, bias = fit_ftrl(rows, len(labels))
     logits = np.array([x @ weights[at] + bias for at, x, _ in apart]).reshape(-1, len(labels))
-    return Model(labels, idf.astype(np.float32), weights.astype(np.float32), bias.astype(np.float32), best_temperature(logits, np.array([k for *_, k in apart], int)))
+    return Model(labels, idf, weights, bias, best_temperature(logits, np.array([k for *_, k in apart], int)))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row; reads ``doc_id`` and ``text`` only."""
-    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # DIM x MAX_LABELS floats at most
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # the weights that are not zero
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):

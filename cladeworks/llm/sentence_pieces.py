@@ -9,7 +9,8 @@ of the original bytes.
 If the model leaves characters as they are and none of its pieces crosses the
 start of a blank run or a line feed, texts are cut there and each different
 chunk is encoded once.  Other models encode whole texts.  Null texts are
-empty.
+empty; texts are encoded whole, whatever their length.  Identifiers may be null or repeated, each row gives a row; extra columns are ignored, an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .chunks import ChunkTable, per_text, slices
 from .words import string_buffer
 
 BLANK = "▁".encode()
+#: Ids that go to the library in one call for decoding, about.
+_DECODE_IDS = 200_000
 
 
 def _fields(raw: bytes):
@@ -102,19 +105,36 @@ class Normalizer:
         self.plain = not self.map.units and not self.squeeze and self.escape
 
     def normalize(self, raw: bytes) -> tuple[bytes, np.ndarray]:
-        """The normalised bytes, and for each of them (and the end) the original offset."""
+        """The normalised bytes, and for each of them (and the end) the original offset.
+
+        Bytes that the map leaves alone keep their own offset; all bytes of a
+        replacement have the offset where the replaced characters begin.
+        """
+        return self._whole(raw) if self.plain else self._walk(raw)
+
+    def _whole(self, raw: bytes) -> tuple[bytes, np.ndarray]:
+        """``_walk`` for an empty map that keeps all blanks, with array operations."""
+        if not raw:
+            return b"", np.zeros(1, np.int64)
+        data = np.frombuffer(raw, np.uint8)
+        width = np.where(data == 32, len(BLANK), 1)
+        lead = len(BLANK) if self.dummy_prefix else 0
+        source = np.concatenate([np.zeros(lead, np.int64), np.repeat(np.arange(len(data)), width), [len(data)]])
+        return (BLANK if lead else b"") + raw.replace(b" ", BLANK), source
+
+    def _walk(self, raw: bytes) -> tuple[bytes, np.ndarray]:
         out, source, at = bytearray(), [], 0
         blank = BLANK if self.escape else b" "
-        pieces: list[tuple[bytes, int, int]] = []
+        pieces: list[tuple[bytes, int, int, bool]] = []
         while at < len(raw):
             hit = self.map.longest(raw, at)
             if hit is None:
                 b = raw[at]
                 n = 1 if b < 128 else 2 if b < 224 else 3 if b < 240 else 4
-                pieces.append((raw[at : at + n], at, n))
+                pieces.append((raw[at : at + n], at, n, True))
             else:
                 n = hit[0]
-                pieces.append((hit[1], at, n))
+                pieces.append((hit[1], at, n, False))
             at += n
         if self.squeeze:
             while pieces and not pieces[0][0].strip(b" "):
@@ -125,13 +145,13 @@ class Normalizer:
             out += blank
             source += [pieces[0][1]] * len(blank)
         after_blank = self.squeeze
-        for text, start, _ in pieces:
+        for text, start, _, own in pieces:
             if self.squeeze and after_blank:
                 text = text.lstrip(b" ")
-            for b in text:
+            for k, b in enumerate(text):
                 byte = blank if b == 32 else bytes((b,))
                 out += byte
-                source += [start] * len(byte)
+                source += [start + k if own else start] * len(byte)
             if text:
                 after_blank = text.endswith(b" ")
         stop = pieces[-1][1] + pieces[-1][2]
@@ -157,8 +177,6 @@ class Pieces:
         pieces = [dict(_fields(v)) for k, v in top if k == 1]
         self.names = [p.get(1, b"") for p in pieces]
         kinds = [p.get(3, 1) for p in pieces]
-        self.width = np.array([1 if k == 6 else len(p) - 2 * p.count(BLANK) for k, p in zip(kinds, self.names, strict=True)], np.int64)
-        self.width[[k == 3 for k in kinds]] = 0
         self.wide = np.array([1 if k == 6 else 0 if k == 3 else len(p) for k, p in zip(kinds, self.names, strict=True)], np.int64)
         model = [p for k, p in zip(kinds, self.names, strict=True) if k == 1]
         whole = not any(self._crosses(p) for p in model)
@@ -209,13 +227,8 @@ class Pieces:
             yield i, ids.astype(np.uint32), per_text(counts, starts, moved)
 
     def spans(self, text: bytes, ids: np.ndarray) -> np.ndarray:
-        """For each id the (start, stop) of its bytes in ``text``; begin and end ids have empty spans."""
+        """For each id the (start, stop) of its bytes in ``text``, projected through the normaliser's alignment; begin and end ids have empty spans."""
         ids = np.asarray(ids, np.int64)
-        if self.normalizer.plain and BLANK not in text:
-            stop = np.cumsum(self.width[ids])
-            start = stop - self.width[ids]
-            shift = 1 if self.normalizer.dummy_prefix and text else 0
-            return np.stack([np.maximum(start - shift, 0), np.maximum(stop - shift, 0)], 1)
         normal, source = self.normalizer.normalize(text)
         width = self.wide[ids].copy()
         unknown = np.flatnonzero(ids == self.library.unk_id())
@@ -279,18 +292,33 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """Per row the digests of the ids and of the text that the library decodes from them, and how many bytes the spans cover."""
+    """Per row the digests of the ids and of the text that the library decodes from them, and how many bytes the spans cover.
+
+    Every piece is projected to its original bytes through the normaliser's
+    alignment, so ``covered_bytes`` is the length of a text whose pieces tile it.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("covered_bytes", pa.int64())])
 
     def run(batches):
         model = pieces(model_path)
         for batch in batches:
-            columns = [[], [], [], []]
+            columns, held, size = [[], [], [], []], [], 0
+
+            def decode():
+                columns[2].extend(hashlib.sha256(x.encode()).hexdigest() for x in model.library.decode(held, num_threads=1))
+                held.clear()
+
             for _, ids, text in _encoded(model, batch.column(1)):
                 spans = model.spans(text.tobytes(), ids)
-                decoded = model.library.decode(ids.tolist())
-                for c, x in zip(columns, (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int((spans[:, 1] - spans[:, 0]).sum())), strict=True):
-                    c.append(x)
+                for k, x in ((0, len(ids)), (1, hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()), (3, int((spans[:, 1] - spans[:, 0]).sum()))):
+                    columns[k].append(x)
+                held.append(ids.tolist())
+                size += len(ids)
+                if size > _DECODE_IDS:
+                    decode()
+                    size = 0
+            if held:
+                decode()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], schema=schema)
 
     return _columns(docs).mapInArrow(run, _DIGESTS)

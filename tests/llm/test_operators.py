@@ -339,6 +339,15 @@ def test_piece_spans(spark):
         for i, a, b in zip(r.ids, r.starts, r.stops, strict=True):
             assert a <= b
         assert (r.starts[0], r.stops[0]) == (0, 0)
+    # Both ways through the normaliser agree, and the pieces tile every text.
+    for df in (documents(spark), odd(spark)):
+        for r in df.select("text").filter("length(text) < 30000").limit(400).collect():
+            raw = (r.text or "").encode()
+            whole, walked = model.normalizer._whole(raw), model.normalizer._walk(raw)
+            assert whole[0] == walked[0] == model.library.normalize(raw.decode()).encode() or "\0" in r.text
+            assert whole[1].tolist() == walked[1].tolist()
+            spans = model.spans(raw, np.array(model.library.encode(raw.decode(), add_bos=True, add_eos=True)))
+            assert (spans[1:, 0] == spans[:-1, 1]).all() and (not raw or spans[-1, 1] == len(raw)), r.text
     text = "Hello  wörld\nagain".encode()
     ids = model.library.encode(text.decode())
     for (a, b), i in zip(model.spans(text, np.array(ids)).tolist(), ids, strict=True):
@@ -413,6 +422,24 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(nolabel).collect()} == {"und"}
 
 
+def test_language_learns_every_label(spark):
+    rng = random.Random(8)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(40)), x) for i, x in enumerate(sorted(words) * 12)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == sorted(words)
+    assert np.mean([model.predict(t)[0] == x for _, t, x in rows]) > 0.95
+
+
+def test_features_count_alike_in_both_ways(monkeypatch):
+    for text in ("aé b" * 40_000, "x", "", "word 12 " * 50):
+        short = language_id.features(text)
+        monkeypatch.setattr(language_id, "_SHORT", 0 if len(text) < 900 else 10**9)
+        other = language_id.features(text)
+        monkeypatch.undo()
+        assert short[0].tolist() == other[0].tolist() and short[1].tolist() == other[1].tolist()
+
+
 def naive_groups(rows):
     groups = defaultdict(list)
     for d, t in rows:
