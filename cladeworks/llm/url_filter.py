@@ -12,11 +12,14 @@ Of the rules that fit the one with the longest text decides, then the one with
 the longest host.  A URL without a fitting rule is looked up in a second
 index of the same kind, the block list (``blocked_hosts.txt`` unless another is
 given), and allowed if that has nothing.  Null URLs and those without ``://`` have an empty host and path and are allowed.
+URLs are read whole, whatever their length; each row is judged for itself, so
+repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import os
+import functools
+import hashlib
 import pkgutil
 import tempfile
 
@@ -127,6 +130,7 @@ def path(url: Column) -> Column:
 
 
 _OPEN: dict[str, DigestIndex] = {}
+_SHIPPED: set[str] = set()
 
 
 def _index(name: str) -> DigestIndex:
@@ -137,13 +141,20 @@ def _index(name: str) -> DigestIndex:
     return _OPEN[name]
 
 
+@functools.cache
+def _driver_folder() -> tempfile.TemporaryDirectory:
+    """Where the driver keeps the files that it hands out; removed when it ends."""
+    return tempfile.TemporaryDirectory(prefix="url-index-")
+
+
 def ship_index(spark: SparkSession, entries, label: str) -> str:
-    """Write an index beside the driver and have Spark hand it to every executor; returns its name there."""
-    with tempfile.NamedTemporaryFile(prefix=f"{label}-", suffix=".uda", delete=False) as f:
-        pass
-    write_index(f.name, entries)
-    spark.sparkContext.addFile(f.name)
-    return os.path.basename(f.name)
+    """Write an index beside the driver and have Spark hand it to every executor, once an application; returns its name there."""
+    entries = tuple(entries)
+    name = f"{label}-{hashlib.sha256(repr((spark.sparkContext.applicationId, entries)).encode()).hexdigest()[:16]}.uda"
+    if name not in _SHIPPED:
+        spark.sparkContext.addFile(write_index(f"{_driver_folder().name}/{name}", entries))
+        _SHIPPED.add(name)
+    return name
 
 
 def judge_urls(df: DataFrame, url: str = "url", rules=RULES, blocked=BLOCKED_HOSTS) -> DataFrame:
@@ -162,5 +173,7 @@ def judge_urls(df: DataFrame, url: str = "url", rules=RULES, blocked=BLOCKED_HOS
             verdict[i] = v or "allow"
         return pd.DataFrame({"rule": pd.Series(rule, dtype=object), "verdict": verdict})
 
-    parts = df.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
-    return parts.withColumn("_d", decide("host", "path")).withColumns({"rule": F.col("_d.rule"), "verdict": F.col("_d.verdict")}).drop("_d")
+    own = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    # Input columns move as one struct, so that none can meet a name used here.
+    parts = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    return parts.withColumn("said", decide("host", "path")).select("row.*", "host", "path", "said.rule", "said.verdict")

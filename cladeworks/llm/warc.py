@@ -1,7 +1,9 @@
 """WARC archives by way of a chunked record table.
 
-Payloads move as rows ``(record_id, chunk, data, bytes_so_far, digest, last)``:
-no step holds a whole record, the SHA-1 is carried forward chunk by chunk, and
+Payloads move as rows ``(record_id, chunk, data, bytes_so_far, digest, last)``.
+The scan's row is the last place that holds a payload whole: Spark cuts it
+into chunks there, and no Python worker, shuffle, writer or reader after it
+holds more than chunks.  The SHA-1 is carried forward chunk by chunk, and
 ``digest`` on the last row is the payload's.  Written archives hold one gzip
 member per record, in files that tasks write straight to the shared folder; a
 manifest table names the files of the attempts that succeeded, so a retried or
@@ -12,7 +14,8 @@ response and the others are revisits that refer to it; payloads below
 ``revisit_from`` bytes are always responses.  Payloads are equal when length,
 SHA-1 and a 128-bit xxhash agree.  Null payloads are empty.  A null identifier
 is written as ``null`` and ranks below all others.  Rows with equal
-identifiers and payloads are all responses if any of them is.
+identifiers and payloads are all responses if any of them is.  Extra columns
+are ignored, an empty table gives no archives.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import attempt_name, broadcast_if_small, materialize, open_input, open_output, row_ids, shared_dir
+from .runtime import attempt_name, broadcast_if_small, materialize, open_input, open_output, shared_dir
 
 CHUNK_BYTES = 1 << 20
 REVISIT_FROM = 0
+#: Rows of about 300 bytes that are broadcast at most: 60 MB.
+MOST_BROADCAST = 200_000
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _CHUNKS = "uid long, record_id long, url string, payload_key string, chunk int, data binary, bytes_so_far long, digest string, identity binary, last boolean"
 _CHUNK_SCHEMA = pa.schema(
@@ -59,33 +64,38 @@ def chunk_table(df: DataFrame, record_id: str, url: str, payload: str, chunk_byt
     length, digest and identity.  ``uid`` tells the rows of a record apart
     within one job; ``payload_key`` finds the record again in another.
     """
+    body = F.coalesce(F.col(payload).cast("string").cast("binary"), F.lit(b""))
+    whole = df.select(
+        F.monotonically_increasing_id().alias("uid"), F.col(record_id).cast("long").alias("record_id"), F.col(url).cast("string").alias("url"),
+        F.concat_ws(":", F.octet_length(body).cast("string"), F.hex(F.xxhash64(body))).alias("payload_key"), body.alias("body"), F.octet_length(body).alias("total"),
+    )
+    last = F.floor((F.greatest(F.col("total"), F.lit(1)) - 1) / chunk_bytes).cast("int")
+    pieces = whole.withColumn("last_chunk", last).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("last_chunk"))))
+    cut = pieces.select("uid", "record_id", "url", "payload_key", "chunk", F.col("chunk") == F.col("last_chunk"), F.substr("body", (F.col("chunk") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes)).alias("data"))
 
     def run(batches):
         import xxhash
-        from pyspark import TaskContext
 
-        partition, seen = TaskContext.get().partitionId(), 0
+        sha = other = None
 
         def rows():
-            nonlocal seen
+            nonlocal sha, other, done
             for batch in batches:
-                uids = row_ids(partition, seen, batch.num_rows).tolist()
-                seen += batch.num_rows
-                ids, urls, keys = (batch.column(k).to_pylist() for k in (0, 1, 3))
-                for i, body in enumerate(batch.column(2).cast(pa.binary())):
-                    view = memoryview(body.as_buffer()) if body.is_valid else memoryview(b"")
-                    sha, other = hashlib.sha1(), xxhash.xxh3_128()
-                    for k, at in enumerate(range(0, max(1, len(view)), chunk_bytes)):
-                        piece = view[at : at + chunk_bytes]
-                        sha.update(piece)
-                        other.update(piece)
-                        last = at + chunk_bytes >= len(view)
-                        if with_data or last:
-                            yield uids[i], ids[i], urls[i], keys[i], k, bytes(piece) if with_data else None, at + len(piece), base32_sha1(sha.digest()), other.digest() if last else None, last
-
+                uids, ids, urls, keys, chunks, lasts = (batch.column(k).to_pylist() for k in range(6))
+                for i, data in enumerate(batch.column(6)):
+                    if chunks[i] == 0:
+                        sha, other, done = hashlib.sha1(), xxhash.xxh3_128(), 0
+                    piece = memoryview(data.as_buffer())
+                    sha.update(piece)
+                    other.update(piece)
+                    done += len(piece)
+                    if with_data or lasts[i]:
+                        yield uids[i], ids[i], urls[i], keys[i], chunks[i], bytes(piece) if with_data else None, done, base32_sha1(sha.digest()), other.digest() if lasts[i] else None, lasts[i]
+
+        done = 0
         yield from _batches(rows(), _CHUNK_SCHEMA)
 
-    return df.select(F.col(record_id).cast("long"), F.col(url).cast("string"), F.col(payload).cast("string"), F.sha1(F.coalesce(F.col(payload), F.lit("")))).mapInArrow(run, _CHUNKS)
+    return cut.mapInArrow(run, _CHUNKS)
 
 
 def record_types(ends: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
@@ -97,7 +107,7 @@ def record_types(ends: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame
     rows = materialize(ends.groupBy("record_id", *payload).agg(F.count("*").alias("copies")), "records")
     best = materialize(rows.groupBy(*payload).agg(F.max("record_id").alias("best"), F.count("*").alias("n")).filter("n > 1").select(*payload, "best"), "responses")
     revisit = F.col("best").isNotNull() & (F.col("bytes_so_far") >= revisit_from) & ~F.col("record_id").eqNullSafe(F.col("best"))
-    return rows.join(broadcast_if_small(best, 500_000), payload, "left").select(
+    return rows.join(broadcast_if_small(best, MOST_BROADCAST), payload, "left").select(
         F.col("record_id").alias("_r"), F.col("payload_key").alias("_k"),
         F.col("bytes_so_far").alias("total"), F.col("digest").alias("payload_digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"),
@@ -260,18 +270,20 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(min(files, 10_000)).select("path").mapInArrow(run, _READ)
 
 
-def archive(df: DataFrame, record_id: str, url: str, payload: str, folder: str | None = None, revisit_from: int = REVISIT_FROM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def archive(
+    df: DataFrame, record_id: str, url: str, payload: str, folder: str | None = None, revisit_from: int = REVISIT_FROM, chunk_bytes: int = CHUNK_BYTES, most_broadcast: int = MOST_BROADCAST
+) -> DataFrame:
     """Write ``df`` as WARC files; returns the manifest as a table.
 
     The payloads are read twice, first for their digests, then to be written
-    where they lie; they are shuffled only if the table of record types is
-    too large to broadcast.
+    where they lie; they are shuffled only if the table of record types, of about
+    300 bytes a row, has more than ``most_broadcast`` rows.
     """
     ends = chunk_table(df, record_id, url, payload, chunk_bytes, with_data=False).select("record_id", "payload_key", "bytes_so_far", "digest", "identity")
     types = materialize(record_types(ends, revisit_from), "types")
     chunks = chunk_table(df, record_id, url, payload, chunk_bytes)
     same = F.col("record_id").eqNullSafe(F.col("_r")) & (F.col("payload_key") == F.col("_k"))
-    if types.count() <= 500_000:
+    if types.count() <= most_broadcast:
         rows = chunks.join(F.broadcast(types), same)
     else:
         rows = chunks.join(types, same).sortWithinPartitions("uid", "chunk")

@@ -377,8 +377,8 @@ def test_warc_round_trip(spark, tmp_path):
     bodies = ["", None, "a", "a", "é" * 3000, "é" * 3000, "é" * 3000, "b\r\n\r\nWARC/1.1\r\n", "x" * 100_001]
     rows = [(i, f"http://h/{i}\r\n", b, "z", "q") for i, b in enumerate(bodies)] + [(None, None, "a", "z", "q"), (2, "again", "a", "z", "q"), (3, "again", "a", "z", "q")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, chunk string, uid string").repartition(3)
-    for least in (0, 10):
-        manifest = warc.archive(df, "page_id", "url", "html", str(tmp_path / f"a{least}"), least, chunk_bytes=1000)
+    for least, most in ((0, 200_000), (10, 200_000), (0, 0)):
+        manifest = warc.archive(df, "page_id", "url", "html", str(tmp_path / f"a{least}-{most}"), least, chunk_bytes=1000, most_broadcast=most)
         best = defaultdict(lambda: -1)
         for r in rows:
             best[r[2] or ""] = max(best[r[2] or ""], -1 if r[0] is None else r[0])
