@@ -19,7 +19,9 @@ The template is ``<|turn|>role<|text|>text<|end|>``.  In roles and texts a
 backslash is doubled and a control string gets a backslash after its first
 character; ``unescape`` removes them again.  Turns sort by number (null
 first), then role and text; null roles and texts are empty, repeated rows are
-turns of their own, an empty table gives no rows.
+turns of their own.  A row with a null ``conv_id`` is a conversation of its
+own.  Texts are formatted whole, whatever their length; a conversation lies in one row.  Extra columns are
+ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, parts_for
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that must not appear inside a formatted text: the template's own and those of common chat formats.
@@ -100,9 +102,12 @@ class _Pack:
 def pack(turns: DataFrame, pack_chars: int = PACK_CHARS, pack_conversations: int = PACK_CONVERSATIONS) -> DataFrame:
     """Packs of the prefix tree over ``turns (conv_id, turn, role, text)``."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    # A null identifier names no conversation: its rows are grouped by a number of their own.
+    conversation, alone = F.col("conv_id").cast("long"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    named = turns.select(conversation.alias("conv_id"), alone.alias("alone"), F.col("turn"), F.col("role"), F.col("text"))
+    whole = named.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     one = lambda x: F.substring(F.md5(F.concat(x["role"], F.lit("\n"), x["text"])), 1, 16)
-    keyed = materialize(whole.withColumn("path", F.array_join(F.transform("turns", one), "")), "conversations")
+    keyed = materialize(whole.drop("alone").withColumn("path", F.array_join(F.transform("turns", one), "")), "conversations")
 
     def walk(batches):
         now, line, nodes = _Pack(), [], []
@@ -123,7 +128,7 @@ def pack(turns: DataFrame, pack_chars: int = PACK_CHARS, pack_conversations: int
         if now.conversations:
             yield now.batch()
 
-    parts = max(1, min(10_000, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = min(10_000, parts_for(keyed, F.coalesce(F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["text"])), F.lit(0))))
     ordered = keyed.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
     return ordered.mapInArrow(walk, PACKS)
 

@@ -13,8 +13,8 @@ Texts are equal when identical after deleting every white-space byte
 (``[\\x20\\x09-\\x0D]``).  Of equal texts the row with the most code points in
 the original text stays, then the smallest ``doc_id`` (null last), then the
 first row read.  Null and empty texts are equal to each other.  Repeated rows
-count as copies, extra columns are ignored, an empty table gives an empty
-result.
+count as copies, texts are compared whole whatever their length, extra columns
+are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import SPACE, broadcast_if_small, materialize, row_ids
+from .runtime import SPACE, broadcast_if_small, materialize, row_ids, scratch
 from .words import SPACE_BYTES
 
 TRIE_BYTES = 64 << 20
@@ -148,7 +148,6 @@ def _local_owners(budget: int):
             text = batch.column(1)
             chars = pc.utf8_length(text.fill_null("")).to_pylist()
             own = np.empty(n, np.int64)
-            spilled = []
             for i, raw in enumerate(text.cast(pa.binary())):
                 key = (raw.as_py() or b"").translate(None, SPACE_BYTES)
                 node = trie.node(key)
@@ -164,12 +163,11 @@ def _local_owners(budget: int):
                     if rank < tuple(value[1:4]):
                         value[1:4] = rank
                 if trie.bytes > budget:
-                    spilled.extend(trie.spill())
+                    yield from owner_batches(trie.spill())
             nothing = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uid), docs.cast(pa.int64()), pa.array(own), nothing, nothing, pa.nulls(n, pa.binary()), nothing, nothing, nothing, nothing], schema=schema
             )
-            yield from owner_batches(spilled)
         yield from owner_batches(trie.items())
 
     return run
@@ -197,13 +195,12 @@ def _merge_owners(budget: int):
     def run(batches):
         trie, group = PatriciaTrie(), None
         for batch in batches:
-            spilled = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 owner, length, h, text, chars, doc, uid, n = r
                 if (length, h) != group:
                     group = (length, h)
                     if trie.bytes > budget:
-                        spilled.extend(trie.spill())
+                        yield from batches_of(trie.spill())
                 node, rank = trie.node(text), (-chars, doc, uid)
                 if node[2] is None:
                     node[2] = [rank, n, [owner]]
@@ -211,7 +208,6 @@ def _merge_owners(budget: int):
                     node[2][0] = min(node[2][0], rank)
                     node[2][1] += n
                     node[2][2].append(owner)
-            yield from batches_of(spilled)
         yield from batches_of(trie.items())
 
     return run
@@ -230,23 +226,29 @@ def exact_groups(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns.
+    """The rows of ``docs`` that stay, with their columns, whatever their names.
 
-    Rows are dropped by ``doc_id``; where several rows share one, the text
-    decides as well, and of equal texts the longest original stays.
+    Rows are dropped by ``doc_id``; where several rows share one or have none, the text
+    decides as well.  Of their equal texts the longest original stays, then the
+    first by code points, then the first row as JSON, so that reruns agree.
     """
-    groups = materialize(exact_groups(docs, trie_bytes), "groups")
-    shared = materialize(groups.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "shared_ids")
-    dropped = materialize(groups.filter("not kept").select(F.col("doc_id").alias("_id")), "dropped_ids")
+    with scratch() as keep:
+        groups = materialize(exact_groups(docs, trie_bytes), "groups")
+        keep.append(groups)
+    shared = materialize(groups.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("shared_id")), "shared_ids")
+    dropped = materialize(groups.filter("not kept").select(F.col("doc_id").alias("dropped_id")), "dropped_ids")
+    # Input columns move as one struct, so that none can meet a name used here.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
     if shared.isEmpty():
-        return docs.join(broadcast_if_small(dropped), docs["doc_id"] == F.col("_id"), "left_anti")
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    plain = docs.join(shared, same, "left_anti").join(dropped, same, "left_anti")
-    digest = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), SPACE, ""), 256)
-    first = Window.partitionBy("doc_id", "_digest").orderBy(F.length("text").desc_nulls_last())
-    kept = groups.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest")).distinct()
+        return rows.join(broadcast_if_small(dropped), F.col("id") == F.col("dropped_id"), "left_anti").select("row.*")
+    is_shared, is_dropped = F.col("id").eqNullSafe(F.col("shared_id")), F.col("id").eqNullSafe(F.col("dropped_id"))
+    plain = rows.join(shared, is_shared, "left_anti").join(dropped, is_dropped, "left_anti").select("row")
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    digest = F.sha2(F.regexp_replace(text, SPACE, ""), 256)
+    first = F.min_by("row", F.struct(-F.length(text), text, F.to_json("row")))
+    kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest")).distinct()
     several = (
-        docs.join(shared, same, "left_semi").withColumn("_digest", digest).withColumn("_rank", F.row_number().over(first)).filter("_rank = 1")
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-    )
-    return plain.unionByName(several.select(*docs.columns))
+        rows.join(shared, is_shared, "left_semi").withColumn("digest", digest).join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
+        .groupBy("id", "digest").agg(first.alias("row")).select("row")
+    )
+    return plain.unionByName(several).select("row.*")

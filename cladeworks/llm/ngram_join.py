@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import broadcast_if_small, materialize
+from .runtime import broadcast_if_small, materialize, scratch
 from .words import mix64, shingle_sets
 
 WIDTH = 5
@@ -283,8 +283,8 @@ def _verify(width: int, percent: int):
         group, pivots = None, []
         for batch in batches:
             found_a, found_b = [], []
-            a, salt, role, expected, doc = (batch.column(k).to_pylist() for k in range(5))
-            texts = batch.column(5)
+            a, salt, role, expected = (batch.column(k).to_pylist() for k in range(4))
+            texts = batch.column(4)
             for at in range(0, batch.num_rows, _SLICE_ROWS):
                 for k, shingles in enumerate(shingle_sets(texts.slice(at, _SLICE_ROWS), width), at):
                     if (a[k], salt[k]) != group:
@@ -292,13 +292,13 @@ def _verify(width: int, percent: int):
                     if _key(shingles)[0] != expected[k]:
                         continue
                     if role[k] == 0:
-                        pivots.append((doc[k], shingles))
+                        pivots.append((expected[k], shingles))
                         continue
-                    for pivot_doc, pivot in pivots:
+                    for pivot_key, pivot in pivots:
                         s, t = sorted((len(pivot), len(shingles)))
                         if need(s, t, percent) <= s and _overlap(pivot, shingles) >= need(s, t, percent):
-                            found_a.append(pivot_doc)
-                            found_b.append(doc[k])
+                            found_a.append(pivot_key)
+                            found_b.append(expected[k])
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=_LINKS_SCHEMA)
 
     return run
@@ -311,18 +311,18 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Of ``pairs (a, b)`` of set keys those that link, as representatives' ``(a, b)``.
+    """Of ``pairs (a, b)`` of set keys those that link.
 
     Whole texts of the sets at hand go to their pivot; a pivot with many
     partners is repeated for parts of them.
     """
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     ids = materialize(keys.join(classes.select(F.col("k1").alias("key"), F.col("rep")), "key").select("key", F.col("rep").alias("_doc")), "candidates")
-    texts = materialize(docs.join(broadcast_if_small(ids), docs["doc_id"] == F.col("_doc")).select("key", F.col("_doc").alias("doc"), docs["text"].cast("string").alias("text")), "texts")
+    texts = materialize(docs.join(broadcast_if_small(ids), docs["doc_id"] == F.col("_doc")).select("key", docs["text"].cast("string").alias("text")), "texts")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 400).cast("int").alias("parts"))
     salted = materialize(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), "salted")
-    members = salted.join(texts, F.col("b") == F.col("key")).select("a", "salt", F.lit(1).alias("role"), "key", "doc", "text")
-    heads = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("key")).select("a", "salt", F.lit(0).alias("role"), "key", "doc", "text")
+    members = salted.join(texts, F.col("b") == F.col("key")).select("a", "salt", F.lit(1).alias("role"), "key", "text")
+    heads = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("key")).select("a", "salt", F.lit(0).alias("role"), "key", "text")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return materialize(rows.mapInArrow(_verify(width, percent), _LINKS), "links")
 
@@ -481,9 +481,9 @@ def _likely_ties(ties: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return ties.filter("sure").select("a", "b").union(open_.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b"))
 
 
-def _labels(components: DataFrame, by_rep: DataFrame) -> DataFrame:
+def _labels(components: DataFrame) -> DataFrame:
     """The component of each set that is in one, by the set's key."""
-    return materialize(components.join(by_rep, components["id"] == by_rep["rep"]).groupBy("key").agg(F.min("component").alias("label")), "labels")
+    return materialize(components.select(F.col("id").alias("key"), F.col("component").alias("label")), "labels")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -509,6 +509,17 @@ def connected(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs (doc_id, text)``."""
+    with scratch() as keep:
+        sets, of_class = _components_of_sets(docs, width, percent)
+        keep += [sets, of_class]
+    rows = sets.filter("n is not null").select("doc_id", "n", "k1", "k2")
+    return rows.join(of_class, ["k1", "k2", "n"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
+
+def _components_of_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The table of ``_sets`` and ``k1, k2, n, component`` of every class of equal sets."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(docs.mapInArrow(_sets(width), _SETS), "sets")
@@ -529,9 +540,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     ties = lists.filter("pivot is not null").groupBy(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).agg(F.max("subset").alias("sure"))
     ties = materialize(ties, "ties")
     first = verified(docs, materialize(_likely_ties(ties, tokens, percent), "likely_ties"), classes, width, percent)
-    by_rep = classes.select(F.col("rep"), F.col("k1").alias("key"))
     tied = connected(first)
-    labels = _labels(tied, by_rep)
+    labels = _labels(tied)
 
     labelled = lists.filter("not subset").join(broadcast_if_small(labels), "key", "left").select("gid", "key", "n", F.coalesce(F.col("label"), F.col("key")).alias("label"), "size")
     pairs = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition("gid").mapInArrow(_short_pairs(percent), _PAIRS)
@@ -546,7 +556,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     best = materialize(best.union(near).distinct(), "best")
     second = verified(docs, best, classes, width, percent)
     tied = connected(tied.toDF("a", "b").union(second))
-    labels = _labels(tied, by_rep)
+    labels = _labels(tied)
 
     again = listed.drop("label").join(broadcast_if_small(labels), "key", "left").withColumn("label", F.coalesce(F.col("label"), F.col("key")))
     side = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
@@ -557,13 +567,20 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     third = verified(docs, materialize(rest, "rest"), classes, width, percent)
 
     components = connected(tied.toDF("a", "b").union(third))
-    of_class = materialize(classes.join(components, F.col("rep") == F.col("id"), "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")), "components")
-    return rows.join(of_class, ["k1", "k2", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    of_set = materialize(classes.join(components, F.col("k1") == F.col("id"), "left").select("k1", "k2", "n", "rep", "component"), "of_set")
+    least = materialize(of_set.filter("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("least")), "least")
+    of_class = of_set.join(broadcast_if_small(least), F.col("component") == F.col("c"), "left").select("k1", "k2", "n", F.coalesce("least", "rep").alias("component"))
+    return sets, materialize(of_class, "components")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest identifier."""
-    dropped = materialize(jaccard_components(docs, width, percent).filter("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct(), "dropped")
-    return docs.join(broadcast_if_small(dropped), docs["doc_id"] == F.col("_id"), "left_anti")
+    """The rows of ``docs`` that stay, with their columns, whatever their names: of each component the document with the smallest identifier.
+
+    Rows that share an identifier stay or go together: they go if all of them
+    lie in components with a smaller one.  Rows without an identifier stay.
+    """
+    found = jaccard_components(docs, width, percent).groupBy("doc_id").agg(F.bool_and(F.col("component_id") != F.col("doc_id")).alias("goes"))
+    dropped = materialize(found.filter("goes").select(F.col("doc_id").alias("dropped_id")), "dropped")
+    # Input columns move as one struct, so that none can meet a name used here.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(broadcast_if_small(dropped), F.col("id") == F.col("dropped_id"), "left_anti").select("row.*")

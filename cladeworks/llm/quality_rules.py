@@ -2,14 +2,18 @@
 
 Each rule looks at a text's measures and votes good, bad, or abstains.  The
 votes of all documents are counted by pattern (at most 3 to the number of
-rules, so the table that reaches the driver is bounded); expectation-
-maximisation over those counts estimates how often each rule votes either way
-on good and on bad documents, and the posterior probability of "good" is again
-a column expression.  It replaces the demand that a document pass every rule.
-
-Null texts have no words.  All counts cover the whole text; lines are split at
-``\\n``.  The windows of a text are compared by the 64-bit hash of five words.
-An empty table gives an empty result.
+rules, so the table that reaches the driver is bounded).  Expectation-
+maximisation over those counts estimates the share of good documents and how
+accurate each rule is on good and on bad ones, and the posterior probability
+of "good" is again a column expression.  It replaces the demand that a
+document pass every rule, from which the estimation starts: a document is
+taken for good with probability ``START`` if no rule votes bad, else with
+``1 - START``.  From there a rule whose bad votes the others do not bear out
+loses its say, and one that they do decides alone.
+
+Null texts have no words.  All counts cover the whole text, however long;
+lines are split at ``\\n``.  The windows of a text are compared by the 64-bit hash of five words.
+Repeated rows count each, null identifiers stay, extra columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,14 +28,19 @@ from .runtime import SPACE, WORD, materialize
 #: name: (measure, good when, bad when), over the columns of ``measures``.
 RULES = {
     "word_length": ("word_chars / n_words", "m between 3 and 12", "m < 2 or m > 20"),
-    "symbols": ("n_symbols / n_words", "m <= 0.05", "m > 0.2"),
+    "symbols": ("n_symbols / n_words", "m <= 0.05", "m > 0.1"),
+    "symbol_share": ("n_symbols / word_chars", "m <= 0.01", "m > 0.05"),
     "repeated_lines": ("n_dup_lines / n_lines", "m <= 0.05", "m > 0.3"),
     "repeated_windows": ("n_repeat_words / n_words", "m <= 0.05", "m > 0.2"),
-    "letters": ("n_letters / word_chars", "m >= 0.75", "m < 0.5"),
+    "letters": ("n_letters / word_chars", "m >= 0.8", "m < 0.65"),
+    "plain_words": ("n_plain / n_words", "m >= 0.9", "m < 0.7"),
     "length": ("n_words", "m >= 50", "m < 10"),
 }
 ITERATIONS = 40
+START = 0.9
 KEEP = 0.5
+#: A word of letters alone, with punctuation around it at most.
+PLAIN = r"(?<![^\x20\x09-\x0D])[\"'(\[\u00AB\u201C\u2018\u00BF\u00A1]?\p{L}[\p{L}\p{M}'\u2019-]*+[.,;:!?\"')\]\u00BB\u201D\u2019\u2026]*+(?![^\x20\x09-\x0D])"
 
 
 def measures(text: Column) -> list[Column]:
@@ -44,6 +53,7 @@ def measures(text: Column) -> list[Column]:
         lines.alias("lines"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long").alias("n_letters"),
+        F.regexp_count(text, F.lit(PLAIN)).cast("long").alias("n_plain"),
     ]
 
 
@@ -67,11 +77,11 @@ def _repeated(width: int = 5) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id`` with ``n_words, word_chars, n_symbols, n_letters, n_lines, n_dup_lines, n_repeat_words, base_failed``."""
+    """``doc_id`` with ``n_words, word_chars, n_symbols, n_letters, n_plain, n_lines, n_dup_lines, n_repeat_words, base_failed``."""
     first = docs.select("doc_id", *measures(F.col("text")))
     window = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + k) for k in range(1, 5)]))
     counted = first.select(
-        "doc_id", "n_symbols", "n_letters",
+        "doc_id", "n_symbols", "n_letters", "n_plain",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -103,33 +113,28 @@ def votes(rules=None) -> list[Column]:
     return out
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS, start: float = START) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over (votes, count) pairs.
 
     Returns the log-odds of "good" and for each rule what a vote of 1 or -1
-    adds to them.  An abstention adds nothing.  Both classes start from a vote
-    in which a bad mark outweighs three good ones, and the rates are smoothed
-    towards rules that are right, so that a rule never counts against itself.
+    adds to them; an abstention adds nothing.  For each class a rule's rate of
+    good votes among its votes is estimated with one more vote either way, the
+    share of good documents with one more of either kind.
     """
     patterns = sorted(patterns)
     width = len(patterns[0][0]) if patterns else 0
     sigmoid = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
-    good = [sigmoid(1 + sum(1 if v > 0 else -3 if v < 0 else 0 for v in votes)) for votes, _ in patterns]
+    good = [1 - start if -1 in votes else start for votes, _ in patterns]
     prior, weights = 0.0, [{1: 0.0, -1: 0.0} for _ in range(width)]
+    total = sum(n for _, n in patterns)
     for _ in range(iterations):
-        total = sum(n for _, n in patterns)
-        mass = sum(n * p for (_, n), p in zip(patterns, good, strict=True))
-        rate = min(0.95, max(0.5, (mass + 8) / (total + 10)))
-        prior = math.log(rate / (1 - rate))
+        share = (sum(n * p for (_, n), p in zip(patterns, good, strict=True)) + 1) / (total + 2)
+        prior = math.log(share / (1 - share))
         for j in range(width):
-            rates = {}
-            for cls, weight in (("good", lambda p: p), ("bad", lambda p: 1 - p)):
-                right, wrong = (9.0, 1.0) if cls == "good" else (2.0, 8.0)
-                up = right + sum(n * weight(p) for (v, n), p in zip(patterns, good, strict=True) if v[j] > 0)
-                down = wrong + sum(n * weight(p) for (v, n), p in zip(patterns, good, strict=True) if v[j] < 0)
-                rates[cls] = up / (up + down)
-            g, b = (min(0.999, max(0.001, rates[c])) for c in ("good", "bad"))
-            weights[j] = {1: max(0.0, math.log(g / b)), -1: min(0.0, math.log((1 - g) / (1 - b)))}
+            up = {k: 1 + sum(n * (p if k else 1 - p) for (v, n), p in zip(patterns, good, strict=True) if v[j] > 0) for k in (True, False)}
+            down = {k: 1 + sum(n * (p if k else 1 - p) for (v, n), p in zip(patterns, good, strict=True) if v[j] < 0) for k in (True, False)}
+            of_good, of_bad = (up[k] / (up[k] + down[k]) for k in (True, False))
+            weights[j] = {1: math.log(of_good / of_bad), -1: math.log((1 - of_good) / (1 - of_bad))}
         good = [sigmoid(prior + sum(weights[j].get(v, 0.0) for j, v in enumerate(votes))) for votes, _ in patterns]
     return prior, weights
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: The word pattern of the contracts and its separators, as Java and DuckDB regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,15 +41,53 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if _HELD:
+        _HELD[-1].append(out)
+    return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Mark a materialised table of narrow rows for broadcasting if it has at most ``max_rows`` rows.
+_HELD: list[list[DataFrame]] = []
 
-    A larger one stays as it is and its join is shuffled.
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that ``materialize`` writes inside are removed at the end, but for those put into the list that this gives."""
+    _HELD.append([])
+    keep: list[DataFrame] = []
+    try:
+        yield keep
+    finally:
+        tables = _HELD.pop()
+        discard(*[t for t in tables if not any(t is k for k in keep)])
+        if _HELD:
+            _HELD[-1].extend(t for t in tables if any(t is k for k in keep))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that no later step reads."""
+    for df in tables:
+        spark, path = df.sparkSession, df.stored_at
+        target = spark._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000, max_bytes: int = 128 << 20) -> DataFrame:
+    """Mark a materialised table of narrow rows for broadcasting if it has at most ``max_rows`` rows and ``max_bytes`` in memory.
+
+    Columns of variable size are measured.  A larger table stays as it is and its join is shuffled.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    fixed = sum(8 for t in df.schema if not isinstance(t.dataType, (StringType, BinaryType)))
+    size = sum((F.coalesce(F.octet_length(t.name), F.lit(0)) + 16 for t in df.schema if isinstance(t.dataType, (StringType, BinaryType))), F.lit(fixed + 16))
+    rows, taken = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and taken <= max_bytes else df
+
+
+def parts_for(df: DataFrame, size: Column, each: int = 128 << 20) -> int:
+    """Partitions of about ``each`` bytes for rows of ``size`` bytes, not fewer than the session's shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, (df.agg(F.sum(size)).first()[0] or 0) // each + 1)
 
 
 def open_output(uri: str):

@@ -16,6 +16,8 @@ Documents lie in ascending order of ``doc_id`` (null first) across the files.
 Each task writes its range to the shared folder under a name of its own; the
 manifest names the files of successful attempts.  Null texts are empty; every
 document ends with ``end_id``; repeated rows are documents of their own.
+Texts are encoded whole, whatever their length; extra columns are ignored, an
+empty table gives no files.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .runtime import attempt_name, materialize, open_input, open_output, shared_dir
+from .runtime import attempt_name, materialize, open_input, open_output, parts_for, shared_dir
 from .words import string_buffer
 
 MAGIC = b"PLANES01"
@@ -186,8 +188,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
             writer.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [int(first)], "last_doc": [int(last)], "docs": [n_docs], "ids": [writer.n_ids]})
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = parts_for(rows, F.coalesce(F.octet_length("text"), F.lit(0)))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     files = materialize(ordered.mapInArrow(run, _MANIFEST), "manifest")
     before = Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)

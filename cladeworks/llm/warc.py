@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import attempt_name, broadcast_if_small, materialize, open_input, open_output, shared_dir
+from .runtime import attempt_name, broadcast_if_small, materialize, open_input, open_output, scratch, shared_dir
 
 CHUNK_BYTES = 1 << 20
 REVISIT_FROM = 0
@@ -279,12 +279,15 @@ def archive(
     where they lie; they are shuffled only if the table of record types, of about
     300 bytes a row, has more than ``most_broadcast`` rows.
     """
-    ends = chunk_table(df, record_id, url, payload, chunk_bytes, with_data=False).select("record_id", "payload_key", "bytes_so_far", "digest", "identity")
-    types = materialize(record_types(ends, revisit_from), "types")
-    chunks = chunk_table(df, record_id, url, payload, chunk_bytes)
-    same = F.col("record_id").eqNullSafe(F.col("_r")) & (F.col("payload_key") == F.col("_k"))
-    if types.count() <= most_broadcast:
-        rows = chunks.join(F.broadcast(types), same)
-    else:
-        rows = chunks.join(types, same).sortWithinPartitions("uid", "chunk")
-    return materialize(write_archives(rows, folder or f"{shared_dir(df.sparkSession)}/warc"), "manifest")
+    with scratch() as keep:
+        ends = chunk_table(df, record_id, url, payload, chunk_bytes, with_data=False).select("record_id", "payload_key", "bytes_so_far", "digest", "identity")
+        types = materialize(record_types(ends, revisit_from), "types")
+        chunks = chunk_table(df, record_id, url, payload, chunk_bytes)
+        same = F.col("record_id").eqNullSafe(F.col("_r")) & (F.col("payload_key") == F.col("_k"))
+        if types.count() <= most_broadcast:
+            rows = chunks.join(F.broadcast(types), same)
+        else:
+            rows = chunks.join(types, same).sortWithinPartitions("uid", "chunk")
+        manifest = materialize(write_archives(rows, folder or f"{shared_dir(df.sparkSession)}/warc"), "manifest")
+        keep.append(manifest)
+    return manifest
