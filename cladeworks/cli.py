@@ -1,8 +1,9 @@
-"""Command line: ``resolve``, ``trace entry`` and ``common-names``."""
+"""Command line: ``resolve``, ``trace entry`` and ``common-names``, and the options on the cache."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import sys
@@ -10,97 +11,176 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
+from .config import Config
 from .operators import common_names, grouping, resolve, trace
-from .sources import backbone, entries, sinks, verifier
+from .operators.ladder import lookups
+from .sources import backbone, entries, sinks, store, verifier
 
 log = logging.getLogger("cladeworks")
+_SWITCHES = ("all_matches", "capitalize", "fuzzy_uninomial", "fuzzy_relaxed", "species_group")
+#: Input bytes whose rows go to one output file, about.
+FILE_BYTES = 128 << 20
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cladeworks", description="Align organism records to one taxonomic hierarchy.")
-    p.add_argument("--log-level", default="INFO")
-    commands = p.add_subparsers(dest="command", required=True)
+    p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
+    p.add_argument("--cache-dir", help="folder of stored tables; else $CLADEWORKS_CACHE_DIR")
+    p.add_argument("--cache-input", help="input whose stored tables --cache-stats describes")
+    p.add_argument("--show-cache-path", action="store_true")
+    p.add_argument("--show-config", action="store_true")
+    p.add_argument("--cache-stats", action="store_true")
+    p.add_argument("--clear-cache", action="store_true")
+    p.add_argument("--log-level", default="INFO", choices=("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"))
+    p.add_argument("--log-file")
+    commands = p.add_subparsers(dest="command")
     r = commands.add_parser("resolve", help="resolve the lineages of entries")
     r.add_argument("-i", "--input", required=True)
     r.add_argument("-o", "--output-dir", required=True)
-    r.add_argument("--output-format", choices=("parquet", "csv"), default="parquet")
-    r.add_argument("--responses", help="Parquet table of (term, source_id, response)")
-    r.add_argument("--verifier", help="name-verifier program to call for terms")
-    r.add_argument("--batch-size", type=int, default=verifier.BATCH)
+    r.add_argument("--output-format", choices=("parquet", "csv"), default=Config.output_format)
     r.add_argument("--force-input", action="store_true", help="accept the input as it is")
-    r.add_argument("--full-rerun", action="store_true", help="delete the files of the earlier run and start anew")
+    r.add_argument("--full-rerun", action="store_true", help="delete the files and stored tables of the earlier run and start anew")
+    r.add_argument("--refresh-cache", action="store_true", help="compute stored tables anew")
+    r.add_argument("--cache-stats", dest="input_cache_stats", action="store_true", help="describe the stored tables of this input and end")
     t = commands.add_parser("trace", help="show what happened to a record").add_subparsers(dest="kind", required=True).add_parser("entry")
     t.add_argument("--uuid", required=True)
     t.add_argument("--from-input", required=True)
-    t.add_argument("--responses")
-    t.add_argument("--verifier")
-    t.add_argument("--batch-size", type=int, default=verifier.BATCH)
+    t.add_argument("--format", choices=("json", "text"), default="json")
+    t.add_argument("--verbose", action="store_true", help="list all members of the record's group too")
+    for x in (r, t):
+        x.add_argument("--responses", help="Parquet table of (term, source_id, response)")
+        x.add_argument("--verifier", help="name-verifier program to call for terms")
+        x.add_argument("--batch-size", type=int, default=Config.batch_size)
+        x.add_argument("--jobs", type=int, default=Config.jobs)
+        for name in _SWITCHES:
+            x.add_argument(f"--{name.replace('_', '-')}", action=argparse.BooleanOptionalAction, default=getattr(Config, name))
     c = commands.add_parser("common-names", help="add vernacular names to resolved records")
     c.add_argument("--resolved-dir", required=True)
     c.add_argument("--output-dir", required=True)
-    c.add_argument("--backbone", required=True, help="folder with Taxon.tsv and VernacularName.tsv")
-    c.add_argument("--higher-rank-fallback", action=argparse.BooleanOptionalAction, default=True)
+    c.add_argument("--backbone", required=True, help="folder with Taxon.tsv and VernacularName.tsv, or an archive of them")
+    c.add_argument("--higher-rank-fallback", action=argparse.BooleanOptionalAction, default=Config.higher_rank_fallback)
     return p
 
 
-def _responses(spark, args, groups):
-    from .operators.ladder import lookups
+def _config(args) -> Config:
+    return Config().updated(**vars(args))
 
+
+def _cache(spark, args, path: str) -> store.TableCache:
+    config = _config(args)
+    return store.TableCache(spark, config.cache_dir, store.namespace("resolve", trace.fingerprint(entries.find_inputs(path))), config.cache_max_age)
+
+
+def _answers(spark, args, groups):
     if args.responses:
         return spark.read.parquet(args.responses)
     if args.verifier:
-        return verifier.program_responses(lookups(groups), args.verifier, args.batch_size)
+        return verifier.program_responses(lookups(groups), args.verifier, args.batch_size, **_config(args).verifier_options())
     raise SystemExit("give --responses or --verifier")
 
 
+def _cached_answers(spark, args, groups, cache, refresh):
+    """Answers of a program are stored; a table of answers is read where it lies."""
+    if args.responses:
+        return _answers(spark, args, groups)
+    options = json.dumps({"program": args.verifier, **_config(args).verifier_options()}, sort_keys=True)
+    return cache.table(f"answers-{trace.digest(options)[:12]}", lambda: _answers(spark, args, groups), refresh)
+
+
+def _parts(files: list[str]) -> dict[str, int]:
+    return {os.path.abspath(f): os.path.getsize(f) // FILE_BYTES + 1 for f in files}
+
+
 def run_resolve(spark: SparkSession, args) -> int:
+    cache = _cache(spark, args, args.input)
+    if args.input_cache_stats:
+        print(json.dumps(cache.stats(), indent=2))
+        return 0
     if args.full_rerun:
         sinks.delete_listed(args.output_dir, "resolve")
-    elif sinks.already_run(args.output_dir):
-        log.warning("%s holds an earlier run; use --full-rerun to replace it", args.output_dir)
+        cache.clear()
+    elif sinks.already_run(args.output_dir) or cache.used():
+        log.warning("%s or %s holds an earlier run of this input; use --full-rerun to replace it", args.output_dir, cache.folder)
         return 0
     files = entries.find_inputs(args.input)
-    raw = entries.read_raw(spark, files)
-    rows_in = entries.normalized_entries(raw)
-    sinks.write_manifest(args.output_dir, "resolve", args.input, sinks.intended_for_resolve(args.input, files, args.output_format, args.force_input))
-    one = lambda df, f: df.filter(F.regexp_replace("input_file", "^file:(//)?", "") == os.path.abspath(f))
-    bases = {f: n.rsplit(".", 2)[0] for f, n in zip(files, sinks.output_names(args.input, files, args.output_format, True), strict=True)}
+    rows = entries.normalized_entries(entries.read_raw(spark, files)).withColumn("input_file", F.regexp_replace("input_file", "^file:/*(?=/)", ""))
+    kind = args.output_format
+    sinks.write_manifest(args.output_dir, "resolve", args.input, sinks.intended_for_resolve(args.input, files, kind, args.force_input), cache.folder)
+    bases = {os.path.abspath(f): n.rsplit(".", 2)[0] for f, n in zip(files, sinks.output_names(args.input, files, kind, True), strict=True)}
+    targets = {(f, x): f"{base}.{x}.{kind}" for f, base in bases.items() for x in ("resolved", "unsolved", "forced")}
     if args.force_input:
-        for f, base in bases.items():
-            sinks.write(resolve.forced_rows(one(rows_in, f)), f"{args.output_dir}/{base}.forced.{args.output_format}", args.output_format)
+        sinks.write_by_file(resolve.forced_rows(rows).withColumn("outcome", F.lit("forced")), args.output_dir, targets, _parts(files), kind)
         return 0
-    groups = grouping.group_entries(rows_in).persist()
-    final = resolve.force_failed(resolve.final_attempts(groups, _responses(spark, args, groups))).persist()
-    for f, base in bases.items():
-        sinks.write_resolution(resolve.output_rows(one(rows_in, f), final), args.output_dir, base, args.output_format)
+    groups = cache.table("groups", lambda: grouping.group_entries(rows), args.refresh_cache)
+    answers = _cached_answers(spark, args, groups, cache, args.refresh_cache)
+    final = cache.table(f"final-{trace.digest(str(args.responses or args.verifier))[:12]}", lambda: resolve.final_attempts(groups, answers), True)
+    final = resolve.force_failed(final)
+    out = resolve.output_rows(rows, final)
+    sinks.write_by_file(out.withColumn("outcome", F.when(resolve.is_resolved(), "resolved").otherwise("unsolved")), args.output_dir, targets, _parts(files), kind)
     sinks.write_statistics(resolve.statistics(final), args.output_dir)
     return 0
 
 
 def run_trace(spark: SparkSession, args) -> int:
     rows = entries.read_entries(spark, args.from_input)
-    said = trace.trace_entry(rows, lambda groups: resolve.chains(resolve.final_attempts(groups, _responses(spark, args, groups))), args.uuid).collect()
+    said = trace.trace_entry(rows, lambda groups: resolve.chains(resolve.final_attempts(groups, _answers(spark, args, groups))), args.uuid).collect()
     for r in said:
-        print(r.trace)
+        print(trace.as_text(r.trace) if args.format == "text" else r.trace)
+    if args.verbose:
+        for r in trace.group_members(rows, args.uuid).toLocalIterator():
+            print(f"member {r.group_key} {r.uuid}")
     return 0 if said else 1
 
 
 def run_common_names(spark: SparkSession, args) -> int:
-    taxa = backbone.read_taxa(spark, f"{args.backbone}/{backbone.TAXA}")
-    names = common_names.prioritize_vernacular(backbone.read_vernacular(spark, f"{args.backbone}/{backbone.NAMES}"))
+    taxa_path, names_path = f"{args.backbone}/{backbone.TAXA}", f"{args.backbone}/{backbone.NAMES}"
+    if args.backbone.endswith(".zip"):
+        taxa_path, names_path = backbone.unpack(args.backbone, os.path.splitext(args.backbone)[0])
+    taxa = backbone.read_taxa(spark, taxa_path)
+    names = common_names.prioritize_vernacular(backbone.read_vernacular(spark, names_path))
     files = sorted({os.path.join(d, x) for d, dirs, fs in os.walk(args.resolved_dir) for x in (*dirs, *fs) if x.endswith(".resolved.parquet")})
     sinks.write_manifest(args.output_dir, "common-names", args.resolved_dir, sinks.intended_for_common_names(args.resolved_dir, files))
-    for f in files:
-        out = common_names.add_common_names(spark.read.parquet(f), taxa, names, args.higher_rank_fallback)
-        sinks.write(out, f"{args.output_dir}/{os.path.relpath(f, args.resolved_dir)}", "parquet")
+    if not files:
+        return 0
+    size = lambda f: sum(os.path.getsize(os.path.join(d, x)) for d, _, fs in os.walk(f) for x in fs) if os.path.isdir(f) else os.path.getsize(f)
+    out = common_names.add_common_names(backbone.read_annotations(spark, files), taxa, names, args.higher_rank_fallback)
+    targets = {(os.path.abspath(f), "named"): os.path.relpath(f, args.resolved_dir) for f in files}
+    sinks.write_by_file(out.withColumn("outcome", F.lit("named")), args.output_dir, targets, {os.path.abspath(f): size(f) // FILE_BYTES + 1 for f in files})
+    return 0
+
+
+def run_alone(spark_of, args) -> int | None:
+    """What options without a command ask for; None if they ask for nothing."""
+    config = _config(args)
+    if args.show_cache_path:
+        print(config.cache_dir)
+    elif args.show_config:
+        print(config.summary())
+    elif args.cache_stats:
+        spark = spark_of()
+        spaces = [_cache(spark, args, args.cache_input)] if args.cache_input else [store.TableCache(spark, config.cache_dir, x) for x in store.children(spark, config.cache_dir)]
+        print(json.dumps([x.stats() for x in spaces], indent=2))
+    elif args.clear_cache:
+        print(f"{store.clear_all(spark_of(), config.cache_dir)} stored tables removed")
+    else:
+        return None
     return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=args.log_level)
-    spark = SparkSession.builder.appName("cladeworks").getOrCreate()
-    return {"resolve": run_resolve, "trace": run_trace, "common-names": run_common_names}[args.command](spark, args)
+    handlers = [logging.StreamHandler(), *([logging.FileHandler(args.log_file)] if args.log_file else [])]
+    logging.basicConfig(level=args.log_level, handlers=handlers)
+    spark_of = lambda: SparkSession.builder.appName("cladeworks").getOrCreate()
+    if args.command is None:
+        done = run_alone(spark_of, args)
+        if done is None:
+            parser().print_help()
+        return 1 if done is None else done
+    if args.clear_cache:
+        store.clear_all(spark_of(), _config(args).cache_dir)
+    return {"resolve": run_resolve, "trace": run_trace, "common-names": run_common_names}[args.command](spark_of(), args)
 
 
 if __name__ == "__main__":

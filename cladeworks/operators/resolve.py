@@ -106,15 +106,16 @@ def _rows(entries: DataFrame, success, resolved) -> DataFrame:
     has = set(entries.columns)
     optional = [text(c) if c in has else F.lit("").alias(c) for c in ("scientific_name", "common_name", "source_dataset", "source_id")]
     path = F.when(F.col("_status") == FORCED, "FORCED").when(success, "RESOLVED").otherwise("UNSOLVED")
+    kept = [c for c in ("input_file",) if c in has]
     return entries.select(
         "uuid", *optional, F.col("_status").alias("resolution_status"), *ranks, path.alias("resolution_path"),
         F.col("_error").alias("resolution_error"), F.col("_reason").alias("resolution_failure_reason"), F.col("_strategy").alias("resolution_strategy"),
-        F.col("_term").alias("final_query_term"), F.col("_rank").alias("final_query_rank"), F.col("_source").alias("final_data_source_id"), F.col("_metadata_map").alias("metadata"),
+        F.col("_term").alias("final_query_term"), F.col("_rank").alias("final_query_rank"), F.col("_source").alias("final_data_source_id"), F.col("_metadata_map").alias("metadata"), *kept,
     )
 
 
 def output_rows(entries: DataFrame, final: DataFrame) -> DataFrame:
-    """One row per entry with its group's resolution; groups are found by key, not by member."""
+    """One row per entry with its group's resolution; groups are found by key, not by member.  ``input_file`` stays if entries have it."""
     names = {"status": "_status", "error": "_error", "failure_reason": "_reason", "strategy": "_strategy", "query_term": "_term", "query_rank": "_rank", "source_id": "_source", "metadata": "_metadata_map", "resolved": "_resolved"}
     side = final.select("group_key", *[F.col(a).alias(b) for a, b in names.items()])
     joined = with_group_key(entries).join(side, "group_key", "left")
@@ -136,10 +137,13 @@ def forced_rows(entries: DataFrame) -> DataFrame:
     return _rows(marked, F.lit(False), F.array(F.lit("")))
 
 
+def is_resolved() -> Column:
+    return F.col("resolution_status").isin(*SUCCESSFUL)
+
+
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved, unsolved)."""
-    done = F.col("resolution_status").isin(*SUCCESSFUL)
-    return rows.filter(done), rows.filter(~done)
+    return rows.filter(is_resolved()), rows.filter(~is_resolved())
 
 
 def expand_metadata(rows: DataFrame, keys) -> DataFrame:

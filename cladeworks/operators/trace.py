@@ -1,8 +1,9 @@
-"""What happened to one entry, and tables kept between runs."""
+"""What happened to one entry, and digests of its input."""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable
 
@@ -37,6 +38,27 @@ def trace_entry(entries: DataFrame, attempts_of: Callable[[DataFrame], DataFrame
     return whole.select(F.to_json(F.struct("group_key", "entry", "group", "query_plan", "attempts")).alias("trace"))
 
 
+def group_members(entries: DataFrame, uuid: str) -> DataFrame:
+    """``group_key, uuid`` of all entries that share a group with this one."""
+    keyed = with_group_key(entries)
+    return keyed.join(keyed.filter(F.col("uuid") == uuid).select("group_key").distinct(), "group_key", "left_semi").select("group_key", "uuid").orderBy("group_key", "uuid")
+
+
+def as_text(trace: str) -> str:
+    """A trace row for people: a section for each part, a line for each value."""
+    body = json.loads(trace)
+    lines = [f"Group {body['group_key']}"]
+    for title in ("entry", "group", "query_plan"):
+        lines += ["", title.replace("_", " ").capitalize(), *[f"  {k}: {v}" for k, v in (body.get(title) or {}).items()]]
+    for step in body.get("attempts") or []:
+        lines += ["", f"Attempt {step.get('rung', 0) + 1}", *[f"  {k}: {v}" for k, v in step.items() if k != "rung"]]
+    return "\n".join(lines)
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def fingerprint(paths: list[str]) -> str:
     """A digest of names, sizes and times of files."""
     h = hashlib.sha256()
@@ -54,24 +76,3 @@ def checksum(paths: list[str]) -> str:
             while block := f.read(1 << 20):
                 h.update(block)
     return h.hexdigest()
-
-
-def cached(df_of, folder: str, key: str, refresh: bool = False) -> DataFrame:
-    """The table stored under ``key`` in ``folder``, computed by ``df_of(spark)`` if absent; Spark's success marker tells a whole one."""
-    from pyspark.sql import SparkSession
-
-    spark, path = SparkSession.active(), f"{folder}/{key}"
-    if not refresh and os.path.exists(f"{path}/_SUCCESS"):
-        return spark.read.parquet(path)
-    df_of(spark).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def clear_cache(folder: str) -> int:
-    """Drop stored tables; returns how many."""
-    import shutil
-
-    stored = [p for p in (os.listdir(folder) if os.path.isdir(folder) else []) if os.path.exists(f"{folder}/{p}/_SUCCESS")]
-    for p in stored:
-        shutil.rmtree(f"{folder}/{p}")
-    return len(stored)

@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+import shutil
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TAXA, NAMES = "Taxon.tsv", "VernacularName.tsv"
 _TAXON_COLUMNS = ("taxonID", "canonicalName", "taxonRank", "taxonomicStatus", "kingdom", "phylum", "class", "order", "family", "genus")
 
 
-def unpack(archive: str, folder: str) -> tuple[str, str]:
+#: Bytes that a whole archive of the public backbone has at least.
+WHOLE_ARCHIVE = 900_000_000
+
+
+def unpack(archive: str, folder: str, least_bytes: int = 0) -> tuple[str, str]:
     """Paths of both tables in ``folder``, taken from ``archive`` where they are absent.
 
-    Members are found without regard to case or folder.  A broken archive is
-    removed and reported.  Nothing is downloaded.
+    Members are found without regard to case or folder and copied in pieces.
+    A broken archive, or one of fewer than ``least_bytes``, is removed and
+    reported.  Nothing is downloaded.
     """
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     wanted = {n: out / n for n in (TAXA, NAMES) if not (out / n).exists()}
     if wanted:
+        if Path(archive).stat().st_size < least_bytes:
+            Path(archive).unlink()
+            raise ValueError(f"{archive} was too small to be whole; fetch it again")
         try:
             with zipfile.ZipFile(archive) as z:
                 members = {m.rsplit("/", 1)[-1].lower(): m for m in z.namelist()}
                 for name, target in wanted.items():
                     if name.lower() not in members:
                         raise FileNotFoundError(f"{archive} has no {name}")
-                    target.write_bytes(z.read(members[name.lower()]))
+                    partial = target.with_suffix(".partial")
+                    with z.open(members[name.lower()]) as source, open(partial, "wb") as sink:
+                        shutil.copyfileobj(source, sink, 1 << 20)
+                    partial.rename(target)
         except zipfile.BadZipFile:
             Path(archive).unlink(missing_ok=True)
             raise
@@ -52,6 +65,7 @@ def read_vernacular(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path).select("taxonID", "vernacularName", "language")
 
 
-def read_annotations(spark: SparkSession, folder: str) -> DataFrame:
-    """All ``*.resolved.parquet`` files below a folder."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.resolved.parquet").parquet(folder)
+def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Resolved datasets as one table, with the dataset of each row as ``input_file``."""
+    rows = spark.read.parquet(*paths)
+    return rows.withColumn("input_file", F.regexp_extract(F.col("_metadata.file_path"), r"^(?:file:/*(?=/))?(.*?\.resolved\.parquet)", 1))

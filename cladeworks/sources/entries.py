@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +39,23 @@ def _columns(spark: SparkSession, path: str, kind: str) -> list[str]:
     return spark.read.csv(path, header=True).columns
 
 
-def validate(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Missing required columns of each file that has any; reads footers and header lines only."""
+def _schemas(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files by their columns; footers and header lines are read once each, in parallel."""
     kind = file_format(paths)
-    missing = {p: [c for c in REQUIRED if c not in _columns(spark, p, kind)] for p in paths}
-    return {p: m for p, m in missing.items() if m}
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for path, columns in zip(paths, pool.map(lambda p: tuple(_columns(spark, p, kind)), paths), strict=True):
+            out.setdefault(columns, []).append(path)
+    return out
+
+
+def _missing(by_columns: dict[tuple[str, ...], list[str]]) -> dict[str, list[str]]:
+    return {p: m for columns, files in by_columns.items() for p in files if (m := [c for c in REQUIRED if c not in columns])}
+
+
+def validate(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Missing required columns of each file that has any."""
+    return _missing(_schemas(spark, paths))
 
 
 def source_of(path: Column) -> Column:
@@ -54,13 +67,10 @@ def source_of(path: Column) -> Column:
 
 def read_raw(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Known columns as strings, extra columns ignored, with ``source_dataset`` and ``input_file``."""
-    if bad := validate(spark, paths):
+    kind, by_columns = file_format(paths), _schemas(spark, paths)
+    if bad := _missing(by_columns):
         raise ValueError(f"required columns are missing: {bad}")
-    kind = file_format(paths)
     # Files may differ in optional columns; each set of columns is one scan.
-    by_columns: dict[tuple, list[str]] = {}
-    for p in paths:
-        by_columns.setdefault(tuple(_columns(spark, p, kind)), []).append(p)
     parts = []
     for columns, files in by_columns.items():
         if kind == "csv":

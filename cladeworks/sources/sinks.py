@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..constants import MANIFESTS, STATS_FILE
-from ..operators.resolve import split
+from . import store
 
 
 def output_names(input_path: str, files: list[str], kind: str, forced: bool = False) -> list[str]:
@@ -85,11 +85,29 @@ def write(rows: DataFrame, path: str, kind: str, mode: str = "errorifexists") ->
     (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
 
 
-def write_resolution(rows: DataFrame, folder: str, base: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
-    """Two datasets, ``<base>.resolved.<kind>`` and ``<base>.unsolved.<kind>``, each written in parallel; an empty one is left out."""
-    for part, name in zip(split(rows), ("resolved", "unsolved"), strict=True):
-        if not part.isEmpty():
-            write(part, f"{folder}/{base}.{name}.{kind}", kind, mode)
+def write_by_file(rows: DataFrame, folder: str, targets: dict[tuple[str, str], str], parts: dict[str, int], kind: str = "parquet") -> list[str]:
+    """Write rows with ``input_file`` and ``outcome`` in one job; returns the datasets that it made.
+
+    ``targets`` names the dataset of each ``(input file, outcome)``, ``parts``
+    into how many files an input's rows go.  Spark partitions the output by
+    both columns below a staging folder, and each part is then renamed.  A
+    pair without rows gives no dataset.
+    """
+    spark, staging = rows.sparkSession, f"{folder}/.staging"
+    numbers = {f: k for k, f in enumerate(sorted(parts))}
+    files = F.broadcast(spark.createDataFrame([(f, k, max(1, parts[f])) for f, k in numbers.items()], "input_file string, file_number int, file_parts int"))
+    dealt = rows.join(files, "input_file").withColumn("file_part", F.pmod(F.xxhash64("uuid"), F.col("file_parts")))
+    dealt = dealt.repartition("file_number", "outcome", "file_part").drop("input_file", "file_parts", "file_part")
+    writer = _flat(dealt, kind).write.mode("overwrite").partitionBy("file_number", "outcome")
+    (writer.option("header", True).csv if kind == "csv" else writer.parquet)(staging)
+    made = []
+    for f, k in numbers.items():
+        for part in store.children(spark, f"{staging}/file_number={k}"):
+            name = targets[f, part.removeprefix("outcome=")]
+            store.move(spark, f"{staging}/file_number={k}/{part}", f"{folder}/{name}")
+            made.append(name)
+    store.delete(spark, staging)
+    return made
 
 
 def write_statistics(stats: DataFrame, folder: str) -> dict:

@@ -33,19 +33,25 @@ def command(program: str, source_id: int, jobs: int = 1, all_matches: bool = Tru
 
 
 def ask(arguments: list[str], names: list[str]) -> list[str]:
-    """One answer line per name.  Other output lines are skipped, broken JSON and missing lines become ``{}``."""
+    """One answer line per name, found by the name that the answer repeats.
+
+    Other output lines and broken JSON are skipped; a name without an answer gets ``{}``.
+    """
     done = subprocess.run(arguments, input="\n".join(names), capture_output=True, text=True, check=False)
     if done.returncode:
         raise RuntimeError(f"{arguments[0]} ended with {done.returncode}: {done.stderr[-500:]}")
-    lines = []
+    answers: dict[str, str] = {}
     for line in done.stdout.splitlines():
         if line.lstrip().startswith("{"):
             try:
-                json.loads(line)
+                name = json.loads(line).get("name")
             except ValueError:
-                line = "{}"
-            lines.append(line)
-    return [*lines, *["{}"] * (len(names) - len(lines))][: len(names)]
+                continue
+            if isinstance(name, str):
+                # A program that capitalises names may repeat them so.
+                answers.setdefault(name, line)
+                answers.setdefault(name.casefold(), line)
+    return [answers.get(n) or answers.get(n.casefold()) or "{}" for n in names]
 
 
 def program_responses(lookups: DataFrame, program: str, batch: int = BATCH, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cladeworks.llm import exact_dedup, language_id, mixing, ngram_join, sentence_pieces
 from cladeworks.llm.queries import tokenizer_path
-from cladeworks.llm.runtime import materialize, table
+from cladeworks.llm.runtime import discard, materialize, scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,9 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; each one's table replaces that of the stage before."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch() as keep:
+            after = materialize(stage(spark, docs, sf_dir), name)
+            keep.append(after)
+        if k:
+            discard(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)

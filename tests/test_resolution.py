@@ -298,14 +298,15 @@ def test_manifest_deletes_only_inside(tmp_path):
     assert sinks.read_manifest(str(out), "resolve") is None and sinks.delete_listed(str(out), "resolve") == []
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     from cladeworks import cli
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "s.csv").write_text("uuid,kingdom,phylum,class,order,family,genus,species,scientific_name\n1,Animalia,,,,,,Homo sapiens,\n2,,,,,,,,\n")
     answer = {"name": "Homo sapiens", "matchType": "Exact", "results": [{"dataSourceId": 11, "matchedCanonicalSimple": "Homo sapiens", "taxonomicStatus": "Accepted", "matchType": "Exact", "classificationPath": "Animalia|Homo sapiens", "classificationRanks": "kingdom|species"}]}
     spark.createDataFrame([("Homo sapiens", 11, json.dumps(answer))], "term string, source_id int, j string").select("term", "source_id", F.from_json("j", RESPONSE).alias("response")).write.parquet(str(tmp_path / "answers"))
-    args = cli.parser().parse_args(["resolve", "-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--responses", str(tmp_path / "answers")])
+    here = ["--cache-dir", str(tmp_path / "cache")]
+    args = cli.parser().parse_args([*here, "resolve", "-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--responses", str(tmp_path / "answers")])
     assert cli.run_resolve(spark, args) == 0
     rows = spark.read.parquet(str(tmp_path / "out" / "s.resolved.parquet")).collect()
     assert [(r.uuid, r.resolution_status) for r in rows] == [("1", "EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED")]
@@ -313,10 +314,146 @@ def test_command_line(spark, tmp_path):
     stats = json.loads((tmp_path / "out" / "resolution_stats.json").read_text())
     assert stats["total_entry_groups_processed"] == 2 and stats["final_status_empty_input_taxonomy"] == 1
     assert cli.run_resolve(spark, args) == 0
-    trace = cli.parser().parse_args(["trace", "entry", "--uuid", "1", "--from-input", str(tmp_path / "in"), "--responses", str(tmp_path / "answers")])
+    trace = cli.parser().parse_args(["trace", "entry", "--uuid", "1", "--from-input", str(tmp_path / "in"), "--responses", str(tmp_path / "answers"), "--format", "text", "--verbose"])
+    capsys.readouterr()
     assert cli.run_trace(spark, trace) == 0
+    said = capsys.readouterr().out
+    assert "Attempt 1" in said and "status: EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED" in said and said.splitlines()[-1].startswith("member ") and said.splitlines()[-1].endswith(" 1")
     trace.uuid = "absent"
     assert cli.run_trace(spark, trace) == 1
+    # A rerun replaces the files and the stored tables; stored tables can be described and removed.
+    marker = next((tmp_path / "cache").glob("*/groups/_SUCCESS"))
+    marker.write_text("old")
+    args.full_rerun = True
+    assert cli.run_resolve(spark, args) == 0 and next((tmp_path / "cache").glob("*/groups/_SUCCESS")).read_text() == ""
+    assert [r.uuid for r in spark.read.parquet(str(tmp_path / "out" / "s.resolved.parquet")).collect()] == ["1"]
+    capsys.readouterr()
+    alone = lambda *a: cli.run_alone(lambda: spark, cli.parser().parse_args([*here, *a]))
+    assert alone("--cache-stats", "--cache-input", str(tmp_path / "in")) == 0 and json.loads(capsys.readouterr().out)[0]["tables"][-1] == "groups"
+    assert alone("--clear-cache") == 0 and not list((tmp_path / "cache").glob("*/groups"))
+    assert alone("--show-config") == 0 and "batch_size: 10000" in capsys.readouterr().out
+    assert alone("--show-cache-path") == 0 and capsys.readouterr().out.strip() == str(tmp_path / "cache")
+    assert alone() is None
+
+
+def test_one_write_serves_all_files(spark, tmp_path):
+    from cladeworks import cli
+
+    for k in range(5):
+        folder = tmp_path / "in" / f"source=s{k}"
+        folder.mkdir(parents=True)
+        (folder / "f.csv").write_text("uuid,kingdom,phylum,class,order,family,genus,species,scientific_name\n" + "".join(f"{k}-{i},Animalia,,,,,,Homo s{i},\n" for i in range(20)))
+    args = cli.parser().parse_args(["--cache-dir", str(tmp_path / "c"), "resolve", "-i", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--output-format", "csv", "--force-input"])
+    assert cli.run_resolve(spark, args) == 0
+    for k in range(5):
+        rows = spark.read.csv(str(tmp_path / "out" / f"source=s{k}" / "f.forced.csv"), header=True).collect()
+        assert sorted(r.uuid for r in rows) == sorted(f"{k}-{i}" for i in range(20)) and {r.source_dataset for r in rows} == {f"s{k}"}
+        assert "file_number" not in rows[0].asDict() and "input_file" not in rows[0].asDict()
+    assert not (tmp_path / "out" / ".staging").exists()
+    listed = sinks.read_manifest(str(tmp_path / "out"), "resolve")["files"]
+    assert sorted(sinks.delete_listed(str(tmp_path / "out"), "resolve")) == sorted(listed)
+
+
+def test_common_names_command(spark, tmp_path):
+    import zipfile
+
+    from cladeworks import cli
+
+    columns = "uuid string, common_name string, species string, genus string, family string, `order` string, class string, phylum string, kingdom string"
+    full = ("Canis lupus", "Canis", "Canidae", "Carnivora", "Mammalia", "Chordata", "Animalia")
+    for name in ("a", "b/c"):
+        spark.createDataFrame([(name, "BAD", *full)], columns).write.parquet(str(tmp_path / "in" / f"{name}.resolved.parquet"))
+    head = ("taxonID", "canonicalName", "taxonRank", "taxonomicStatus", "kingdom", "phylum", "class", "order", "family", "genus")
+    taxon = ("100", "Canis lupus", "species", "accepted", "Animalia", "Chordata", "Mammalia", "Carnivora", "Canidae", "Canis")
+    with zipfile.ZipFile(tmp_path / "backbone.zip", "w") as z:
+        z.writestr("deep/taxon.TSV", "\t".join(head) + "\n" + "\t".join(taxon) + "\n")
+        z.writestr("VernacularName.tsv", "taxonID\tvernacularName\tlanguage\n100\tgray wolf\ten\n")
+    args = cli.parser().parse_args(["common-names", "--resolved-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out"), "--backbone", str(tmp_path / "backbone.zip")])
+    assert cli.run_common_names(spark, args) == 0
+    for name in ("a", "b/c"):
+        rows = spark.read.parquet(str(tmp_path / "out" / f"{name}.resolved.parquet")).collect()
+        assert [(r.uuid, r.common_name, r.common_name_rank) for r in rows] == [(name, "Gray Wolf", "species")]
+
+
+def test_backbone_archives_are_checked(tmp_path):
+    import zipfile
+
+    from cladeworks.sources import backbone as B
+
+    with zipfile.ZipFile(tmp_path / "small.zip", "w") as z:
+        z.writestr("Taxon.tsv", "x")
+    with pytest.raises(FileNotFoundError):
+        B.unpack(str(tmp_path / "small.zip"), str(tmp_path / "x"))
+    with pytest.raises(ValueError):
+        B.unpack(str(tmp_path / "small.zip"), str(tmp_path / "y"), B.WHOLE_ARCHIVE)
+    assert not (tmp_path / "small.zip").exists()
+    (tmp_path / "broken.zip").write_text("no archive")
+    with pytest.raises(zipfile.BadZipFile):
+        B.unpack(str(tmp_path / "broken.zip"), str(tmp_path / "z"))
+    assert not (tmp_path / "broken.zip").exists()
+
+
+def test_stored_tables_age(spark, tmp_path):
+    import os
+
+    from cladeworks.sources.store import TableCache, namespace
+
+    made = []
+    compute = lambda: (made.append(1), spark.range(len(made)))[1]
+    cache = TableCache(spark, str(tmp_path), namespace("resolve", "abc" * 10), 100)
+    assert cache.table("t", compute).count() == 1 and cache.table("t", compute).count() == 1
+    assert cache.table("t", compute, refresh=True).count() == 2
+    old = tmp_path / namespace("resolve", "abc" * 10) / "t" / "_SUCCESS"
+    os.utime(old, (1, 1))
+    assert cache.table("t", compute).count() == 3
+    old.unlink()
+    assert cache.table("t", compute).count() == 4
+    assert cache.stats()["entry_count"] == 1 and cache.clear() == 1 and not cache.used()
+
+
+def test_answers_are_found_by_name(spark, tmp_path):
+    from cladeworks.sources import verifier
+
+    program = tmp_path / "verify"
+    program.write_text("""#!/usr/bin/env python3
+import json, sys
+names = sys.stdin.read().split("\\n")
+print("a line that is no answer")
+for n in reversed(names):
+    if n == "broken":
+        print('{"name": ')
+    elif n != "silent":
+        print(json.dumps({"name": n.capitalize(), "matchType": "NoMatch", "results": []}))
+""")
+    program.chmod(0o755)
+    names = ["homo sapiens", "broken", "Canis lupus", "silent"]
+    assert [json.loads(x).get("name") for x in verifier.ask([str(program)], names)] == ["Homo sapiens", None, "Canis lupus", None]
+    asked = spark.createDataFrame([(n, s) for n in names for s in (11, 1)], "term string, source_id int")
+    rows = verifier.program_responses(asked, str(program), 2, jobs=3).collect()
+    assert sorted((r.term, r.source_id) for r in rows) == sorted((n, s) for n in ("homo sapiens", "Canis lupus") for s in (11, 1))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({"name": n, "matchType": "Exact", "results": []}) for n in ("a", "b")) + "\nnoise\n{}\n")
+    assert sorted(r.term for r in verifier.json_responses(spark, str(tmp_path / "lines.json"), 11).collect()) == ["a", "b"]
+
+
+def test_stream_gives_the_rows_of_one_run(spark, tmp_path):
+    from cladeworks.streaming.incremental import resolve_stream
+
+    rows = [(str(i), None, *[None] * 6, f"Homo s{i % 3}") for i in range(12)]
+    df = spark.createDataFrame(rows, ENTRY)
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    answer = json.dumps({"name": "Homo s1", "matchType": "Exact", "results": [{"dataSourceId": 11, "matchedCanonicalSimple": "Homo s1", "taxonomicStatus": "Accepted", "matchType": "Exact", "classificationPath": "A|Homo s1", "classificationRanks": "kingdom|species"}]})
+    table = spark.createDataFrame([("Homo s1", 11, answer)], "term string, source_id int, j string").select("term", "source_id", F.from_json("j", RESPONSE).alias("response"))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = resolve_stream(source, table, str(tmp_path / "out"), str(tmp_path / "marks"))
+    query.processAllAvailable()
+    query.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    assert sorted(map(str, got.collect())) == sorted(map(str, resolve.resolve(df, table).collect()))
+
+
+def test_metadata_becomes_columns(spark):
+    rows = spark.createDataFrame([("1", {"a": "x", "b": "y"}), ("2", {})], "uuid string, metadata map<string,string>")
+    assert [tuple(r) for r in resolve.expand_metadata(rows, ["a", "c"]).orderBy("uuid").collect()] == [("1", "x", None), ("2", None, None)]
 
 
 def edits_between(a, b):
