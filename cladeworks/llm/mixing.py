@@ -1,7 +1,8 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
 Every row has a fixed position in [0, 2**60): the leading bits of an MD5 of
-its identifier.  A source's budget is a threshold on that position.  To find
+its identifier and its text's MD5, so that an identifier that many rows share does not
+put them at one place.  A source's budget is a threshold on that position.  To find
 it, the sizes are summed by source and hash bucket (a histogram, pre-summed
 before its shuffle), the bucket in which the running sum passes the budget is
 found, and only that bucket's rows enter the next, finer histogram, until the
@@ -12,9 +13,12 @@ budgets are nested: a smaller mix is a subset of a larger one.
 A budget above the source's size takes every row once and a second time up to
 the threshold, so that no row is taken more than twice.
 
-Null identifiers count as the empty string, null texts have size 0, rows with
-equal identifiers share their position and so their fate; a null source is a
-source of its own, last in order.  An empty table gives an empty result.
+Null identifiers count as the empty string, null texts have size 0 and count as
+empty, rows equal in identifier and text share their position and so their
+fate; a null source is a source of its own, last in order.  Texts count whole,
+whatever their length; extra columns stay where rows are returned.  An empty
+table gives an empty result.  Sources are names of collections: their table,
+one row each, is ranked in one task.
 """
 
 from __future__ import annotations
@@ -35,10 +39,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def position(identifier: Column, seed: str = "") -> Column:
-    """The first 60 bits of the MD5 of ``identifier`` as text, followed by ``seed``."""
-    text = F.concat(F.coalesce(identifier.cast("string"), F.lit("")), F.lit(seed))
-    return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("long")
+def position(identifier: Column, text: Column, seed: str = "") -> Column:
+    """The first 60 bits of the MD5 of ``identifier`` as text, followed by ``seed`` and the MD5 of ``text``."""
+    whole = F.concat(F.coalesce(identifier.cast("string"), F.lit("")), F.lit(seed), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(whole), 1, _BITS // 4), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -109,7 +113,7 @@ def _plan(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
 
 
 def _sizes(docs: DataFrame, seed: str) -> DataFrame:
-    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(F.col("doc_id"), seed).alias("position")), "sizes")
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(F.col("doc_id"), F.col("text"), seed).alias("position")), "sizes")
 
 
 def _times(place: Column) -> Column:
@@ -130,11 +134,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "") -> DataFrame:
     """The rows of ``docs`` that the mix takes, those taken twice in two copies, with the columns of ``docs``.
 
-    A row's position follows from its identifier, so it meets only the table of
+    A row's position follows from its identifier and text, so it meets only the table of
     sources: texts are read and filtered where they lie, without a shuffle.
     A row without words has size 0 and goes with the rows around its position.
     """
     side = broadcast_if_small(_plan(_sizes(docs, seed), weights, share, most), 100_000)
-    rows = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_source"), position(F.col("doc_id"), seed).alias("_position"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_source"), position(F.col("doc_id"), F.col("text"), seed).alias("_position"))
     joined = rows.join(side, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_times", _times(F.col("_position")))
     return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

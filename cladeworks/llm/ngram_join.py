@@ -16,7 +16,8 @@ it sees twice or more; a different choice changes the cost but no
 result.  At most ``MAX_FREQUENT`` of them, the most frequent, are broadcast.
 
 Only classes of linked documents are asked for, so lists are not expanded into
-pairs at once.  First each list ties its sets to one pivot.  Two linked sets
+pairs at once.  First each list ties its sets to one pivot; a list of more than
+``HOT_LIST`` sets is dealt to several tasks and its parts are tied after.  Two linked sets
 share so many of their first shingles that counting common lists rejects nearly
 all others.  The ties that pass are verified on whole texts, and sets that they
 connect get one label.  Then only pairs of different labels are looked
@@ -40,7 +41,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import broadcast_if_small, materialize, scratch
@@ -56,6 +57,8 @@ MAX_SMALL = 12
 NEAREST = 1
 _LOCAL_FREQUENT = 2
 _POSTINGS_A_TASK = 1_500_000
+#: A list of more sets than this is dealt to several tasks by set; each ties its sets, then the parts are tied.
+HOT_LIST = 1_000_000
 _SLICE_ROWS = 512
 _SUBSET, _SAME = np.uint32(1 << 31), np.uint32(1 << 30)
 _SIZE = np.uint32((1 << 30) - 1)
@@ -118,8 +121,8 @@ def _sets(width: int):
     return run
 
 
-def frequent_shingles(sets: DataFrame, least: int = FREQUENT, most: int = MAX_FREQUENT) -> np.ndarray:
-    """Sorted hashes of the shingles with the highest counts: above ``least``, and ``most`` of them at most."""
+def frequent_shingles(sets: DataFrame, least: int = FREQUENT, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles with the highest counts, above ``least`` and ``most`` of them at most, and their counts."""
     counts = materialize(sets.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")).filter(F.col("df") > least), "frequent")
     by_power = {r["p"]: r["count"] for r in counts.groupBy(F.floor(F.log2("df")).alias("p")).count().collect()}
     total, floor = 0, 0
@@ -128,8 +131,10 @@ def frequent_shingles(sets: DataFrame, least: int = FREQUENT, most: int = MAX_FR
         if total > most:
             floor = 2 ** (p + 1)
             break
-    rows = counts.filter(F.col("df") >= floor).select("shingle").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    rows = counts.filter(F.col("df") >= floor).select("shingle", "df").toArrow()
+    shingle, df = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy().astype(np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], df[order]
 
 
 def subset_signatures(n: int, percent: int = PERCENT) -> list[tuple[int, int, int]]:
@@ -159,10 +164,26 @@ def boundary(histogram: dict[int, int], list_cost: float, percent: int = PERCENT
     return x
 
 
-def _postings(width: int, percent: int, small: int, buckets: int, frequent):
+def _member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``x`` are in ``sorted_values``, their places there)."""
+    if not len(sorted_values):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
+    return sorted_values[at] == x, at
+
+
+def _postings(width: int, percent: int, small: int, buckets: int, frequent, hot: tuple[np.ndarray, np.ndarray]):
+    """Blobs of postings by bucket.  ``hot`` holds sorted tokens and how many buckets of its own each has, after the others."""
+    hot_tokens, hot_parts = hot
+    hot_first = buckets + np.cumsum(hot_parts) - hot_parts
+
     def flush(parts):
         token, key, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        apart, at = _member(hot_tokens, token)
+        if apart.any():
+            part = mix64(key[apart].view(np.uint64)) % hot_parts[at[apart]].astype(np.uint64)
+            bucket[apart] = hot_first[at[apart]].astype(np.uint64) + part
         order = np.argsort(bucket, kind="stable")
         token, key, size, bucket = token[order], key[order], size[order], bucket[order]
         at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
@@ -217,7 +238,9 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(x)))
 
 
-def _lists(percent: int):
+def _lists(percent: int, hot_tokens: np.ndarray):
+    """Lists of two sets or more, each set tied to a pivot; parts of hot lists are kept whole."""
+
     def run(batches):
         token, key, size = [], [], []
         for batch in batches:
@@ -231,8 +254,8 @@ def _lists(percent: int):
             return
         token, key, size = (np.concatenate(x) for x in (token, key, size))
         order = np.argsort(token, kind="stable")
-        _, length = _runs(token[order])
-        order = order[np.repeat(length > 1, length)]
+        at, length = _runs(token[order])
+        order = order[np.repeat((length > 1) | _member(hot_tokens, token[order][at])[0], length)]
         token, key, size = token[order], key[order], size[order]
         n = (size & _SIZE).astype(np.int64)
         order = np.lexsort((key, n, token))
@@ -241,7 +264,7 @@ def _lists(percent: int):
         fresh[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
         token, key, size, n = token[fresh], key[fresh], size[fresh], n[fresh]
         at, length = _runs(token)
-        keep = np.repeat(length > 1, length)
+        keep = np.repeat((length > 1) | _member(hot_tokens, token[at])[0], length)
         token, key, size, n = token[keep], key[keep], size[keep], n[keep]
         if not len(token):
             return
@@ -274,6 +297,29 @@ def _lists(percent: int):
     return run
 
 
+def _joined_parts(lists: DataFrame, hot_tokens: np.ndarray) -> DataFrame:
+    """``lists`` with the parts of hot lists made one: their sizes are summed, and the pivots of parts tied to each other.
+
+    A part's pivot is its least key; with partners of other sizes tied as in
+    one list, pivots of one size are tied in a chain, and so are neighbours by size.
+    """
+    hot = [int(x) for x in hot_tokens.view(np.int64)]
+    if not hot:
+        return lists
+    named = F.broadcast(lists.sparkSession.createDataFrame([(x,) for x in hot], "hot long"))
+    cold = lists.join(named, F.col("gid") == F.col("hot"), "left_anti")
+    inside = materialize(lists.join(named, F.col("gid") == F.col("hot"), "left_semi"), "hot_lists")
+    sizes = F.broadcast(inside.groupBy(F.col("gid").alias("hot")).agg(F.count("*").alias("whole")))
+    whole = inside.join(sizes, F.col("gid") == F.col("hot")).select("gid", "key", "n", "subset", F.col("whole").alias("size"), "pivot")
+    # Of each size the least key in the whole list: a row for each size of each hot list, so that windows hold no more.
+    least = inside.groupBy("gid", "n").agg(F.min("key").alias("key"))
+    before = Window.partitionBy("gid").orderBy("n")
+    ties = least.select("gid", "key", "n", F.lit(False).alias("subset"), F.lit(0).cast("long").alias("size"), F.lag("key").over(before).alias("pivot"))
+    same = inside.filter("pivot is null or key < pivot").join(least.select(F.col("gid").alias("g"), F.col("n").alias("m"), F.col("key").alias("first")), (F.col("gid") == F.col("g")) & (F.col("n") == F.col("m")))
+    chained = same.filter("key != first").select("gid", "key", "n", F.lit(False).alias("subset"), F.lit(0).cast("long").alias("size"), F.col("first").alias("pivot"))
+    return cold.unionByName(whole).unionByName(ties.filter("pivot is not null").unionByName(chained))
+
+
 _LINKS = "a long, b long"
 _LINKS_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -527,17 +573,21 @@ def _components_of_sets(docs: DataFrame, width: int, percent: int) -> tuple[Data
     classes = materialize(rows.filter("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # A few rows: sizes above MAX_SMALL are one.
     sizes = rows.groupBy(F.least(F.col("n"), F.lit(2 * MAX_SMALL)).alias("n")).agg(F.count("*").alias("count"), F.sum("n").alias("all")).collect()
-    heavy = frequent_shingles(sets)
+    heavy, df = frequent_shingles(sets)
+    hot = heavy[df > HOT_LIST], -(-df[df > HOT_LIST] // HOT_LIST)
     small = boundary({r["n"]: r["count"] for r in sizes if r["n"]}, 4.0, percent)
     postings = sum(r["all"] for r in sizes) * (100 - percent) // 100
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), postings // _POSTINGS_A_TASK + 1)
     shipped = spark.sparkContext.broadcast(heavy.tobytes())  # 8 bytes for each of MAX_FREQUENT at most
-    blobs = docs.mapInArrow(_postings(width, percent, small, buckets, shipped), "bucket long, blob binary")
-    lists = materialize(blobs.repartition(buckets, "bucket").mapInArrow(_lists(percent), _LISTS), "lists")
+    blobs = docs.mapInArrow(_postings(width, percent, small, buckets, shipped, hot), "bucket long, blob binary")
+    parts = materialize(blobs.repartition(buckets + int(hot[1].sum()), "bucket").mapInArrow(_lists(percent, hot[0]), _LISTS), "lists")
+    tied_parts = _joined_parts(parts, hot[0])
+    # Rows of size 0 only tie the parts of a hot list.
+    lists = tied_parts.filter("size > 0")
 
     tokens = lists.filter("not subset").groupBy("key").agg(F.first("n").alias("n"), F.collect_list("gid").alias("tokens"), F.collect_list(F.when(F.col("size") > LONG_LIST, F.col("gid"))).alias("long"))
     tokens = materialize(tokens, "tokens")
-    ties = lists.filter("pivot is not null").groupBy(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).agg(F.max("subset").alias("sure"))
+    ties = tied_parts.filter("pivot is not null").groupBy(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).agg(F.max("subset").alias("sure"))
     ties = materialize(ties, "ties")
     first = verified(docs, materialize(_likely_ties(ties, tokens, percent), "likely_ties"), classes, width, percent)
     tied = connected(first)

@@ -118,7 +118,7 @@ SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, sha256(text)
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS position
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || md5(coalesce(text, ''))), 1, 15))::BIGINT AS position
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (

@@ -115,6 +115,20 @@ def test_join_cuts_long_lists_into_blocks(spark, monkeypatch):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_join_deals_hot_lists_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LIST", 40)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(50)]
+    rows = []
+    for i in range(400):
+        words = list(base[: rng.randrange(40, 51)])
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(base[:30] + [f"u{i}_{k}" for k in range(30)])) for i in range(150)]
+    check_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+
+
 def test_subset_signatures_are_links():
     for n in range(1, 13):
         for s, t, k in ngram_join.subset_signatures(n):
@@ -611,6 +625,14 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed(df).columns == df.columns
 
 
+def test_rows_of_one_identifier_are_mixed_apart(spark):
+    rows = [(7, f"word{i} " * 10, "s") for i in range(200)] + [(None, f"other{i} " * 10, "t") for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for name in "st":
+        mine = [r for r in got if r.source == name]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 20
+
+
 def test_larger_mixes_contain_smaller_ones(spark):
     small = {r.doc_id: r.taken for r in mixing.mix(documents(spark), share=0.5).collect()}
     large = {r.doc_id: r.taken for r in mixing.mix(documents(spark), share=1.2).collect()}

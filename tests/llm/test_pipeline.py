@@ -30,7 +30,8 @@ def naive_times(docs):
     for s in order:
         whole = int(target[s] // sizes[s]) if sizes[s] else 0
         budget, total, full = target[s] - whole * sizes[s], 0, False
-        for _, d in sorted((hashlib.md5(str(d["doc_id"]).encode()).hexdigest()[:15], d["doc_id"]) for d in docs if d["source"] == s):
+        place = lambda d: hashlib.md5((str(d["doc_id"]) + hashlib.md5((d["text"] or "").encode()).hexdigest()).encode()).hexdigest()[:15]
+        for _, d in sorted((place(d), d["doc_id"]) for d in docs if d["source"] == s):
             n = len(WORDS.findall(next(x["text"] for x in docs if x["doc_id"] == d) or ""))
             extra = 0
             if not full and budget > 0:
