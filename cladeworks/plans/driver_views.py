@@ -19,7 +19,7 @@ ENTRY_COLUMNS = """
   CASE WHEN k % 97 = 0 OR k % 2 = 1 THEN NULL ELSE p_name END AS scientific_name
 """
 #: Which kind of answer a term gets at a source.
-KIND = "(length(term) + ascii(term) + source_id) % 9"
+KIND = "(length(term) + ascii(term) + source_id) % 16"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,29 +51,38 @@ def many_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entry_columns(rows.withColumns({"k": F.col("l_orderkey") * 8 + F.col("l_linenumber"), "uuid": key, "source_dataset": F.col("l_returnflag")}))
 
 
-def _result(source: str, canonical: str, status: str, how: str, path: str, score: str = "0.0", record: str = "'r1'", current: str = "'now'") -> str:
+def _result(source: str, canonical: str, status: str, how: str | None, path: str, score: str = "0.0", record: str = "'r1'", name: str = "concat(term, ' L.')") -> str:
     ranks = "'kingdom|phylum|class|order|family|genus|species'"
+    kind = f"'{how}'" if how else "cast(null as string)"
     return (
-        f"named_struct('dataSourceId', {source}, 'dataSourceTitleShort', 'S', 'recordId', {record}, 'matchedName', concat(term, ' L.'), 'matchedCanonicalSimple', {canonical}, 'currentRecordId', 'c1', 'currentName', {current},"
-        f" 'taxonomicStatus', '{status}', 'isSynonym', {'true' if status == 'Synonym' else 'false'}, 'classificationPath', {path}, 'classificationRanks', {ranks}, 'editDistance', 1, 'matchType', '{how}',"
+        f"named_struct('dataSourceId', {source}, 'dataSourceTitleShort', 'S', 'recordId', {record}, 'matchedName', {name}, 'matchedCanonicalSimple', {canonical}, 'currentRecordId', 'c1', 'currentName', 'now',"
+        f" 'taxonomicStatus', '{status}', 'isSynonym', {'true' if status == 'Synonym' else 'false'}, 'classificationPath', {path}, 'classificationRanks', {ranks}, 'editDistance', 1, 'matchType', {kind},"
         f" 'scoreDetails', named_struct('infraSpecificRankScore', cast({score} as double), 'parsingQualityScore', cast(1 as double)))"
     )
 
 
 def responses(lookups: DataFrame) -> DataFrame:
-    """An answer of one of nine kinds for each ``(term, source_id)``."""
+    """An answer of one of sixteen kinds for each ``(term, source_id)``; between them they reach every rule that a term's answer can reach."""
     path = lambda x: f"concat('K:{x}|P:{x}|C:{x}|O:{x}|F:{x}|G:{x}|', term)"
     one = lambda *a, **k: _result("source_id", *a, **k)
+    everywhere = "concat_ws('|', " + ", ".join(["term"] * 7) + ")"
     kinds = {
         1: ("Exact", [one("term", "Accepted", "Exact", "concat('K|P|C|O|F|G|S:', term)")]),
         2: ("Exact", [one("term", "Synonym", "Exact", path("s")), one("term", "Accepted", "Exact", path("a"), record="'r2'")]),
-        3: ("Exact", [one("term", "Synonym", "Exact", path("1"), "0.1"), one("term", "Synonym", "Exact", path("2"), "0.7")]),
+        3: ("Exact", [one("term", "Accepted", "Exact", "term"), one("term", "Accepted", "Exact", "concat(term, '|', term)", record="'r2'")]),
         4: ("Fuzzy", [one("concat(term, 'x')", "Accepted", "Fuzzy", path("f"))]),
         5: ("PartialExact", [one("concat(term, 'x')", "Accepted", "PartialExact", path("p"))]),
         6: ("Exact", [one("term", "Synonym", "Exact", path("y"))]),
         7: ("Exact", [one("'a'", "Accepted", "Exact", path("t")), one("'b'", "Accepted", "Exact", path("t"), record="'r2'")]),
         8: ("Virus", [one("term", "Accepted", "Virus", path("v"))]),
-    }
+        9: ("Exact", [one("term", "Accepted", "Exact", everywhere)]),
+        10: ("Exact", [one("term", "Accepted", "Exact", path("u")), one("term", "Accepted", "Exact", path("w"), record="'r2'", name="term")]),
+        11: ("Exact", [one("'z'", "Accepted", "Exact", path("m")), one("'z'", "Accepted", "Exact", path("m"), record="'r2'")]),
+        12: ("Exact", [one("'a'", "Accepted", "Exact", "concat('Animalia|P:h|', term)"), one("'b'", "Accepted", "Exact", "concat('AFRICA|P:g|', term)", record="'r2'")]),
+        13: ("PartialExact", [one("term", "Accepted", "PartialExact", "concat('|', term)")]),
+        14: ("Exact", [one("term", "Synonym", "Exact", path("1"), "0.1"), one("term", "Synonym", "Exact", path("2"), "0.7")]),
+        15: ("Exact", [one("term", "Synonym", None, path("q")), one("term", "Accepted", "Exact", "term", record="'r2'")]),
+    }
     cases = " ".join(f"when {k} then named_struct('name', term, 'matchType', '{m}', 'results', array({', '.join(rs)}))" for k, (m, rs) in kinds.items())
     none = "named_struct('name', term, 'matchType', 'NoMatch', 'results', filter(array(" + one("term", "Accepted", "Exact", "''") + "), x -> false))"
     return lookups.withColumn("response", F.expr(f"case {KIND} {cases} else {none} end").cast(RESPONSE))
@@ -131,15 +140,23 @@ tried AS (
     WHEN {_RAW_DATA} THEN 'EMPTY_INPUT_TAXONOMY'
     WHEN kind = -1 THEN 'FAILED'
     WHEN kind = 0 THEN 'RETRY_SCHEDULED'
+    WHEN kind = 9 AND source_id = 1 AND i IS NOT NULL AND NOT ({_ABOVE}) THEN 'EXACT_MATCH_SECONDARY_SOURCE_ACCEPTED_PRUNED'
     WHEN source_id <> 11 THEN 'FORCE_ACCEPTED'
-    WHEN kind = 1 THEN 'EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_SIMPLE'
+    WHEN kind IN (1, 9) THEN 'EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_SIMPLE'
     WHEN kind = 2 THEN 'EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_AMONG_SYNONYMS_SIMPLE'
-    WHEN kind = 3 THEN 'MULTI_EXACT_MATCH_PRIMARY_SOURCE_SYNONYMS_INFRASPECIFIC_SCORE'
+    WHEN kind = 14 THEN 'MULTI_EXACT_MATCH_PRIMARY_SOURCE_SYNONYMS_INFRASPECIFIC_SCORE'
     WHEN kind = 4 AND i > 0 AND NOT ({_ABOVE}) THEN 'FUZZY_MATCH_PRIMARY_SOURCE_ACCEPTED'
     WHEN kind = 4 THEN 'SINGLE_FUZZY_MATCH_PRIMARY_SOURCE_ACCEPTED_SIMPLE'
-    WHEN kind = 5 THEN 'PARTIAL_EXACT_MATCH_PRIMARY_SOURCE_SIMPLE'
+    WHEN kind = 13 AND NOT {VALID('kingdom')} AND starts_with({STRIP("coalesce(phylum, '')")}, query_term) THEN 'PARTIAL_EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_DISAMBIGUATED'
+    WHEN kind IN (5, 13) THEN 'PARTIAL_EXACT_MATCH_PRIMARY_SOURCE_SIMPLE'
     WHEN kind = 6 THEN 'EXACT_MATCH_PRIMARY_SOURCE_SYNONYM_SIMPLE'
-    WHEN kind = 7 AND ({' OR '.join(VALID(c) for c in NAMES[1:])}) THEN 'FAILED'
+    WHEN kind = 10 THEN 'EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_AUTHOR_DISAMBIGUATION'
+    WHEN kind = 11 THEN 'EXACT_MATCH_PRIMARY_SOURCE_MULT_ACCEPTED'
+    WHEN kind = 12 AND {STRIP("coalesce(kingdom, '')")} IN ('Metazoa', 'AFRICA') THEN 'MULTI_EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_HOMONYM'
+    WHEN kind = 3 AND i = 0 THEN 'EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_RANK_LEVEL_DISAMBIGUATION'
+    WHEN (kind = 3 AND i = 1 AND NOT {VALID('kingdom')}) OR (kind = 15 AND i = 0) THEN 'EXACT_MATCH_PRIMARY_SOURCE_ACCEPTED_MULTI_RESULT_DISAMBIGUATION'
+    WHEN kind = 3 AND i = 1 THEN 'EXACT_MATCH_PRIMARY_SOURCE_MULTI_ACCEPTED_TAXONOMIC_MATCH'
+    WHEN kind IN (3, 7, 12) AND ({' OR '.join(VALID(c) for c in NAMES[1:])}) THEN 'FAILED'
     ELSE 'FORCE_ACCEPTED' END AS status
   FROM kinds)"""
 FINAL_SQL = f"""{ATTEMPTS_SQL},
@@ -148,8 +165,12 @@ ended AS (
 final AS (
   SELECT t.*, CASE WHEN e.hit IS NULL THEN 'NO_MATCH_RETRIES_EXHAUSTED' ELSE t.status END AS first_status
   FROM ended e JOIN tried t ON t.group_key = e.group_key AND t.rung = coalesce(e.hit, e.last))"""
-_PICK = {1: "['K','P','C','O','F','G','S:' || query_term]", 2: "a", 3: "2", 4: "f", 5: "p", 6: "y"}
-_PATHS = " ".join(f"WHEN {k} THEN " + (v if k == 1 else "[" + ", ".join(f"'{r}:{v}'" for r in "KPCOFG") + ", query_term]") for k, v in _PICK.items())
+#: The lineage of what a kind's rule picks; in letters the mark of its made-up names.
+_PICK = {
+    1: "['K','P','C','O','F','G','S:' || query_term]", 2: "a", 3: "CASE i WHEN 0 THEN [query_term] ELSE [query_term, query_term] END", 4: "f", 5: "p", 6: "y",
+    9: "[" + ", ".join(["query_term"] * 7) + "]", 10: "w", 11: "m", 12: "CASE kingdom WHEN 'AFRICA' THEN ['AFRICA', 'P:g', query_term] ELSE ['Animalia', 'P:h', query_term] END", 13: "['', query_term]", 14: "2", 15: "[query_term]",
+}
+_PATHS = " ".join(f"WHEN {k} THEN " + (v if len(v) > 1 else "[" + ", ".join(f"'{r}:{v}'" for r in "KPCOFG") + ", query_term]") for k, v in _PICK.items())
 RESOLVED_SQL = f"""{FINAL_SQL},
 forced AS (
   SELECT *, CASE WHEN first_status IN ('FAILED', 'NO_MATCH_RETRIES_EXHAUSTED') THEN 'FAILED_FORCED_INPUT' ELSE first_status END AS final_status,
