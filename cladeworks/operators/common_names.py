@@ -44,13 +44,21 @@ def unique_taxa(taxa: DataFrame, keys: list[str], rank: str) -> DataFrame:
     return text.groupBy(*keys).agg(F.min_by("taxonID", _numeric("taxonID")).alias(f"taxonID_{rank}"))
 
 
+def _spread(c: str):
+    """A join key for names of which many may be null: null rows spread over tasks, and match nothing."""
+    return F.coalesce(F.col(c), F.concat(F.lit("\0"), F.spark_partition_id().cast("string")))
+
+
 def join_single_rank(rows: DataFrame, taxa: DataFrame, rank: str) -> DataFrame:
     """Add ``taxonID_<rank>`` by name and parent path; null names match nothing."""
     if rank not in rows.columns:
         return rows
     parents = [c for c in PATH_KEY if RANKS.index(c) < RANKS.index(rank) and c in rows.columns and c in taxa.columns]
-    side = unique_taxa(taxa, ["canonicalName", *parents], rank).withColumnRenamed("canonicalName", rank)
-    return rows.join(side, [rank, *parents], "left").select(*rows.columns, f"taxonID_{rank}")
+    side = unique_taxa(taxa, ["canonicalName", *parents], rank).withColumnsRenamed({"canonicalName": "_name", **{c: f"_{c}" for c in parents}})
+    same = F.col("_key") == F.col("_name")
+    for c in parents:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return rows.withColumn("_key", _spread(rank)).join(side, same, "left").select(*rows.columns, f"taxonID_{rank}")
 
 
 def merge_taxon_ids(rows: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -67,8 +75,8 @@ def _by_name(rows: DataFrame, taxa: DataFrame) -> DataFrame:
         if rank not in rows.columns:
             continue
         column = f"taxonID_{rank}"
-        side = unique_taxa(taxa, ["canonicalName"], rank).withColumnsRenamed({"canonicalName": rank, column: "_new"})
-        joined = rows.join(side, rank, "left")
+        side = unique_taxa(taxa, ["canonicalName"], rank).withColumnsRenamed({"canonicalName": "_taxon", column: "_new"})
+        joined = rows.withColumn("_key", _spread(rank)).join(side, F.col("_key") == F.col("_taxon"), "left").drop("_key", "_taxon")
         new = F.coalesce("_new", F.col(column).cast("string")) if column in rows.columns else F.col("_new")
         rows = joined.withColumn(column, new).drop("_new")
     return rows

@@ -38,7 +38,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _read(spark, sf_dir, "nation").join(F.broadcast(_read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = (
         _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(part, F.col("p_partkey") == F.col("o_orderkey") % n + F.lit(0))
+        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(part, F.col("p_partkey") == F.col("o_orderkey") % n)
     )
     return _entry_columns(rows.withColumns({"k": F.col("o_orderkey"), "uuid": F.col("o_orderkey").cast("string"), "source_dataset": F.col("o_orderpriority")}))
 

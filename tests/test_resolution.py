@@ -283,6 +283,9 @@ def test_files(spark, tmp_path):
         entries.read_entries(spark, str(tmp_path))
     with pytest.raises(ValueError):
         entries.find_inputs(str(tmp_path / "nothing"))
+    (tmp_path / "counted").mkdir()
+    (tmp_path / "counted" / "x.csv").write_text("uuid,kingdom,phylum,class,order,family,genus,species,scientific_name\n1,,,,,,,,\n,,,,,,,,\n")
+    assert entries.count_entries(spark, str(tmp_path / "counted")) == 2
 
 
 def test_manifest_deletes_only_inside(tmp_path):
@@ -534,3 +537,22 @@ def test_trace_gives_first_members_of_each_group(spark):
     tried = spark.createDataFrame([], "group_key string, rung int, query_term string, query_rank string, source_id int, status string, strategy string, failure_reason string, error string")
     got = [json.loads(r.trace)["group"] for r in trace_entry(df, lambda groups: tried, "x").collect()]
     assert sorted(g["first_members"] for g in got) == [[f"{g}{k}" for k in range(3)] for g in range(3)]
+
+
+def test_trace_holds_entry_plan_and_every_attempt(spark):
+    from cladeworks.operators.trace import as_text, group_members, trace_entry
+
+    rows = [(u, None, "Animalia", *[None] * 4, "Homo", "Homo sapiens") for u in ("b", "a")] + [("c", None, "Animalia", *[None] * 6)]
+    df = spark.createDataFrame(rows, ENTRY)
+    nothing = spark.createDataFrame([], "term string, source_id int").withColumn("response", F.lit(None).cast(RESPONSE))
+    said = trace_entry(df, lambda groups: resolve.chains(resolve.final_attempts(groups, nothing)), "b").collect()
+    body = json.loads(said[0].trace)
+    assert len(said) == 1 and body["entry"]["uuid"] == "b" and body["entry"]["most_specific_rank"] == "species"
+    assert body["group"]["first_members"] == ["a", "b"] and body["group"]["group_count"] == 2
+    assert body["query_plan"] == {"query_term": "Homo sapiens", "query_rank": "species", "source_id": 11}
+    terms = [("Homo sapiens", "species"), ("Homo", "genus"), ("Animalia", "kingdom")]
+    assert [(x["rung"], x["query_term"], x["query_rank"], x["source_id"]) for x in body["attempts"]] == [(3 * k + j, *t, s) for k, t in enumerate(terms) for j, s in enumerate((11, 1, 179))]
+    assert [x["status"] for x in body["attempts"]] == ["RETRY_SCHEDULED"] * 8 + ["NO_MATCH_RETRIES_EXHAUSTED"]
+    assert as_text(said[0].trace).count("\nAttempt ") == 9
+    assert [r.uuid for r in group_members(df, "b").collect()] == ["a", "b"]
+    assert trace_entry(df, lambda groups: resolve.chains(resolve.final_attempts(groups, nothing)), "absent").count() == 0
