@@ -72,12 +72,13 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class ByteBpe:
-    """Whole texts to ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    """Whole texts to ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them; with ``plain`` the strings of special tokens are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = spec.get("pre_tokenizer") or {}
@@ -86,7 +87,7 @@ class ByteBpe:
             and spec.get("normalizer") is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
             and not spec["model"].get("ignore_merges") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
         )
-        self.added = [x["content"].encode() for x in spec["added_tokens"]]
+        self.added = [x["content"].encode() for x in spec["added_tokens"] if not (plain and x["special"])]
         self.alphabet = byte_alphabet()
         self.table = ChunkTable(self._encode)
 
@@ -120,11 +121,11 @@ class ByteBpe:
             yield i, ids.astype(np.uint32), per_text(counts, starts, at)
 
 
-_KNOWN: dict[str, ByteBpe] = {}
+_KNOWN: dict[tuple[str, bool], ByteBpe] = {}
 
 
-def encoder(path: str) -> ByteBpe:
+def encoder(path: str, plain: bool = False) -> ByteBpe:
     """The worker's encoder for a file; its table of chunks lasts from task to task."""
-    if path not in _KNOWN:
-        _KNOWN[path] = ByteBpe(path)
-    return _KNOWN[path]
+    if (path, plain) not in _KNOWN:
+        _KNOWN[path, plain] = ByteBpe(path, plain)
+    return _KNOWN[path, plain]

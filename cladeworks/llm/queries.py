@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, sentence_pieces, token_planes, url_filter, warc
+from . import chat_format, exact_dedup, filter_audit, language_id, license_scan, mixing, ngram_join, quality_rules, sentence_pieces, token_align, token_planes, url_filter, warc
 from .runtime import materialize, shared_dir, table
 
 
@@ -67,6 +67,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.detect(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -159,14 +171,40 @@ SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.position = c.position
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM d),
+m AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY part, fails),
+x(k) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM x a, x b, x c, x d, x e
+  WHERE a.k NOT IN (b.k, c.k, d.k, e.k) AND b.k NOT IN (c.k, d.k, e.k) AND c.k NOT IN (d.k, e.k) AND d.k <> e.k),
+steps AS (SELECT array_to_string(list_transform(ks, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, s.k AS step, ks[s.k] AS own, ks[1:s.k - 1] AS before, ks FROM orders, x s),
+hits AS (
+  SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fails, len(list_filter(before, lambda k: fails[k])) > 0 AS gone, len(list_filter([1, 2, 3, 4, 5], lambda k: fails[k])) AS how_many
+  FROM cells, steps),
+r AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (NOT gone AND NOT fails) AS kept, sum(n) FILTER (NOT gone AND fails) AS removed, sum(n) FILTER (gone AND fails) AS redundant,
+    sum(n) FILTER (fails AND how_many = 1) AS unique_fails, sum(good) FILTER (NOT gone AND fails) AS good_lost, sum(toxic) FILTER (NOT gone AND fails) AS toxic_lost
+  FROM hits GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
 
 def queries():
     named = [
         op1_ngram_jaccard_join, op2_chat_formatting, op3_url_filters, op4_token_binary_output, op5_quality_rules,
-        op6_sentencepiece, op7_warc, op8_language_id, op9_exact_dedup, op10_source_mixing, pipeline,
+        op6_sentencepiece, op7_warc, op8_language_id, op9_exact_dedup, op10_source_mixing, op11_filter_audit, op12_token_alignment, op13_license_scan, pipeline,
     ]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql():
-    return {"op2_chat_formatting": OP2_SQL, "op3_url_filters": OP3_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op2_chat_formatting": OP2_SQL, "op3_url_filters": OP3_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op10_source_mixing": OP10_SQL, "op11_filter_audit": OP11_SQL}
