@@ -7,20 +7,24 @@ import json
 import logging
 import os
 import sys
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
 from .config import Config
-from .operators import common_names, grouping, resolve, trace
-from .operators.ladder import lookups
-from .sources import backbone, entries, sinks, store, verifier
+from .constants import STATS_FILE
+from .operators import climb, common_names, grouping, index, resolve, trace
+from .sources import backbone, entries, files, sinks, store, verifier
 
 log = logging.getLogger("cladeworks")
 _SWITCHES = ("all_matches", "capitalize", "fuzzy_uninomial", "fuzzy_relaxed", "species_group")
-#: Input bytes whose rows go to one output file, about.
-FILE_BYTES = 128 << 20
+
+
+def _log_options(p: argparse.ArgumentParser, level, file) -> None:
+    p.add_argument("--log-level", default=level, choices=("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"))
+    p.add_argument("--log-file", default=file)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,8 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--show-config", action="store_true")
     p.add_argument("--cache-stats", action="store_true")
     p.add_argument("--clear-cache", action="store_true")
-    p.add_argument("--log-level", default="INFO", choices=("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"))
-    p.add_argument("--log-file")
+    _log_options(p, "INFO", None)
     commands = p.add_subparsers(dest="command")
     r = commands.add_parser("resolve", help="resolve the lineages of entries")
     r.add_argument("-i", "--input", required=True)
@@ -59,7 +62,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--resolved-dir", required=True)
     c.add_argument("--output-dir", required=True)
     c.add_argument("--backbone", required=True, help="folder with Taxon.tsv and VernacularName.tsv, or an archive of them")
+    c.add_argument("--least-archive-bytes", type=int, default=backbone.WHOLE_ARCHIVE, help="an archive of fewer bytes is taken for broken and removed")
     c.add_argument("--higher-rank-fallback", action=argparse.BooleanOptionalAction, default=Config.higher_rank_fallback)
+    for x in (r, t, c):  # after a command too, without undoing what stands before it
+        _log_options(x, argparse.SUPPRESS, argparse.SUPPRESS)
     return p
 
 
@@ -67,64 +73,87 @@ def _config(args) -> Config:
     return Config().updated(**vars(args))
 
 
-def _cache(spark, args, path: str) -> store.TableCache:
+def _cache(spark, args, inputs) -> store.TableCache:
     config = _config(args)
-    return store.TableCache(spark, config.cache_dir, store.namespace("resolve", trace.fingerprint(entries.find_inputs(path))), config.cache_max_age)
+    return store.TableCache(spark, config.cache_dir, store.namespace("resolve", files.fingerprint(inputs)), config.cache_max_age)
+
+
+def _program_answers(spark, args, groups, cache, refresh):
+    """Answers of a program, asked rung by rung for what groups come to; batches that it does not answer in full end the run and are kept apart."""
+    options = _config(args).verifier_options()
+    space = f"answers-{trace.digest(json.dumps({'program': args.verifier, **options}, sort_keys=True))[:12]}"
+    keep = lambda name, df: cache.table(f"{space}/{name}", lambda: df, True)
+
+    def ask(lookups):
+        ledger = keep(f"ledger-{uuid4().hex}", verifier.program_ledger(lookups, args.verifier, args.batch_size, **options))
+        verifier.quarantine(ledger, lambda broken: keep("quarantine", broken))
+        return verifier.answers_of(ledger)
+
+    return cache.table(f"{space}/known", lambda: climb.answers(groups, ask, keep), refresh)
 
 
-def _answers(spark, args, groups):
+def _answers(spark, args, groups, cache, refresh=False):
+    """Answers of a table are read where it lies, those of a program are stored."""
     if args.responses:
         return spark.read.parquet(args.responses)
     if args.verifier:
-        return verifier.program_responses(lookups(groups), args.verifier, args.batch_size, **_config(args).verifier_options())
+        return _program_answers(spark, args, groups, cache, refresh)
     raise SystemExit("give --responses or --verifier")
 
 
-def _cached_answers(spark, args, groups, cache, refresh):
-    """Answers of a program are stored; a table of answers is read where it lies."""
-    if args.responses:
-        return _answers(spark, args, groups)
-    options = json.dumps({"program": args.verifier, **_config(args).verifier_options()}, sort_keys=True)
-    return cache.table(f"answers-{trace.digest(options)[:12]}", lambda: _answers(spark, args, groups), refresh)
-
-
-def _parts(files: list[str]) -> dict[str, int]:
-    return {os.path.abspath(f): os.path.getsize(f) // FILE_BYTES + 1 for f in files}
+def _index_folder(cache, args) -> str:
+    return f"{cache.folder}/index-{trace.digest(str(args.responses or args.verifier))[:12]}"
 
 
 def run_resolve(spark: SparkSession, args) -> int:
-    cache = _cache(spark, args, args.input)
+    inputs = entries.find_inputs(spark, args.input)
+    cache = _cache(spark, args, inputs)
     if args.input_cache_stats:
         print(json.dumps(cache.stats(), indent=2))
         return 0
     if args.full_rerun:
-        sinks.delete_listed(args.output_dir, "resolve")
+        sinks.delete_listed(spark, args.output_dir, "resolve")
         cache.clear()
-    elif sinks.already_run(args.output_dir) or cache.used():
+    elif sinks.unfinished(spark, args.output_dir):
+        log.warning("an earlier run into %s was stopped while its files were put in place; the rest follows now", args.output_dir)
+        sinks.finish(spark, args.output_dir)
+        return 0
+    elif sinks.already_run(spark, args.output_dir) or cache.used():
         log.warning("%s or %s holds an earlier run of this input; use --full-rerun to replace it", args.output_dir, cache.folder)
         return 0
-    files = entries.find_inputs(args.input)
-    rows = entries.normalized_entries(entries.read_raw(spark, files)).withColumn("input_file", F.regexp_replace("input_file", "^file:/*(?=/)", ""))
+    rows = entries.normalized_entries(entries.read_raw(spark, inputs))
     kind = args.output_format
-    sinks.write_manifest(args.output_dir, "resolve", args.input, sinks.intended_for_resolve(args.input, files, kind, args.force_input), cache.folder)
-    bases = {os.path.abspath(f): n.rsplit(".", 2)[0] for f, n in zip(files, sinks.output_names(args.input, files, kind, True), strict=True)}
-    targets = {(f, x): f"{base}.{x}.{kind}" for f, base in bases.items() for x in ("resolved", "unsolved", "forced")}
+    names = [r["name"] for r in inputs.files.select("name").orderBy("name").toLocalIterator()]
+    sinks.write_manifest(spark, args.output_dir, "resolve", args.input, sinks.intended_for_resolve(names, kind, args.force_input), cache.folder)
+    name_of = lambda name, outcome: sinks.output_name(name, outcome, kind)
     if args.force_input:
-        sinks.write_by_file(resolve.forced_rows(rows).withColumn("outcome", F.lit("forced")), args.output_dir, targets, _parts(files), kind)
+        sinks.write_by_file(resolve.forced_rows(rows).withColumn("outcome", F.lit("forced")), args.output_dir, inputs.files, name_of, rows.count(), kind)
         return 0
     groups = cache.table("groups", lambda: grouping.group_entries(rows), args.refresh_cache)
-    answers = _cached_answers(spark, args, groups, cache, args.refresh_cache)
+    answers = _answers(spark, args, groups, cache, args.refresh_cache)
     final = cache.table(f"final-{trace.digest(str(args.responses or args.verifier))[:12]}", lambda: resolve.final_attempts(groups, answers), True)
+    expected = groups.agg(F.coalesce(F.sum("group_count"), F.lit(0))).first()[0]
+    index.store(_index_folder(cache, args), rows, resolve.with_attempt_keys(resolve.chains(final), answers), expected)
     final = resolve.force_failed(final)
-    out = resolve.output_rows(rows, final)
-    sinks.write_by_file(out.withColumn("outcome", F.when(resolve.is_resolved(), "resolved").otherwise("unsolved")), args.output_dir, targets, _parts(files), kind)
-    sinks.write_statistics(resolve.statistics(final), args.output_dir)
+    out = resolve.output_rows(rows, final).withColumn("outcome", F.when(resolve.is_resolved(), "resolved").otherwise("unsolved"))
+    sinks.write_by_file(out, args.output_dir, inputs.files, name_of, expected, kind, {STATS_FILE: sinks.statistics_text(resolve.statistics(final))})
     return 0
 
 
 def run_trace(spark: SparkSession, args) -> int:
-    rows = entries.read_entries(spark, args.from_input)
-    said = trace.trace_entry(rows, lambda groups: resolve.chains(resolve.final_attempts(groups, _answers(spark, args, groups))), args.uuid).collect()
+    """The chain that the run over this input has stored is shown; without one the groups of the entry are tried anew."""
+    inputs = entries.find_inputs(spark, args.from_input)
+    cache = _cache(spark, args, inputs)
+    rows = entries.normalized_entries(entries.read_raw(spark, inputs)).drop(*entries.PLACE)
+    folder = _index_folder(cache, args)
+    stored = {x.rpartition("-")[0]: x for x in store.children(spark, folder) if store.exists(spark, f"{folder}/{x}/_SUCCESS")}
+    if len(stored) == 2:
+        members, chains = (spark.read.parquet(f"{folder}/{stored[x]}") for x in (index.MEMBERS, index.CHAINS))
+        tried = index.attempts_of(members, chains, [args.uuid], int(stored[index.MEMBERS].rpartition("-")[2])).drop("uuid")
+        steps = lambda groups: tried
+    else:
+        steps = lambda groups: resolve.chains(resolve.final_attempts(groups, _answers(spark, args, groups, cache)))
+    said = trace.trace_entry(rows, steps, args.uuid).collect()
     for r in said:
         print(trace.as_text(r.trace) if args.format == "text" else r.trace)
     if args.verbose:
@@ -134,19 +163,22 @@ def run_trace(spark: SparkSession, args) -> int:
 
 
 def run_common_names(spark: SparkSession, args) -> int:
+    if sinks.unfinished(spark, args.output_dir):
+        sinks.finish(spark, args.output_dir)
+        return 0
     taxa_path, names_path = f"{args.backbone}/{backbone.TAXA}", f"{args.backbone}/{backbone.NAMES}"
     if args.backbone.endswith(".zip"):
-        taxa_path, names_path = backbone.unpack(args.backbone, os.path.splitext(args.backbone)[0])
+        taxa_path, names_path = backbone.unpack(args.backbone, os.path.splitext(args.backbone)[0], args.least_archive_bytes)
     taxa = backbone.read_taxa(spark, taxa_path)
     names = common_names.prioritize_vernacular(backbone.read_vernacular(spark, names_path))
-    files = sorted({os.path.join(d, x) for d, dirs, fs in os.walk(args.resolved_dir) for x in (*dirs, *fs) if x.endswith(".resolved.parquet")})
-    sinks.write_manifest(args.output_dir, "common-names", args.resolved_dir, sinks.intended_for_common_names(args.resolved_dir, files))
-    if not files:
+    found = backbone.annotations(spark, args.resolved_dir)
+    datasets = [r["name"] for r in found.files.select("name").orderBy("name").toLocalIterator()]
+    sinks.write_manifest(spark, args.output_dir, "common-names", args.resolved_dir, sinks.intended_for_common_names(datasets))
+    if not datasets:
         return 0
-    size = lambda f: sum(os.path.getsize(os.path.join(d, x)) for d, _, fs in os.walk(f) for x in fs) if os.path.isdir(f) else os.path.getsize(f)
-    out = common_names.add_common_names(backbone.read_annotations(spark, files), taxa, names, args.higher_rank_fallback)
-    targets = {(os.path.abspath(f), "named"): os.path.relpath(f, args.resolved_dir) for f in files}
-    sinks.write_by_file(out.withColumn("outcome", F.lit("named")), args.output_dir, targets, {os.path.abspath(f): size(f) // FILE_BYTES + 1 for f in files})
+    rows = backbone.read_annotations(spark, found)
+    out = common_names.add_common_names(rows, taxa, names, args.higher_rank_fallback)
+    sinks.write_by_file(out.withColumn("outcome", F.lit("named")), args.output_dir, found.files, lambda name, outcome: name, rows.count())
     return 0
 
 
@@ -159,7 +191,7 @@ def run_alone(spark_of, args) -> int | None:
         print(config.summary())
     elif args.cache_stats:
         spark = spark_of()
-        spaces = [_cache(spark, args, args.cache_input)] if args.cache_input else [store.TableCache(spark, config.cache_dir, x) for x in store.children(spark, config.cache_dir)]
+        spaces = [_cache(spark, args, entries.find_inputs(spark, args.cache_input))] if args.cache_input else [store.TableCache(spark, config.cache_dir, x) for x in store.children(spark, config.cache_dir)]
         print(json.dumps([x.stats() for x in spaces], indent=2))
     elif args.clear_cache:
         print(f"{store.clear_all(spark_of(), config.cache_dir)} stored tables removed")

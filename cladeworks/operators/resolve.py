@@ -8,10 +8,11 @@ term.  The wide answers join once, one row per group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import EXHAUSTED, FAILED, FORCED, FORCED_INPUT, RANKS, RETRY, SOURCES, STATUSES, SUCCESSFUL
+from ..functions.canonical import canonical_json
 from ..functions.names import term_rank, terms, valid_names
 from .cascade import classify, prepared
 from .grouping import NAMES, group_entries, with_group_key
@@ -20,6 +21,11 @@ from .ladder import rungs, source_at
 _OUTCOME = ("status", "strategy", "resolved", "failure_reason", "error", "metadata", "query_term", "query_rank", "source_id", "rung")
 
 
+def decides() -> Column:
+    """Whether an answer ends a climb: it has results."""
+    return (F.coalesce(F.size("response.results"), F.lit(0)) > 0) & ~F.coalesce(F.col("response.matchType") == "NoMatch", F.lit(False))
+
+
 def _with_answers(asked: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(prepared(responses).withColumnRenamed("term", "query_term"), ["query_term", "source_id"], "left")
 
@@ -34,10 +40,8 @@ def decisive_rungs(groups: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``responses`` has ``term, source_id, response``.  Only their terms are joined here.
     """
-    decides = F.coalesce(F.size("response.results"), F.lit(0)) > 0
-    decides = decides & ~F.coalesce(F.col("response.matchType") == "NoMatch", F.lit(False))
     place = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source_id")) - 1
-    known = responses.filter(decides & F.col("source_id").isin(*SOURCES)).groupBy(F.col("term").alias("_term")).agg(F.min(place).cast("int").alias("_at")).filter("_at is not null")
+    known = responses.filter(decides() & F.col("source_id").isin(*SOURCES)).groupBy(F.col("term").alias("_term")).agg(F.min(place).cast("int").alias("_at")).filter("_at is not null")
     asked = groups.select("group_key", *NAMES, valid_names().alias("_names")).withColumn("_terms", terms(F.col("_names")))
     first = asked.join(known, F.get("_terms", F.lit(0)) == F.col("_term"), "left").drop("_term")
     hit = first.filter("_at is not null").withColumn("_rung", F.col("_at")).drop("_at")
@@ -69,24 +73,35 @@ def final_attempts(groups: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def chains(final: DataFrame) -> DataFrame:
-    """The rungs that a group has climbed, in order, each with its key and the key of the one before.
+    """The rungs that a group has climbed, in order.
 
     A group's names and its last rung say which rungs those are, so nothing is joined.
     """
-    rank = lambda k: term_rank(_term_at(k), F.col("_names"))
-    source = lambda k: source_at(k % len(SOURCES))
-    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    key = lambda k: F.sha2(F.concat_ws("|", "group_key", text(_term_at(k)), text(rank(k)), text(source(k)), text(k)), 256)
     k, ended = F.col("_k"), F.col("_k") == F.col("rung")
+    term = _term_at(k)
     rows = final.withColumn("_names", valid_names()).withColumn("_terms", terms(F.col("_names"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("rung"))))
     return rows.select(
-        "group_key", k.alias("rung"), text(_term_at(k)).alias("query_term"), rank(k).alias("query_rank"), source(k).alias("source_id"),
+        "group_key", k.alias("rung"), F.coalesce(term, F.lit("")).alias("query_term"), term_rank(term, F.col("_names")).alias("query_rank"), source_at(k % len(SOURCES)).alias("source_id"),
         F.when(ended, F.col("status")).otherwise(RETRY).alias("status"), F.when(ended, F.col("strategy")).otherwise("NoMatchNonEmptyQuery").alias("strategy"),
         F.when(ended, F.col("failure_reason")).alias("failure_reason"), F.when(ended, F.col("error")).alias("error"),
-        key(k).alias("attempt_key"), F.when(k > 0, key(k - 1)).alias("previous_key"),
     )
 
 
+def with_attempt_keys(steps: DataFrame, responses: DataFrame) -> DataFrame:
+    """``chains`` with ``attempt_key``, the digest of group, look-up and answer, and ``previous_key``, the one of the rung before.
+
+    The answer counts as its canonical JSON, serialised once for each look-up
+    and not once a group; without an answer it is empty.
+    """
+    said = responses.filter("response is not null").select(
+        F.col("term").alias("query_term"), F.col("source_id").cast("int").alias("source_id"), canonical_json(F.col("response"), responses.schema["response"].dataType).alias("_said")
+    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    key = F.sha2(F.concat_ws("|", "group_key", text("query_term"), text("query_rank"), text("source_id"), text("_said")), 256)
+    keyed = steps.join(said, ["query_term", "source_id"], "left").withColumn("attempt_key", key).drop("_said")
+    return keyed.withColumn("previous_key", F.lag("attempt_key").over(Window.partitionBy("group_key").orderBy("rung")))
+
+
 def force_failed(final: DataFrame) -> DataFrame:
     """Failures fall back to their input and count as successful."""
     lost = F.col("status").isin(FAILED, EXHAUSTED)
@@ -106,7 +121,7 @@ def _rows(entries: DataFrame, success, resolved) -> DataFrame:
     has = set(entries.columns)
     optional = [text(c) if c in has else F.lit("").alias(c) for c in ("scientific_name", "common_name", "source_dataset", "source_id")]
     path = F.when(F.col("_status") == FORCED, "FORCED").when(success, "RESOLVED").otherwise("UNSOLVED")
-    kept = [c for c in ("input_file",) if c in has]
+    kept = [c for c in ("file_number", "file_part") if c in has]
     return entries.select(
         "uuid", *optional, F.col("_status").alias("resolution_status"), *ranks, path.alias("resolution_path"),
         F.col("_error").alias("resolution_error"), F.col("_reason").alias("resolution_failure_reason"), F.col("_strategy").alias("resolution_strategy"),
@@ -115,7 +130,7 @@ def _rows(entries: DataFrame, success, resolved) -> DataFrame:
 
 
 def output_rows(entries: DataFrame, final: DataFrame) -> DataFrame:
-    """One row per entry with its group's resolution; groups are found by key, not by member.  ``input_file`` stays if entries have it."""
+    """One row per entry with its group's resolution; groups are found by key, not by member.  The place of a row in its file stays if entries have it."""
     names = {"status": "_status", "error": "_error", "failure_reason": "_reason", "strategy": "_strategy", "query_term": "_term", "query_rank": "_rank", "source_id": "_source", "metadata": "_metadata_map", "resolved": "_resolved"}
     side = final.select("group_key", *[F.col(a).alias(b) for a, b in names.items()])
     joined = with_group_key(entries).join(side, "group_key", "left")

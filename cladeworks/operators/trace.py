@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -57,22 +56,3 @@ def as_text(trace: str) -> str:
 
 def digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
-
-
-def fingerprint(paths: list[str]) -> str:
-    """A digest of names, sizes and times of files."""
-    h = hashlib.sha256()
-    for p in sorted(paths):
-        s = os.stat(p)
-        h.update(f"{p}|{s.st_size}|{s.st_mtime_ns}\n".encode())
-    return h.hexdigest()
-
-
-def checksum(paths: list[str]) -> str:
-    """A digest of the bytes of files."""
-    h = hashlib.sha256()
-    for p in sorted(paths):
-        with open(p, "rb") as f:
-            while block := f.read(1 << 20):
-                h.update(block)
-    return h.hexdigest()

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import zipfile
+from dataclasses import replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Inputs, listed, literal, number_of, part_at
+
 TAXA, NAMES = "Taxon.tsv", "VernacularName.tsv"
 _TAXON_COLUMNS = ("taxonID", "canonicalName", "taxonRank", "taxonomicStatus", "kingdom", "phylum", "class", "order", "family", "genus")
 
 
+#: A path up to the end of a resolved dataset's name.
+RESOLVED = r"^(.*?\.resolved\.parquet)(?:/|$)"
 #: Bytes that a whole archive of the public backbone has at least.
 WHOLE_ARCHIVE = 900_000_000
 
@@ -65,7 +71,22 @@ def read_vernacular(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path).select("taxonID", "vernacularName", "language")
 
 
-def read_annotations(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Resolved datasets as one table, with the dataset of each row as ``input_file``."""
-    rows = spark.read.parquet(*paths)
-    return rows.withColumn("input_file", F.regexp_extract(F.col("_metadata.file_path"), r"^(?:file:/*(?=/))?(.*?\.resolved\.parquet)", 1))
+def annotations(spark: SparkSession, path: str) -> Inputs:
+    """The resolved datasets below a folder, each numbered and named as one, however many files it has."""
+    found = listed(spark, path, "*.parquet")
+    if re.match(RESOLVED, f"{found.root}/"):
+        raise ValueError(f"{path} lies inside a resolved dataset")
+    dataset = F.regexp_extract("name", RESOLVED, 1)
+    files = found.files.withColumn("name", dataset).filter("name <> ''").groupBy("name").agg(F.min(_dataset_number(F.col("uri"))).alias("file_number"), F.sum("size").alias("size"))
+    return replace(found, files=files)
+
+
+def _dataset_number(uri: Column) -> Column:
+    return number_of(F.regexp_extract(uri, RESOLVED, 1))
+
+
+def read_annotations(spark: SparkSession, inputs: Inputs) -> DataFrame:
+    """Resolved datasets as one table, with the place of each row."""
+    uri = F.col("_metadata.file_path")
+    rows = spark.read.options(recursiveFileLookup=True, pathGlobFilter="*.parquet", mergeSchema=True).parquet(literal(inputs.path))
+    return rows.filter(uri.rlike(RESOLVED)).withColumns({"file_number": _dataset_number(uri), "file_part": part_at(F.col("_metadata.file_block_start"))})

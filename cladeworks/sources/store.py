@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +18,22 @@ def _at(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its store, as Spark writes it, without any escapes."""
+    fs, p = _at(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.delete(p, True)
@@ -33,13 +46,61 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a folder that Spark has written, with a success marker of its own."""
+    """Rename a folder that Spark has written, with a success marker of its own; what lies at the target goes."""
     fs, a = _at(spark, source)
     b = _at(spark, target)[1]
+    fs.create(_at(spark, f"{source}/_SUCCESS")[1], True).close()
     fs.mkdirs(b.getParent())
+    if fs.exists(b):
+        fs.delete(b, True)
     if not fs.rename(a, b):
         raise OSError(f"cannot move {source} to {target}")
-    fs.create(_at(spark, f"{target}/_SUCCESS")[1], True).close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole: readers see all of it or none."""
+    fs, p = _at(spark, path)
+    fresh = _at(spark, f"{path}.partial")[1]
+    fs.mkdirs(p.getParent())
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(fresh, p):
+        raise OSError(f"cannot write {path}")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all machines see, below ``spark.checkpoint.dir``; a temporary one serves in local mode where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
+    return f"{root.rstrip('/')}/cladeworks-{uuid.uuid4().hex}"
+
+
+def keeper(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
+    """A function that writes a table into one new shared folder under a name and gives it read again."""
+    folder = shared_folder(spark)
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return keep
 
 
 def namespace(command: str, fingerprint: str) -> str:
@@ -64,11 +125,12 @@ class TableCache:
         age = time.time() - fs.getFileStatus(marker).getModificationTime() / 1000
         return self.max_age is None or age <= self.max_age
 
-    def table(self, name: str, compute: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-        """The stored table, computed and stored first if it is absent, broken, too old or to be refreshed."""
+    def table(self, name: str, compute: Callable[[], DataFrame], refresh: bool = False, by: str | None = None) -> DataFrame:
+        """The stored table, computed and stored first if it is absent, broken, too old or to be refreshed; ``by`` names a column to partition it by."""
         path = f"{self.folder}/{name}"
         if refresh or not self.fresh(name):
-            compute().write.mode("overwrite").parquet(path)
+            writer = compute().write.mode("overwrite")
+            (writer.partitionBy(by) if by else writer).parquet(path)
         return self.spark.read.parquet(path)
 
     def used(self) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,42 +33,102 @@ def command(program: str, source_id: int, jobs: int = 1, all_matches: bool = Tru
     return [program, "-j", str(jobs), "--format", "compact", "--sources", str(source_id), *[k for k, on in flags.items() if on]]
 
 
-def ask(arguments: list[str], names: list[str]) -> list[str]:
-    """One answer line per name, found by the name that the answer repeats.
+def settle(names: list[str], lines: list[str]) -> tuple[list[str | None], int]:
+    """The answer line of each name, and how many lines are answers.
 
-    Other output lines and broken JSON are skipped; a name without an answer gets ``{}``.
+    An answer belongs to the name that it repeats, or to one that differs in
+    case alone, as a program may capitalise.  Other output and broken JSON are
+    no answers.  Where the answers under a name are not as many as the names, none of them counts.
     """
-    done = subprocess.run(arguments, input="\n".join(names), capture_output=True, text=True, check=False)
-    if done.returncode:
-        raise RuntimeError(f"{arguments[0]} ended with {done.returncode}: {done.stderr[-500:]}")
-    answers: dict[str, str] = {}
-    for line in done.stdout.splitlines():
+    sent: dict[str, list[int]] = {}
+    for k, name in enumerate(names):
+        sent.setdefault(name.casefold(), []).append(k)
+    got: dict[str, list[tuple[str, str]]] = {}
+    for line in lines:
         if line.lstrip().startswith("{"):
             try:
                 name = json.loads(line).get("name")
             except ValueError:
                 continue
             if isinstance(name, str):
-                # A program that capitalises names may repeat them so.
-                answers.setdefault(name, line)
-                answers.setdefault(name.casefold(), line)
-    return [answers.get(n) or answers.get(n.casefold()) or "{}" for n in names]
+                got.setdefault(name.casefold(), []).append((name, line))
+    out: list[str | None] = [None] * len(names)
+    for key, places in sent.items():
+        answers = got.get(key, [])
+        if len(answers) == len(places):
+            exact = [k for k in places if any(n == names[k] for n, _ in answers)]
+            for k in [*exact, *[k for k in places if k not in exact]]:
+                at = next((i for i, (n, _) in enumerate(answers) if n == names[k]), 0)
+                out[k] = answers.pop(at)[1]
+    return out, sum(map(len, got.values()))
+
+
+def ask(arguments: list[str], names: list[str], tries: int = 3) -> tuple[list[str | None], int, int]:
+    """``(answers, lines received, tries)`` of a program for a batch of names; None for a name without exactly one answer.
+
+    A batch is complete if every name has its answer and no other answer came; else it is sent again, ``tries`` times in all.
+    """
+    for n in range(1, tries + 1):
+        done = subprocess.run(arguments, input="\n".join(names), capture_output=True, text=True, check=False)
+        if done.returncode:
+            raise RuntimeError(f"{arguments[0]} ended with {done.returncode}: {done.stderr[-500:]}")
+        answers, received = settle(names, done.stdout.splitlines())
+        if None not in answers and received == len(names):
+            break
+    return answers, received, n
+
 
+LEDGER = "term string, source_id int, value string, batch string, sent int, received int, tries int, complete boolean"
 
-def program_responses(lookups: DataFrame, program: str, batch: int = BATCH, **options) -> DataFrame:
-    """Answers of an external program to ``lookups (term, source_id)``, a process per source and batch in each partition."""
+
+def program_ledger(lookups: DataFrame, program: str, batch: int = BATCH, tries: int = 3, **options) -> DataFrame:
+    """What an external program answers to ``lookups (term, source_id)``, a process per source and batch in each partition.
+
+    Every name has a row, with its batch's numbers of names sent and of
+    answers received; no row of a batch is ``complete`` unless the whole batch is.
+    """
 
     def run(batches):
+        import uuid
+
         for b in batches:
             terms, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
             for source in sorted(set(sources)):
                 mine = [t for t, s in zip(terms, sources, strict=True) if s == source]
                 for i in range(0, len(mine), batch):
                     part = mine[i : i + batch]
-                    yield pa.RecordBatch.from_pydict({"term": part, "source_id": pa.array([source] * len(part), pa.int32()), "value": ask(command(program, source, **options), part)})
+                    values, received, n = ask(command(program, source, **options), part, tries)
+                    whole, size = None not in values and received == len(part), len(part)
+                    yield pa.RecordBatch.from_pydict({
+                        "term": part, "source_id": pa.array([source] * size, pa.int32()), "value": pa.array(values, pa.string()), "batch": [uuid.uuid4().hex] * size,
+                        "sent": pa.array([size] * size, pa.int32()), "received": pa.array([received] * size, pa.int32()), "tries": pa.array([n] * size, pa.int32()), "complete": [whole] * size,
+                    })
+
+    return lookups.select("term", F.col("source_id").cast("int")).mapInArrow(run, LEDGER)
+
+
+class IncompleteAnswers(RuntimeError):
+    """A program did not answer each name once."""
+
+
+def answers_of(ledger: DataFrame) -> DataFrame:
+    """``term, source_id, response`` of a ledger; reading a row of an incomplete batch is an error.  An answer without name or type has a null response."""
+    said = F.concat(F.lit("the verifier gave "), F.col("received").cast("string"), F.lit(" answers to "), F.col("sent").cast("string"), F.lit(" names of one batch"))
+    return parse_responses(ledger.withColumn("value", F.when(F.col("complete"), F.col("value")).otherwise(F.raise_error(said)))).select("term", "source_id", "response")
+
+
+def quarantine(ledger: DataFrame, keep: Callable[[DataFrame], object]) -> None:
+    """Raise if a stored ledger has incomplete batches, after giving their rows to ``keep``."""
+    broken = ledger.filter(~F.col("complete"))
+    names, batches = broken.agg(F.count("*"), F.count_distinct("batch")).first()
+    if names:
+        keep(broken)
+        raise IncompleteAnswers(f"{batches} batches with {names} names were not answered in full; they are quarantined")
+
 
-    rows = lookups.select("term", F.col("source_id").cast("int")).mapInArrow(run, "term string, source_id int, value string")
-    return parse_responses(rows).filter("response is not null").select("term", "source_id", "response")
+def program_responses(lookups: DataFrame, program: str, batch: int = BATCH, tries: int = 3, **options) -> DataFrame:
+    """``term, source_id, response`` from an external program; an incomplete batch is an error."""
+    return answers_of(program_ledger(lookups, program, batch, tries, **options))
 
 
 def _pieces(name: str, most_edits: int) -> str:
