@@ -13,7 +13,7 @@ import json
 
 import numpy as np
 
-from .chunks import ChunkTable, per_text, slices
+from .chunks import SLICE_BYTES, ChunkTable, per_text, slices
 
 # Byte classes: white space, letter, digit, punctuation, apostrophe, anything else, white space of several bytes.
 _W, _L, _N, _P, _Q, _U, _V = range(7)
@@ -89,7 +89,7 @@ class ByteBpe:
         )
         self.added = [x["content"].encode() for x in spec["added_tokens"] if not (plain and x["special"])]
         self.alphabet = byte_alphabet()
-        self.table = ChunkTable(self._encode)
+        self.table, self.slice_bytes = ChunkTable(self._encode), SLICE_BYTES
 
     def _plain(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
@@ -108,7 +108,7 @@ class ByteBpe:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray):
         """Yield ``(first text, ids, bounds)`` for slices of the texts in a buffer; text k of a slice has ``ids[bounds[k]:bounds[k + 1]]``."""
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, self.slice_bytes):
             part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             data = part.tobytes()
             if not self.by_chunk or any(x in data for x in self.added):

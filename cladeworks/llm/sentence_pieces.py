@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, per_text, slices
+from .chunks import SLICE_BYTES, ChunkTable, per_text, slices
 from .words import string_buffer
 
 BLANK = "▁".encode()
@@ -185,7 +185,7 @@ class Pieces:
             and 4 not in kinds and 6 in kinds and not any(b"\n" in p for p in model)
         )
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self.table = ChunkTable(self._encode)
+        self.table, self.slice_bytes = ChunkTable(self._encode), SLICE_BYTES
 
     @staticmethod
     def _crosses(piece: bytes) -> bool:
@@ -203,7 +203,7 @@ class Pieces:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray):
         """Yield ``(first text, ids, bounds)`` for slices of texts, without begin and end ids."""
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, self.slice_bytes):
             part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             data = part.tobytes()
             if not self.by_chunk or BLANK in data or b"\0" in data:

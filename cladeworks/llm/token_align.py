@@ -38,7 +38,7 @@ from .byte_bpe import encoder
 from .chunks import slices
 from .pair_table import Hash, PairTable, build, pack, shard_of
 from .runtime import materialize, row_ids
-from .sentence_pieces import BLANK, pieces
+from .sentence_pieces import BLANK, Pieces
 from .words import string_buffer
 
 SHARD_BITS = 6
@@ -48,7 +48,9 @@ FAN = 32
 TABLE_BYTES = 96 << 20
 #: Bytes of pairs that one group looks up in one shard, about.
 ASKED_BYTES = 64 << 20
-_SLICE = 1 << 20
+_SLICE = 4 << 20
+#: Different chunks of text whose ids a worker holds for each tokenizer, about 200 bytes each.
+KNOWN_CHUNKS = 600_000
 #: Pairs that a task holds unmerged.
 _HELD_PAIRS = 4 << 20
 
@@ -86,7 +88,10 @@ class Aligned:
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = encoder(path_a, plain=True), pieces(path_b)
+        self.a, self.b = encoder(path_a, plain=True), Pieces(path_b)
+        # Both passes meet the same chunks, so more of them are held than a single encoding needs.
+        self.a.table.most = self.b.table.most = KNOWN_CHUNKS
+        self.a.slice_bytes = self.b.slice_bytes = 2 * _SLICE
         back = {c: bytes((x,)) for x, c in self.a.alphabet.items()}
         names = sorted((i, t) for t, i in self.a.tokenizer.get_vocab().items())
         size = names[-1][0] + 1
@@ -125,12 +130,13 @@ class Aligner:
         marks[ends_a] = 1
         marks[ends_b] |= 2
         ends = np.flatnonzero(marks)
-        both = np.flatnonzero(marks == 3)
+        in_a, in_b = (marks[ends] & 1).astype(np.int64), (marks[ends] >> 1).astype(np.int64)
+        upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
+        both = np.flatnonzero(in_a & in_b)
         before = lambda where: np.searchsorted(where, at, "right")
         return Aligned(
             a, b, np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)]),
-            np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right"), before(both),
-            np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends), before(ends),
+            upto_a[both], upto_b[both], before(ends[both]), upto_a - in_a, upto_b - in_b, before(ends),
         )
 
     @staticmethod
