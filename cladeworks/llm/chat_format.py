@@ -128,7 +128,7 @@ def pack(turns: DataFrame, pack_chars: int = PACK_CHARS, pack_conversations: int
         if now.conversations:
             yield now.batch()
 
-    parts = min(10_000, parts_for(keyed, F.coalesce(F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["text"])), F.lit(0))))
+    parts = parts_for(keyed, F.coalesce(F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["text"])), F.lit(0)))
     ordered = keyed.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns")
     return ordered.mapInArrow(walk, PACKS)
 

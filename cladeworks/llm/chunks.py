@@ -4,13 +4,14 @@ A tokenizer that never merges across certain places in a text encodes the
 pieces between them one by one to the same ids.  The texts of a batch are cut
 at such places with array operations, equal chunks are found by hash and
 confirmed byte by byte, and only chunks that the worker has not met go through
-the tokenizer library.  The table of known chunks has a bound and starts anew
-when it is full.
+the tokenizer library.  The table of known chunks has a bound; when it is full,
+only those of the texts at hand stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -31,14 +32,10 @@ class ChunkTable:
         self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
 
-    def _add(self, keys: list[bytes]) -> None:
-        lists = self.encode(keys)
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(counts.sum())
-        first, n = len(self.slots), len(keys)
+    def _put(self, keys: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        total, first, n = len(ids), len(self.slots), len(keys)
         while first + n > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-        ids = np.fromiter((i for x in lists for i in x), np.int64, total)
         if total and ids.max() > 65535 and self.flat.dtype == np.uint16:
             self.flat = self.flat.astype(np.uint32)
         while self.used + total > len(self.flat):
@@ -49,6 +46,15 @@ class ChunkTable:
         self.used += total
         self.slots.update(zip(keys, range(first, first + n), strict=True))
 
+    def _add(self, keys: list[bytes]) -> None:
+        lists = self.encode(keys)
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self._put(keys, np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts)
+
+    def _gather(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.count[slot]
+        return self.flat[np.repeat(self.start[slot] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))], counts
+
     def ids(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, number of ids of each chunk)."""
         if not len(starts):
@@ -63,15 +69,19 @@ class ChunkTable:
         else:
             data = raw.tobytes()
             different = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        missing = [k for k in different if k not in self.slots]
-        if len(self.slots) + len(missing) > self.most:
-            self._clear()
-            missing = different
-        if missing:
-            self._add(missing)
-        slot = np.fromiter(map(self.slots.__getitem__, different), np.int64, len(different))[inverse]
-        counts = self.count[slot]
-        return self.flat[np.repeat(self.start[slot] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))], counts
+        found = np.array([*map(self.slots.get, different, repeat(-1))], np.int64)
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            if len(self.slots) + len(unknown) > self.most:
+                # What the texts at hand share with earlier ones stays.
+                known = np.flatnonzero(found >= 0)
+                kept = self._gather(found[known])
+                self._clear()
+                self._put([different[k] for k in known.tolist()], *kept)
+                found[known] = np.arange(len(known))
+            found[unknown] = len(self.slots) + np.arange(len(unknown))
+            self._add([different[k] for k in unknown.tolist()])
+        return self._gather(found[inverse])
 
 
 def _same(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: np.ndarray) -> bool:

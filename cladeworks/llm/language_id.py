@@ -11,7 +11,7 @@ calibrates the probabilities.
 
 A text that is null or has no letter is ``und`` with score 0.  Null labels are
 not learnt from; every other label is learnt, however many there are: the
-sample then holds about ``_LEAST`` texts of each, and only weights that are
+sample then holds ``_LEAST`` texts of each, those first by a hash, and only weights that are
 not zero are kept.  Without any labelled text everything is ``und``.  Texts are
 read whole, whatever their length; of equal probabilities the label first by
 code point wins.  Repeated rows count each, a null identifier is the empty
@@ -22,24 +22,26 @@ from __future__ import annotations
 
 import functools
 import pickle
-import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import discard, materialize
 
 DIM = 1 << 15
 SAMPLE_ROWS = 4_000
 #: Texts of fewer n-grams than this are counted by sorting, longer ones by histograms; both give the same counts.
 _SHORT = 3_000
 UNKNOWN = "und"
-#: Expected texts of each label in the sample, at least.
+#: Texts of each label in the sample, at least, if it has as many.
 _LEAST = 8
-_LETTER = re.compile(r"[^\W\d_]")
+#: Texts drawn of each label beyond what its sample takes, so that the draw cannot run short: with 64 expected, fewer than 8 have a probability of 1e-18.
+_SPARE = 56
+_LETTER = regex.compile(r"\p{L}")
 _BLANK = {c: " " for c in range(128) if not chr(c).isalpha()}
 
 
@@ -168,7 +170,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not counts:
         return Model([], np.zeros(DIM), np.zeros((DIM, 1)), np.zeros(1), 1.0)
     each = max(_LEAST, sample_rows // len(counts))
-    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "label string, share double"))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (each + _SPARE) / r["count"])) for r in counts], "label string, share double"))
     point = F.pmod(F.xxhash64(F.lit("sample"), F.coalesce("doc_id", F.lit("")), "text"), F.lit(1 << 30)) / float(1 << 30)
     chosen = open_.join(share, F.col("lang") == F.col("label")).select("text", "lang", (point < F.col("share")).alias("chosen"))
     stats = materialize(chosen.mapInArrow(_statistics, _STATS), "statistics")
@@ -177,8 +179,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     for r in stats.filter("feature is not null").groupBy("feature").agg(F.sum("df").alias("df")).collect():
         df[r["feature"]] = r["df"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
-    # About ``sample_rows`` rows, or _LEAST for each label; equal texts of a label count once, so that copies cannot add to them.
-    sample = stats.filter("label is not null").select("label", "indices", "counts").distinct().orderBy(F.xxhash64("indices", "counts"), "label").collect()
+    # ``sample_rows`` rows, or _LEAST for each label; equal texts of a label count once, so that copies cannot add to them.
+    drawn = stats.filter("label is not null").select("label", "indices", "counts").distinct().withColumn("place", F.xxhash64("indices", "counts"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("place", "indices", "counts"))).filter(F.col("rank") <= each)
+    sample = sorted(ranked.collect(), key=lambda r: (r["place"], r["label"]))
+    discard(stats)
     labels = sorted({r["label"] for r in sample})
     if not labels:
         return Model([], np.zeros(DIM), np.zeros((DIM, 1)), np.zeros(1), 1.0)
@@ -215,7 +220,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, found with probability ``least`` or more."""
+    """The rows of ``docs`` whose text has a language, found with probability ``least`` or more; null texts and those without a letter go."""
     shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(train(docs, sample_rows)))
 
     @F.pandas_udf("boolean")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD, broadcast_if_small, materialize
+from .runtime import WORD, broadcast_if_small, materialize, scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -103,13 +103,15 @@ def _plan(rows: DataFrame, weights, share: float, most: float) -> DataFrame:
     """``(_s, source_size, target, whole, threshold)``, one row per source of ``rows (source, position, size)``."""
     if most > 2:
         raise ValueError("a row is taken twice at most")
-    plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    budgets = plan.withColumn("whole", whole.cast("int")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    cut = thresholds(rows, budgets)
-    return materialize(
-        budgets.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold"), "plan"
-    )
+    with scratch() as keep:
+        plan = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+        budgets = plan.withColumn("whole", whole.cast("int")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+        cut = thresholds(rows, budgets)
+        joined = budgets.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        out = materialize(joined.select(F.col("source").alias("_s"), "source_size", "target", "whole", "threshold"), "plan")
+        keep.append(out)
+    return out
 
 
 def _sizes(docs: DataFrame, seed: str) -> DataFrame:

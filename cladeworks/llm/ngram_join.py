@@ -172,13 +172,54 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.nd
     return sorted_values[at] == x, at
 
 
+def _collapsed(token: np.ndarray, key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of one task's subset lists with its connected sets made one.
+
+    Sets of one size that share a subset link.  Each is tied to the least of
+    them by a list of two of their own, and then every list needs one set of each
+    connected part: a set elsewhere that links with the others of the part links
+    with that one.  So a subset that very many sets share, as those of a
+    template do, has a few entries from each task.
+    """
+    subset = (size & _SUBSET) > 0
+    if not subset.any():
+        return token, key, size
+    t, k, z = token[subset], key[subset], size[subset]
+    keys, at = np.unique(k, return_inverse=True)
+    same = np.flatnonzero(z & _SAME)
+    order = same[np.lexsort((at[same], t[same]))]
+    first, length = _runs(t[order])
+    u, v = at[order], np.repeat(at[order][first], length)
+    edges = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+    if not len(edges):
+        return token, key, size
+    label = np.arange(len(keys))
+    while True:  # the least label runs along the edges, and by jumps, until nothing changes
+        least = label.copy()
+        np.minimum.at(least, edges[:, 0], label[edges[:, 1]])
+        np.minimum.at(least, edges[:, 1], label[edges[:, 0]])
+        least = least[least]
+        if np.array_equal(least, label):
+            break
+        label = least
+    n = np.zeros(len(keys), np.uint32)
+    n[at] = z & _SIZE
+    order = np.lexsort((at, label[at], z, t))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (t[order][1:] != t[order][:-1]) | (z[order][1:] != z[order][:-1]) | (label[at][order][1:] != label[at][order][:-1])
+    kept = order[fresh]
+    of_tie = mix64(keys[edges[:, 0]].view(np.uint64) ^ mix64(keys[edges[:, 1]].view(np.uint64)))
+    tied = [np.repeat(of_tie, 2), keys[edges].reshape(-1), np.repeat(n[edges[:, 0]] | _SUBSET | _SAME, 2)]
+    return tuple(np.concatenate([x[~subset], y, w]) for x, y, w in zip((token, key, size), (t[kept], k[kept], z[kept]), tied, strict=True))
+
+
 def _postings(width: int, percent: int, small: int, buckets: int, frequent, hot: tuple[np.ndarray, np.ndarray]):
     """Blobs of postings by bucket.  ``hot`` holds sorted tokens and how many buckets of its own each has, after the others."""
     hot_tokens, hot_parts = hot
     hot_first = buckets + np.cumsum(hot_parts) - hot_parts
 
     def flush(parts):
-        token, key, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        token, key, size = _collapsed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         apart, at = _member(hot_tokens, token)
         if apart.any():
@@ -594,7 +635,7 @@ def _components_of_sets(docs: DataFrame, width: int, percent: int) -> tuple[Data
     labels = _labels(tied)
 
     labelled = lists.filter("not subset").join(broadcast_if_small(labels), "key", "left").select("gid", "key", "n", F.coalesce(F.col("label"), F.col("key")).alias("label"), "size")
-    pairs = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition("gid").mapInArrow(_short_pairs(percent), _PAIRS)
+    pairs = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition(buckets, "gid").mapInArrow(_short_pairs(percent), _PAIRS)
     counted = pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("lists").alias("lists"))
     untied = ties.select("a", "b")
     short = materialize(counted.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b", "lists").join(untied, ["a", "b"], "left_anti"), "short")

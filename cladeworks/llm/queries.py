@@ -107,8 +107,8 @@ FROM f
 
 OP2_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
 escaped AS (
   SELECT *, length(regexp_replace(role, '(<)(\||s>|/s>|<SYS>>|</SYS>>)|(\[)(/?INST\])|(\\)', '\1\3\5\\\2\4', 'g')) AS role_chars,
     length(regexp_replace(text, '(<)(\||s>|/s>|<SYS>>|</SYS>>)|(\[)(/?INST\])|(\\)', '\1\3\5\\\2\4', 'g')) AS text_chars
@@ -117,7 +117,7 @@ said AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
     sum(length('<|turn|><|text|><|end|>') + role_chars + text_chars)::BIGINT AS formatted_chars
-  FROM escaped GROUP BY conv_id)
+  FROM escaped GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM said
 """
 

@@ -12,7 +12,9 @@ the plane kind, the offset of every frame (the chunk index) and for each
 document its identifier and number of ids.  A reader can fetch any range of
 ids by seeking to its blocks.
 
-Documents lie in ascending order of ``doc_id`` (null first) across the files.
+Documents lie in ascending order of ``doc_id`` (null first) across the files,
+those of one identifier by a hash of their text, so that reruns agree and the
+rows of one identifier, however many, may lie in several files.
 Each task writes its range to the shared folder under a name of its own; the
 manifest names the files of successful attempts.  Null texts are empty; every
 document ends with ``end_id``; repeated rows are documents of their own.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .runtime import attempt_name, materialize, open_input, open_output, parts_for, shared_dir
+from .runtime import attempt_name, discard, materialize, open_input, open_output, parts_for, shared_dir
 from .words import string_buffer
 
 MAGIC = b"PLANES01"
@@ -159,7 +161,7 @@ class PlaneReader:
         self.file.close()
 
 
-_MANIFEST = "path string, first_doc long, last_doc long, docs long, ids long"
+_MANIFEST = "path string, first_doc long, first_mark long, last_doc long, docs long, ids long"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, kind: str = "byte", level: int = 1) -> DataFrame:
@@ -168,7 +170,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     target = folder or f"{shared_dir(spark)}/tokens"
 
     def run(batches):
-        model, writer, path, first, last, n_docs = encoder(tokenizer), None, None, None, None, 0
+        model, writer, path, first, mark, last, n_docs = encoder(tokenizer), None, None, None, None, None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -176,7 +178,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
                 path = f"{target}/{attempt_name()}.planes"
                 writer = PlaneWriter(path, kind, level)
             ids_of = batch.column(0).fill_null(_NULL_DOC).to_numpy(zero_copy_only=False)
-            first = ids_of[0] if first is None else first
+            if first is None:
+                first, mark = ids_of[0], batch.column(2)[0].as_py()
             last, n_docs = ids_of[-1], n_docs + len(ids_of)
             raw, offsets = string_buffer(batch.column(1))
             for i, ids, bounds in model.encode(raw, offsets):
@@ -186,14 +189,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
                 writer.add(ids_of[i : i + n], np.diff(bounds) + 1, ended)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [int(first)], "last_doc": [int(last)], "docs": [n_docs], "ids": [writer.n_ids]})
+            yield pa.RecordBatch.from_pydict({"path": [path], "first_doc": [int(first)], "first_mark": [mark], "last_doc": [int(last)], "docs": [n_docs], "ids": [writer.n_ids]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = parts_for(rows, F.coalesce(F.octet_length("text"), F.lit(0)))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    marked = rows.withColumn("mark", F.xxhash64("text"))
+    ordered = marked.repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
     files = materialize(ordered.mapInArrow(run, _MANIFEST), "manifest")
-    before = Window.orderBy("first_doc", "path").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long")), "starts")
+    before = Window.orderBy("first_doc", "first_mark", "path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long")), "starts")
+    discard(files)
+    return starts
 
 
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -216,4 +222,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_READ_SCHEMA)
 
-    return manifest.repartition(max(1, min(10_000, manifest.count()))).select("path", "start").mapInArrow(run, _READ)
+    return manifest.repartition(max(1, manifest.count())).select("path", "start").mapInArrow(run, _READ)

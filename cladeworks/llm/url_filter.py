@@ -3,8 +3,9 @@
 An index holds rules ``host-suffix/path-prefix`` with a verdict.  Its file is
 a sorted array of 64-bit xxhash keys, the offsets of the full strings, and the
 strings.  Executors get the file once each, map it into memory and probe it
-with vectorised binary search: a URL's probe keys are its host and parent
-domains, each with as many characters of the path as some rule's path has.
+with vectorised binary search: a URL's probe keys are its host and those parent
+domains that are as long as some rule's host, each with as many characters of the path as that rule's path has,
+so that a URL has as many keys as there are such pairs of lengths, however long it is.
 Every digest hit is confirmed against the stored string, and neighbours with
 the same digest are compared too, so collisions cannot decide.
 
@@ -50,7 +51,7 @@ def write_index(path: str, entries) -> str:
     rows = sorted((xxhash.xxh64_intdigest(r), r, v) for r, v in rules.items())
     strings = [r + b"\0" + v for _, r, v in rows]
     offsets = np.cumsum([0, *map(len, strings)]).astype("<u8")
-    lengths = sorted({(len(r) - r.find(b"/")) if b"/" in r else 0 for r in rules})
+    lengths = sorted({(len(r.partition(b"/")[0]), len(r) - len(r.partition(b"/")[0])) for r in rules})
     with open(path, "wb") as f:
         f.write(_MAGIC.ljust(8, b"\0"))
         f.write(np.array([len(rows), len(lengths)], "<u8").tobytes())
@@ -62,7 +63,7 @@ def write_index(path: str, entries) -> str:
 
 
 class DigestIndex:
-    """A memory-mapped index.  Path lengths count bytes."""
+    """A memory-mapped index.  ``lengths`` are those of the rules' hosts and paths, in bytes."""
 
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
@@ -72,7 +73,7 @@ class DigestIndex:
         at = 24
         self.keys, at = data[at : at + 8 * n].view("<u8"), at + 8 * n
         self.offsets, at = data[at : at + 8 * (n + 1)].view("<u8"), at + 8 * (n + 1)
-        self.lengths, at = data[at : at + 8 * m].view("<u8").tolist(), at + 8 * m
+        self.lengths, at = data[at : at + 16 * m].view("<u8").reshape(-1, 2).tolist(), at + 16 * m
         self.strings = data[at:]
 
     def find(self, probes: list[bytes]) -> list[str | None]:
@@ -100,13 +101,11 @@ class DigestIndex:
         probes, owner = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             raw, path_raw = host.encode(), path.encode()
-            suffixes = [raw] + [raw[k + 1 :] for k in range(len(raw)) if raw[k] == 46]
-            for n in self.lengths:
-                if n <= len(path_raw):
-                    for suffix in suffixes:
-                        if suffix:
-                            probes.append(suffix + path_raw[:n])
-                            owner.append((i, len(suffix)))
+            for of_host, of_path in self.lengths:
+                fits = len(raw) == of_host or (len(raw) > of_host and raw[-of_host - 1] == 46)
+                if of_host and fits and of_path <= len(path_raw):
+                    probes.append(raw[len(raw) - of_host :] + path_raw[:of_path])
+                    owner.append((i, of_host))
         rules: list[str | None] = [None] * len(hosts)
         verdicts: list[str | None] = [None] * len(hosts)
         best = [(-1, -1)] * len(hosts)

@@ -129,6 +129,36 @@ def test_join_deals_hot_lists_to_several_tasks(spark, monkeypatch):
     check_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
+def test_join_of_templates_keeps_subset_lists_short(spark, monkeypatch):
+    """Sets of one template share subsets; from each task a list gets a set of each connected part, not all of them."""
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join([*words[:11], f"e{i}"])) for i in range(2000)]  # 7 of 8 shingles are the template's
+    rows += [(5000 + i, " ".join([f"d{i}", *words[1:]])) for i in range(300)]
+    rows += [(6000 + i, " ".join(words[:10])) for i in range(3)] + [(7000 + i, " ".join([*words[:10], "x", f"y{i}"])) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    assert got == components(rows)
+    entries, keys = [], set()
+    for i, (s, t, k) in enumerate(ngram_join.subset_signatures(8)):
+        entries += [(np.uint64(77 + i), key, 8 | int(ngram_join._SUBSET) | (int(ngram_join._SAME) if s == t else 0)) for key in range(1, 1001)]
+    token, key, size = (np.array(x, d) for x, d in zip(zip(*entries, strict=True), (np.uint64, np.int64, np.uint32), strict=True))
+    t, k, _ = ngram_join._collapsed(token, key, size)
+    lists = defaultdict(set)
+    for a, b in zip(t.tolist(), k.tolist(), strict=True):
+        lists[a].add(b)
+        keys.add(b)
+    assert keys == set(range(1, 1001)) and all(len(v) <= 2 for v in lists.values())
+
+
+def test_token_files_of_one_identifier(spark, tmp_path):
+    """Rows of one identifier spread over files, in one order whatever order they come in."""
+    rows = [(None if i % 2 else 7, f"text number {i % 90} " * 30) for i in range(400)]
+    read = lambda parts: sorted(map(tuple, token_planes.read_tokens(token_planes.write_tokens(spark.createDataFrame(rows if parts > 1 else rows[::-1], "doc_id long, text string").repartition(parts), tokenizer_path("byte_bpe_50k.json"))).collect()), key=str)
+    first = read(3)
+    assert first == read(1) and len(first) == 400
+    manifest = token_planes.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json"))
+    assert manifest.count() > 2
+
+
 def test_subset_signatures_are_links():
     for n in range(1, 13):
         for s, t, k in ngram_join.subset_signatures(n):
@@ -217,6 +247,15 @@ def test_block_list_covers_its_sites_under_every_suffix(spark):
     assert on_sites and set(on_sites) == {"block"}
 
 
+def test_long_hosts_and_paths(spark):
+    """A URL has as many probe keys as there are lengths of rules, however long it is."""
+    deep = "a." * 200_000
+    urls = [f"http://{deep}example.org/es/x", f"http://{deep}com/" + "p/" * 100_000, "http://" + "x" * 500_000 + "/fr/", f"http://{deep[:-1]}/", "http://org/"]
+    got = url_filter.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).orderBy("page_id").collect()
+    assert [r.rule for r in got] == ["example.org/es/", None, None, None, "org/"] and [r.verdict for r in got] == ["block", "allow", "allow", "allow", "allow"]
+    assert [len(r.host) for r in got][0] == len(deep) + len("example.org")
+
+
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     import xxhash
 
@@ -225,6 +264,20 @@ def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     assert index.find([b"aa/", b"bb/", b"cc/", b"dd/"]) == ["allow", "block", "allow", None]
 
 
+def test_full_chunk_tables_keep_what_is_at_hand():
+    from cladeworks.llm.chunks import ChunkTable
+
+    asked, rng = [], random.Random(8)
+    table = ChunkTable(lambda keys: asked.extend(keys) or [[k[0], len(k), 70_000 if k[0] == 122 else 1] for k in keys], most=50)
+    for _ in range(60):
+        chunks = [bytes([rng.randrange(97, 123)] * rng.randrange(1, 5)) for _ in range(30)]
+        raw, stops = np.frombuffer(b"".join(chunks), np.uint8), np.cumsum([len(c) for c in chunks])
+        ids, counts = table.ids(raw, stops - [len(c) for c in chunks], stops)
+        assert ids.tolist() == [x for c in chunks for x in (c[0], len(c), 70_000 if c[0] == 122 else 1)] and set(counts.tolist()) == {3}
+        assert len(table.slots) <= 50 + 30
+    assert len(asked) < 60 * 30
+
+
 def test_byte_bpe_matches_library():
     from tokenizers import Tokenizer
 
@@ -474,6 +527,12 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(nolabel).collect()} == {"und"}
 
 
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["plain words", "½ ² ①", "Ⅷ ⅻ 4", "漢字", "ªb", "12 _ 5"] * 3)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).orderBy("doc_id").limit(6).collect()
+    assert [r.lang_pred == "und" for r in got] == [False, True, True, False, False, True]
+
+
 def test_language_learns_every_label(spark):
     rng = random.Random(8)
     words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
