@@ -1,13 +1,13 @@
 """Vernacular names for resolved rows.
 
-All joins are left joins on sides that are unique by construction
+All joins of rows are left joins on sides that are unique by construction
 (``min_by`` over the numeric taxon identifier or the row order), so the number
 of rows never changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import INVALID, RANKS
@@ -69,50 +69,44 @@ def merge_taxon_ids(rows: DataFrame, taxa: DataFrame) -> DataFrame:
     return out
 
 
-def _by_name(rows: DataFrame, taxa: DataFrame) -> DataFrame:
-    """Identifiers by name alone, which go before those by parent path."""
-    for rank in FINE_FIRST:
-        if rank not in rows.columns:
-            continue
-        column = f"taxonID_{rank}"
-        side = unique_taxa(taxa, ["canonicalName"], rank).withColumnsRenamed({"canonicalName": "_taxon", column: "_new"})
-        joined = rows.withColumn("_key", _spread(rank)).join(side, F.col("_key") == F.col("_taxon"), "left").drop("_key", "_taxon")
-        new = F.coalesce("_new", F.col(column).cast("string")) if column in rows.columns else F.col("_new")
-        rows = joined.withColumn(column, new).drop("_new")
-    return rows
+def named_taxa(taxa: DataFrame, vernacular: DataFrame) -> DataFrame:
+    """``rank, name, id`` of every name that has, at a rank, a taxon with a vernacular name; the least taxon of a name counts."""
+    rank = F.col("taxonRank") if "taxonRank" in taxa.columns else F.explode(F.array(*[F.lit(r) for r in RANKS]))
+    by_name = taxa.select(rank.alias("rank"), F.col("canonicalName").alias("name"), F.col("taxonID").cast("string").alias("taxonID")).filter(F.col("rank").isin(*RANKS) & F.col("name").isNotNull())
+    least = by_name.groupBy("rank", "name").agg(F.min_by("taxonID", _numeric("taxonID")).alias("id"))
+    known = vernacular.filter("vernacularName is not null").select(F.col("taxonID").cast("string").alias("id")).distinct()
+    return least.join(known, "id", "left_semi")
 
 
-def lookup_names(rows: DataFrame, lookup: DataFrame, climb: bool = True) -> DataFrame:
-    """``common_name`` and ``common_name_rank`` from ``lookup (taxonID, common_name)``.
+def _lineage_key(ranks) -> Column:
+    return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("+"), c), F.lit("-")) for c in ranks]))
 
-    Climbing takes the finest rank that has a name; otherwise only the finest
-    rank that the row itself names is asked.
+
+def add_common_names(rows: DataFrame, taxa: DataFrame, vernacular: DataFrame, climb: bool = True) -> DataFrame:
+    """The whole enrichment in one look-up of names by rank.
+
+    An identifier by name goes before one by parent path, and a path matches
+    no name that the rank does not have, so paths decide nothing here.  A row asks under the names of its
+    ranks.  Climbing asks under all of them: each different lineage becomes a
+    row a rank, one join finds those that have a vernacular name, the finest is kept, and rows meet their lineage
+    once.  Without it a row asks under its finest name alone.
     """
-    side = lookup.select(F.col("taxonID").cast("string").alias("_id"), F.col("common_name").alias("_name")).filter("_name is not null")
-    present = [r for r in FINE_FIRST if f"taxonID_{r}" in rows.columns]
-    rows = rows.drop("common_name", "common_name_rank")
-    if not climb:
-        asked = F.coalesce(*[F.when(F.col(r).isNotNull(), F.struct(F.lit(r).alias("rank"), (F.col(f"taxonID_{r}").cast("string") if r in present else F.lit(None).cast("string")).alias("id"))) for r in FINE_FIRST if r in rows.columns])
-        joined = rows.withColumn("_ask", asked).join(side, F.col("_ask.id") == F.col("_id"), "left")
-        return joined.withColumns({"common_name": F.col("_name"), "common_name_rank": F.when(F.col("_name").isNotNull(), F.col("_ask.rank"))}).drop("_ask", "_id", "_name")
+    named = named_taxa(taxa, vernacular)
+    lookup = vernacular.groupBy(F.col("taxonID").cast("string").alias("id")).agg(F.min("vernacularName").alias("common_name"))
+    rows = normalize_ranks(rows).drop("common_name", "common_name_rank", *[f"taxonID_{r}" for r in RANKS])
+    present = [r for r in FINE_FIRST if r in rows.columns]
     if not present:
         return rows.withColumns({"common_name": F.lit(None).cast("string"), "common_name_rank": F.lit(None).cast("string")})
-    # Names can be long: only identifiers are joined by rank, and the name of the one that decides comes last.
-    known = side.select("_id").distinct()
-    for r in present:
-        rows = rows.join(known.select(F.col("_id").alias(f"_id_{r}")), F.col(f"taxonID_{r}").cast("string") == F.col(f"_id_{r}"), "left")
-    picked = F.coalesce(*[F.when(F.col(f"_id_{r}").isNotNull(), F.struct(F.lit(r).alias("rank"), F.col(f"_id_{r}").alias("id"))) for r in present])
-    found = rows.withColumn("_pick", picked).drop(*[f"_id_{r}" for r in present]).join(side, F.col("_pick.id") == F.col("_id"), "left")
-    return found.withColumns({"common_name": F.col("_name"), "common_name_rank": F.col("_pick.rank")}).drop("_pick", "_id", "_name")
-
-
-def merge_common_names(rows: DataFrame, taxa: DataFrame, vernacular: DataFrame, climb: bool = True) -> DataFrame:
-    """Rows with common names; any name in the input is replaced and the identifiers are dropped."""
-    lookup = vernacular.groupBy(F.col("taxonID").cast("string").alias("taxonID")).agg(F.min("vernacularName").alias("common_name"))
-    named = lookup_names(_by_name(rows.drop("common_name"), taxa), lookup, climb)
-    return named.drop(*[f"taxonID_{r}" for r in RANKS])
-
-
-def add_common_names(rows: DataFrame, taxa: DataFrame, vernacular: DataFrame, climb: bool = True) -> DataFrame:
-    """The whole enrichment: identifiers by path, then by name, then names."""
-    return merge_common_names(merge_taxon_ids(rows, taxa), taxa, vernacular, climb)
+    asks = lambda r, k: F.when(F.col(r).isNotNull(), F.struct(F.lit(k).alias("fine"), F.lit(r).alias("rank"), F.col(r).alias("name")))
+    every = [asks(r, k) for k, r in enumerate(present)]
+    if climb:
+        keyed = rows.withColumn("_key", _lineage_key([F.col(r) for r in present]))
+        asked = keyed.select("_key", *present).distinct().select("_key", F.explode(F.array_compact(F.array(*every))).alias("ask")).select("_key", "ask.*")
+    else:
+        # A generator gives the finest name once; as an expression it would be copied to wherever it is used.
+        asking = rows.withColumn("_ask", F.explode_outer(F.slice(F.array_compact(F.array(*every)), 1, 1)))
+        keyed = asking.withColumn("_key", _lineage_key([F.col("_ask.rank"), F.col("_ask.name")]))
+        asked = keyed.filter("_ask is not null").select("_key", "_ask.*").distinct()
+    finest = asked.join(named, ["rank", "name"]).groupBy("_key").agg(F.min_by(F.struct("rank", "id"), "fine").alias("x"))
+    found = finest.select("_key", F.col("x.rank").alias("common_name_rank"), F.col("x.id").alias("id")).join(lookup, "id").drop("id")
+    return keyed.join(found, "_key", "left").select(*rows.columns, "common_name", "common_name_rank")

@@ -10,8 +10,9 @@ from ..functions import lineages as L
 from ..functions import names as N
 from ..operators import common_names as C
 from ..operators import grouping as G
-from ..operators import ladder, resolve
+from ..operators import climb, index, ladder, resolve
 from ..operators.trace import trace_entry
+from ..sources import store
 from ..sources.backbone import accepted
 from ..sources.entries import normalized_entries, source_of
 from . import driver_views as V
@@ -144,6 +145,30 @@ def attempts_chain(spark, d):
     return resolve.chains(_ended(spark, d)).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
 
 
+def attempt_keys(spark, d):
+    groups = _groups(spark, d)
+    answers = _answers(groups)
+    steps = resolve.with_attempt_keys(resolve.chains(resolve.final_attempts(groups, answers)), answers)
+    return steps.select("group_key", F.col("rung").cast("long").alias("rung"), "attempt_key", "previous_key")
+
+
+def climb_rounds(spark, d):
+    """The look-ups that the climb by its frontier makes, each with its round; the answers of a round are asked for after the one before."""
+    found = climb.rounds(_groups(spark, d), V.responses, store.keeper(spark))
+    return found.select("term", "source_id", F.col("round").cast("long").alias("round"), (F.size("response.results") > 0).alias("decides"))
+
+
+def trace_many(spark, d):
+    """The stored chains of every entry whose number is divisible by 50, through the index."""
+    entries = V.entries(spark, d)
+    folder, rows = store.shared_folder(spark), entries.count()
+    index.store(folder, entries, resolve.chains(_ended(spark, d)), rows)
+    n = index.buckets_for(rows)
+    members, chains = (spark.read.parquet(f"{folder}/{x}-{n}") for x in (index.MEMBERS, index.CHAINS))
+    asked = entries.select("uuid").filter(F.col("uuid").cast("long") % 50 == 0)
+    return index.attempts_of_many(members, chains, asked, n).select("uuid", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
+
+
 _OUT = ("uuid", "source_dataset", "resolution_status", *RANKS, "resolution_path", "final_query_term", "final_query_rank", "final_data_source_id")
 
 
@@ -268,7 +293,10 @@ SQL = {
     "force_failed_to_input": _with(V.RESOLVED_SQL, "SELECT group_key, first_status AS original_status, 'ForceFailedToInput' AS strategy FROM forced WHERE final_status = 'FAILED_FORCED_INPUT'"),
     "resolution_stats": _with(V.RESOLVED_SQL, "SELECT count(*) AS total_entry_groups_processed, sum(rung + 1)::BIGINT AS total_attempts_created, count(*) FILTER (rung > 0) AS entry_groups_with_retries, " + ", ".join(f"count(*) FILTER (final_status = '{s}') AS final_status_{s.lower()}" for s in STATUSES) + " FROM forced"),
     "successful_attempts": _with(V.RESOLVED_SQL, f"SELECT final_status AS status, count(*) AS groups FROM forced WHERE final_status IN ({_SUCCESS}) GROUP BY 1"),
-    "attempts_chain": _with(V.FINAL_SQL, "SELECT t.group_key, t.rung, t.query_term, t.source_id, CASE WHEN t.rung = f.rung THEN f.first_status ELSE t.status END AS status FROM tried t JOIN final f ON t.group_key = f.group_key AND t.rung <= f.rung"),
+    "attempts_chain": _with(V.FINAL_SQL, "SELECT group_key, rung, query_term, source_id, first_status AS status FROM climbed"),
+    "attempt_keys": _with(V.KEYS_SQL, "SELECT group_key, rung, attempt_key, lag(attempt_key) OVER (PARTITION BY group_key ORDER BY rung) AS previous_key FROM keys"),
+    "climb_rounds": _with(V.FINAL_SQL, "SELECT query_term AS term, source_id, min(rung) AS round, bool_and(status <> 'RETRY_SCHEDULED') AS decides FROM climbed WHERE query_term <> '' GROUP BY 1, 2"),
+    "trace_many": _with(V.FINAL_SQL, "SELECT uuid, rung, query_term, source_id, first_status AS status FROM keyed JOIN climbed USING (group_key) WHERE uuid::BIGINT % 50 = 0"),
     "resolve_output_rows": _with(V.RESOLVED_SQL, _ROWS),
     "resolve_unsolved": _with(V.RESOLVED_SQL, f"{_ROWS} WHERE final_status NOT IN ({_SUCCESS})"),
     "forced_output": _with(_E, f"SELECT uuid, '{FORCED}' AS resolution_status, 'FORCED' AS resolution_path, 'Entry not mapped to any resolution attempt' AS resolution_error, 'Processing error or missing attempt' AS resolution_failure_reason, " + ", ".join(f"coalesce({_Q[r]}, '') AS {_Q[r]}" for r in RANKS) + " FROM entries"),

@@ -57,8 +57,14 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def _plain(fs):
+    """A local file system without the checksum files beside its own, which others who write there do not keep."""
+    return fs.getRawFileSystem() if fs.getScheme() == "file" else fs
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _at(spark, path)
+    fs = _plain(fs)
     if not fs.exists(p):
         raise FileNotFoundError(path)
     stream = fs.open(p)
@@ -71,6 +77,7 @@ def read_text(spark: SparkSession, path: str) -> str:
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file whole: readers see all of it or none."""
     fs, p = _at(spark, path)
+    fs = _plain(fs)
     fresh = _at(spark, f"{path}.partial")[1]
     fs.mkdirs(p.getParent())
     stream = fs.create(fresh, True)

@@ -53,6 +53,7 @@ def settle(names: list[str], lines: list[str]) -> tuple[list[str | None], int]:
             if isinstance(name, str):
                 got.setdefault(name.casefold(), []).append((name, line))
     out: list[str | None] = [None] * len(names)
+    received = sum(map(len, got.values()))
     for key, places in sent.items():
         answers = got.get(key, [])
         if len(answers) == len(places):
@@ -60,7 +61,7 @@ def settle(names: list[str], lines: list[str]) -> tuple[list[str | None], int]:
             for k in [*exact, *[k for k in places if k not in exact]]:
                 at = next((i for i, (n, _) in enumerate(answers) if n == names[k]), 0)
                 out[k] = answers.pop(at)[1]
-    return out, sum(map(len, got.values()))
+    return out, received
 
 
 def ask(arguments: list[str], names: list[str], tries: int = 3) -> tuple[list[str | None], int, int]:

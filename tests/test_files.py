@@ -46,7 +46,7 @@ def test_csv_equals_pythons_reader(spark, tmp_path, ends):
         (tmp_path / f"{k}.csv").write_bytes(raw.encode())
         read = [r for r in csv.reader(io.StringIO(raw.removeprefix("﻿"), newline="")) if r]
         expected[f"{k}.csv"] = [tuple([*r, None, None, None][:3]) for r in read[1:]]
-    for block in (3, 29, 1 << 20):
+    for block in (5, 1 << 20):
         got = {}
         for r in sorted(scan(spark, tmp_path, ["a", "b c", "d"], block), key=lambda r: (r.name, r.start)):
             got.setdefault(r.name, []).append((r.a, r["b c"], r.d))
@@ -241,7 +241,7 @@ def test_index_prunes_files(spark, tmp_path, monkeypatch):
 def test_attempt_keys_equal_hashlib(spark):
     import hashlib
 
-    rows = spark.createDataFrame([(str(i), None, *[None] * 5, f"G {i}", f"Sé \"{i}\"") for i in range(64)], "uuid string, scientific_name string, " + ", ".join(f"`{r}` string" for r in RANKS))
+    rows = spark.createDataFrame([(str(i), None, *[None] * 5, f"G {i}", f"Sé \"{'y' * (i % 20)}{i}\"") for i in range(64)], "uuid string, scientific_name string, " + ", ".join(f"`{r}` string" for r in RANKS))
     groups = grouping.group_entries(rows)
     answers = V.responses(ladder.lookups(groups))
     said = {(r.term, r.source_id): json.dumps(r.response.asDict(True), sort_keys=True) for r in answers.collect()}
@@ -305,3 +305,37 @@ def test_program_climb_through_the_command(spark, tmp_path):
     with pytest.raises(RuntimeError, match="quarantined"):
         cli.run_resolve(spark, args)
     assert list((tmp_path / "c").glob("*/answers-*/quarantine"))
+
+
+def test_delta_scans_changed_files_and_resolves_touched_groups(spark, tmp_path):
+    from cladeworks.operators.delta import GroupStore
+
+    def write(k, species):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"f{k}.csv").write_text(text_of([COLUMNS, *[[f"{k}-{i}", "", *[""] * 6, x, ""] for i, x in enumerate(species)]]))
+
+    for k in range(10):
+        write(k, [f"S {k}", f" s {k} ", f"Common {k % 2}"])
+    answers = V.responses(spark.createDataFrame([(t, s) for i in range(12) for t in (f"S {i}", f"Common {i}", f"s {i}") for s in (11, 1, 179)], "term string, source_id int"))
+    read_files, kept = [], GroupStore(spark, str(tmp_path / "store"))
+
+    def read(inputs):
+        read_files.append(sorted(r["name"] for r in inputs.files.collect()))
+        return entries.normalized_entries(entries.read_raw(spark, inputs))
+
+    solve = lambda groups: resolve.final_attempts(groups, answers)
+
+    def check(scanned, resolved):
+        got = kept.update(files.find_inputs(spark, str(tmp_path / "in")), read, solve)
+        groups = grouping.group_entries(entries.read_entries(spark, str(tmp_path / "in")))
+        assert sorted(map(str, got.groups.collect())) == sorted(map(str, groups.collect()))
+        assert sorted(map(str, got.final.collect())) == sorted(map(str, solve(groups).select(*got.final.columns).collect()))
+        assert (got.scanned, got.resolved) == (scanned, resolved)
+
+    check([f"f{k}.csv" for k in range(10)], 12)
+    check([], 0)
+    write(3, ["S 11", "Common 1", "Common 1"])
+    check(["f3.csv"], 2)  # S 3 went, S 11 came, Common 1 has another count
+    (tmp_path / "in" / "f4.csv").unlink()
+    check([], 1)
+    assert read_files == [[f"f{k}.csv" for k in range(10)], ["f3.csv"]]

@@ -204,7 +204,7 @@ def test_cascade_against_the_specification(spark):
     for r in final.collect():
         rung, status = first[r.group_key]
         assert (r.rung, r.status) == (rung, "NO_MATCH_RETRIES_EXHAUSTED" if status == "RETRY_SCHEDULED" else status)
-    steps = sorted(resolve.chains(final).collect(), key=lambda r: (r.group_key, r.rung))
+    steps = sorted(resolve.with_attempt_keys(resolve.chains(final), table).collect(), key=lambda r: (r.group_key, r.rung))
     assert len(steps) == sum(r + 1 for r, _ in first.values()) and len({r.attempt_key for r in steps}) == len(steps)
     for before, r in zip([None, *steps], steps, strict=False):
         rung, status = first[r.group_key]
