@@ -57,6 +57,8 @@ MAX_SMALL = 12
 NEAREST = 1
 _LOCAL_FREQUENT = 2
 _POSTINGS_A_TASK = 1_500_000
+#: Postings that a task holds before it hands them on.
+_HELD_POSTINGS = 400_000
 #: A list of more sets than this is dealt to several tasks by set; each ties its sets, then the parts are tied.
 HOT_LIST = 1_000_000
 _SLICE_ROWS = 512
@@ -260,7 +262,7 @@ def _postings(width: int, percent: int, small: int, buckets: int, frequent, hot:
                     first = ordered[: prefix(n, percent)]
                     parts.append((first, np.full(len(first), key[0], np.int64), np.full(len(first), n, np.uint32)))
                     held += len(first)
-                if held > 1_000_000:
+                if held > _HELD_POSTINGS:
                     yield flush(parts)
                     parts, held = [], 0
         if parts:

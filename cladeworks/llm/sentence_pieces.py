@@ -28,7 +28,7 @@ from .words import string_buffer
 
 BLANK = "▁".encode()
 #: Ids that go to the library in one call for decoding, about.
-_DECODE_IDS = 200_000
+_DECODE_IDS = 50_000
 
 
 def _fields(raw: bytes):
@@ -185,7 +185,7 @@ class Pieces:
             and 4 not in kinds and 6 in kinds and not any(b"\n" in p for p in model)
         )
         self.bos, self.eos = self.library.bos_id(), self.library.eos_id()
-        self.table, self.slice_bytes = ChunkTable(self._encode), SLICE_BYTES
+        self.table, self.slice_bytes = ChunkTable(self._encode), SLICE_BYTES // 4
 
     @staticmethod
     def _crosses(piece: bytes) -> bool:
