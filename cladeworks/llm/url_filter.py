@@ -38,6 +38,14 @@ def read_hosts(text: str) -> tuple[str, ...]:
     return tuple(f"{x}/" for x in map(str.strip, text.splitlines()) if x and not x.startswith("#"))
 
 
+def block_list(spark: SparkSession, path: str, most: int = 5_000_000) -> tuple[str, ...]:
+    """A block list of one host a line from any store; one of more than ``most`` hosts is refused, as every executor holds it."""
+    lines = spark.read.text(path)
+    if (n := lines.count()) > most:
+        raise ValueError(f"{path} has {n} lines; at most {most} fit into an index that executors map")
+    return read_hosts("\n".join(r["value"] for r in lines.collect()))
+
+
 #: Hosts, with their subdomains, that the shipped block list names.
 BLOCKED_HOSTS = read_hosts(pkgutil.get_data(__package__, "blocked_hosts.txt").decode())
 _MAGIC = b"UDA1"
