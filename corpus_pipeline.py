@@ -1,4 +1,11 @@
-"""A corpus pipeline over ``documents``: language, exact and near copies, mixture, tokens."""
+"""A corpus pipeline over ``documents``: language, exact and near copies, mixture, tokens.
+
+Rows without text or without a letter leave in the first stage.  Null
+identifiers, repeated rows, ties and an empty table are the operators' matter:
+rows without an identifier stay in every filtering stage unless their text has a copy, of equal copies
+the smallest identifier stays, and an empty table stays empty.  Extra columns
+are dropped, texts are processed whole.
+"""
 
 from __future__ import annotations
 
