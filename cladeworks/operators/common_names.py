@@ -99,14 +99,15 @@ def add_common_names(rows: DataFrame, taxa: DataFrame, vernacular: DataFrame, cl
         return rows.withColumns({"common_name": F.lit(None).cast("string"), "common_name_rank": F.lit(None).cast("string")})
     asks = lambda r, k: F.when(F.col(r).isNotNull(), F.struct(F.lit(k).alias("fine"), F.lit(r).alias("rank"), F.col(r).alias("name")))
     every = [asks(r, k) for k, r in enumerate(present)]
-    if climb:
-        keyed = rows.withColumn("_key", _lineage_key([F.col(r) for r in present]))
-        asked = keyed.select("_key", *present).distinct().select("_key", F.explode(F.array_compact(F.array(*every))).alias("ask")).select("_key", "ask.*")
-    else:
+    if not climb:
         # A generator gives the finest name once; as an expression it would be copied to wherever it is used.
         asking = rows.withColumn("_ask", F.explode_outer(F.slice(F.array_compact(F.array(*every)), 1, 1)))
-        keyed = asking.withColumn("_key", _lineage_key([F.col("_ask.rank"), F.col("_ask.name")]))
-        asked = keyed.filter("_ask is not null").select("_key", "_ask.*").distinct()
+        side = named.join(lookup, "id").select("rank", "name", F.col("common_name").alias("_found"))
+        key = F.coalesce("_ask.name", F.concat(F.lit("\0"), F.spark_partition_id().cast("string")))
+        joined = asking.withColumn("_key", key).join(side, (F.col("_key") == F.col("name")) & (F.col("_ask.rank") == F.col("rank")), "left")
+        return joined.select(*rows.columns, F.col("_found").alias("common_name"), F.when(F.col("_found").isNotNull(), F.col("_ask.rank")).alias("common_name_rank"))
+    keyed = rows.withColumn("_key", _lineage_key([F.col(r) for r in present]))
+    asked = keyed.select("_key", *present).distinct().select("_key", F.explode(F.array_compact(F.array(*every))).alias("ask")).select("_key", "ask.*")
     finest = asked.join(named, ["rank", "name"]).groupBy("_key").agg(F.min_by(F.struct("rank", "id"), "fine").alias("x"))
     found = finest.select("_key", F.col("x.rank").alias("common_name_rank"), F.col("x.id").alias("id")).join(lookup, "id").drop("id")
     return keyed.join(found, "_key", "left").select(*rows.columns, "common_name", "common_name_rank")

@@ -32,8 +32,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _entry_columns(rows: DataFrame) -> DataFrame:
+    """The columns leave through a generator: as expressions they would be copied into every key and comparison made of them."""
     text = ENTRY_COLUMNS.replace('"order"', "`order`")
-    return rows.selectExpr("uuid", "source_dataset", *[c.strip() for c in text.strip().split(",\n")])
+    columns = [c.strip() for c in text.strip().split(",\n")]
+    return rows.select("uuid", "source_dataset", F.inline(F.array(F.struct(*[F.expr(c) for c in columns]))))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
