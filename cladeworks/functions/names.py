@@ -40,8 +40,12 @@ def normalized(c: Column) -> Column:
 
 
 def group_key() -> Column:
-    """SHA-256 of the normalised names, joined by ``|``."""
-    return F.sha2(F.concat_ws("|", *[normalized(F.col(c)) for c in QUERY_ORDER]), 256)
+    """SHA-256 of the normalised names, joined by ``|``.
+
+    Never null, and declared so: else a join on it pushes a copy of it as a
+    null check below the grouping, which then can't be shared between joins.
+    """
+    return F.coalesce(F.sha2(F.concat_ws("|", *[normalized(F.col(c)) for c in QUERY_ORDER]), 256), F.lit(""))
 
 
 def canonical_kingdom(c: Column) -> Column:
