@@ -46,8 +46,8 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").appName("bench").config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    )
+        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()
+    )  # fmt: skip  # the JVM interprets methods of more than 8000 bytes, so Spark should not generate them
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     for query in (group_entries, resolve_end_to_end, common_names_on, common_names_off):

@@ -204,7 +204,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     handlers = [logging.StreamHandler(), *([logging.FileHandler(args.log_file)] if args.log_file else [])]
     logging.basicConfig(level=args.log_level, handlers=handlers)
-    spark_of = lambda: SparkSession.builder.appName("cladeworks").getOrCreate()
+    # The JVM interprets methods of more than 8000 bytes, so Spark should not generate them.
+    spark_of = lambda: SparkSession.builder.appName("cladeworks").config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()
     if args.command is None:
         done = run_alone(spark_of, args)
         if done is None:
