@@ -102,9 +102,14 @@ RULES = (
 )
 #: A second registration of rule 11 stands between 23 and 25 and can never be reached.
 _PARSED = ("dataSourceId", "dataSourceTitleShort", "recordId", "matchedName", "matchedCanonicalSimple", "currentRecordId", "currentName", "taxonomicStatus", "isSynonym", "classificationPath", "editDistance", "matchType", "scoreDetails")
+#: Without a result of the primary source only rules 1, 21, 23 and 25 can apply, and of 23 all but the lineage is known: the rule of an answer that decides alone.
+_SETTLED = (
+    f"case when size(prim) > 0 then null when n = 0 or M = 'NoMatch' then if({L.strip('term')} <> '', 21, null)"
+    f" when coalesce(n = 1 and rs[0].matchType = 'Exact' and rs[0].taxonomicStatus = 'Accepted' and rs[0].dataSourceId = {SECONDARY} and rs[0].matchedCanonicalSimple = term and not rs[0].bare, false) then null else 25 end"
+)
 _BROKEN = "Case execution failed: unexpected argument"
 #: What ``prepared`` gives of an answer besides its look-up.
-ANSWER = ("M", "n", "rs", "acc", "one", "both_exact", "both_accepted", "homonyms", "pick4", "pick5", "pick12", "by_name12", "pick13")
+ANSWER = ("M", "n", "rs", "acc", "one", "both_exact", "both_accepted", "homonyms", "pick4", "pick5", "pick12", "by_name12", "pick13", "settled")
 _OWN_COLUMNS = ("raw", "E", "some_E", "kingdom_E", "top_term", "no_data", "qr", "rk", "conflicts", "p10", "pick14", "scores", "top_score", "tied", "p18", "p")
 
 
@@ -114,7 +119,8 @@ def prepared(answers: DataFrame) -> DataFrame:
     Many groups ask for the same name: its lineages are parsed once here and
     not for each of them.  ``rs`` are the results with their lineage ``C``,
     the ranks of their own name and of the term in it, and their kingdom;
-    other columns point into it.
+    other columns point into it.  ``settled`` is the rule of an answer that
+    decides whatever the lineage, unless that is empty; such an answer brings no results, as none is picked.
     """
     copied = ", ".join(f"r.{c}" for c in _PARSED)
     at = lambda condition: f"array_compact(transform(rs, (r, i) -> if({condition}, i, null)))"
@@ -139,47 +145,56 @@ def prepared(answers: DataFrame) -> DataFrame:
         "_named12": F.expr(f"case when {_SEVERAL} then try_element_at(filter(acc, j -> {L.strip(chr(99) + 'oalesce(rs[j].currentName, ' + chr(39) * 2 + ')')} = {L.strip('term')}), 1) end"),
         "_paths": F.expr(f"case when {_SEVERAL} then size(array_distinct(transform(filter(acc, j -> rs[j].classificationPath <> ''), j -> rs[j].classificationPath))) end"),
         "homonyms": F.expr(f"coalesce({_SEVERAL} and size(array_distinct(transform(filter(acc, j -> contains(rs[j].classificationPath, '|')), j -> substring_index(rs[j].classificationPath, '|', 1)))) >= 2, false)"),
+        "settled": F.expr(_SETTLED),
         "_best": F.expr("case when n >= 2 and M = 'Exact' and size(prim) >= 2 and forall(prim, j -> rs[j].taxonomicStatus <=> 'Synonym') and size(array_distinct(transform(prim, j -> struct(rs[j].currentName)))) = 1"
                         " then array_max(transform(prim, j -> rs[j].scoreDetails.infraSpecificRankScore)) end"),
     })
     return several.select(
-        "term", "source_id", "M", "n", "rs", "acc", "one", "both_exact", F.expr("both_exact and size(acc) = 2").alias("both_accepted"), "homonyms",
+        "term", "source_id", "M", "n", F.expr("if(settled is null, rs, null)").alias("rs"), F.expr("if(settled is null, acc, null)").alias("acc"), "one", "both_exact", F.expr("both_exact and size(acc) = 2").alias("both_accepted"), "homonyms",
         F.expr("case when M = 'Exact' and _typed > 1 and size(_typed_acc) = 1 then _typed_acc[0] end").alias("pick4"), F.expr("case when _same then _named5 end").alias("pick5"),
         F.expr("case when _same and (_named12 is not null or _paths = 1) then coalesce(_named12, acc[0]) end").alias("pick12"), F.expr("_named12 is not null").alias("by_name12"),
-        F.expr("case when _best > -1 then filter(prim, j -> rs[j].scoreDetails.infraSpecificRankScore = _best)[0] end").alias("pick13"),
+        F.expr("case when _best > -1 then filter(prim, j -> rs[j].scoreDetails.infraSpecificRankScore = _best)[0] end").alias("pick13"), "settled",
     )
 
 
-def staged(rungs: DataFrame) -> DataFrame:
-    """Add the columns that the rules read to rows with ``query_term, query_rank, is_retry``, a group's names, and ``prepared`` answers (null without one)."""
-    all_columns = ("scientific_name", *RANKS)
+def with_lineage(groups: DataFrame) -> DataFrame:
+    """Add what the rules read of a group's names alone.
+
+    Names are stripped and compared here, once a group: a group has up to 24
+    rungs.  The join with answers keeps Spark from moving these expressions into those of the rules.
+    """
     no_data = F.lit(True)
-    for c in all_columns:
+    for c in ("scientific_name", *RANKS):
         no_data = no_data & F.coalesce(F.col(c), F.lit("")).isin(*INVALID)
-    a = rungs.withColumns({
-        "raw": lineage(), "E": F.array(*[F.when(valid(F.col(c)), strip(F.col(c))) for c in RANKS]),
-        "top_term": most_specific_term(), "no_data": no_data, "n": F.coalesce("n", F.lit(0)), "qr": F.expr(L.rank_index("query_rank")),
-    })
+    rows = groups.withColumns({"E": F.array(*[F.when(valid(F.col(c)), strip(F.col(c))) for c in RANKS]), "top_term": most_specific_term(), "no_data": no_data})
+    return rows.withColumns({"some_E": F.expr(L.some("E")), "kingdom_E": F.expr(L.kingdom("E[0]"))})
+
+
+def staged(rungs: DataFrame) -> DataFrame:
+    """Add the columns that the rules read to rows with ``query_term, query_rank, is_retry``, a group's names with their ``with_lineage``, and ``prepared`` answers (null without one)."""
+    a = rungs.withColumns({"raw": lineage(), "n": F.coalesce("n", F.lit(0)), "qr": F.expr(L.rank_index("query_rank"))})
     # A term is a stripped valid name, so that it is in E if it is in the input's lineage at all.
     b = a.withColumns({
-        "some_E": F.expr(L.some("E")), "kingdom_E": F.expr(L.kingdom("E[0]")),
-        "rk": F.expr("case " + " ".join(f"when E[{i}] = query_term then {i}" for i in reversed(range(7))) + " end"),
-        "conflicts": F.expr(f"case when n = 1 then array({L.conflict('E', 'rs[0].C')}) when n > 1 then transform(rs, r -> {L.conflict('E', 'r.C')}) end"),
+        "rk": F.expr("case when settled is not null then null " + " ".join(f"when E[{i}] = query_term then {i}" for i in reversed(range(7))) + " end"),
+        "conflicts": F.expr(f"case when rs is null then null when n = 1 then array({L.conflict('E', 'rs[0].C')}) when n > 1 then transform(rs, r -> {L.conflict('E', 'r.C')}) end"),
     })
     c = b.withColumns({
-        "p10": F.expr("case when n >= 1 and M = 'Exact' and some_E and rk is not null then filter(acc, j -> rs[j].matchedCanonicalSimple = query_term and conflicts[j] > rk and not rs[j].bare and rs[j].asked <=> rk) end"),
+        "p10": F.expr("case when rs is not null and n >= 1 and M = 'Exact' and some_E and rk is not null then filter(acc, j -> rs[j].matchedCanonicalSimple = query_term and conflicts[j] > rk and not rs[j].bare and rs[j].asked <=> rk) end"),
         "pick14": F.expr("case when homonyms and kingdom_E is not null then try_element_at(filter(acc, j -> rs[j].path_kingdom = kingdom_E), 1) end"),
-        "scores": F.expr(f"case when {_SEVERAL} and some_E then transform(acc, j -> {L.score('E', 'rs[j].C', 'kingdom_E', 'rs[j].its_kingdom')}) end"),
-        "p18": F.expr(f"case when n >= 1 and M = 'PartialExact' and some_E then filter(acc, j -> rs[j].matchedCanonicalSimple <> '' and rs[j].own > 0 and startswith({L.strip('raw[rs[j].own]')}, rs[j].matchedCanonicalSimple) and conflicts[j] > rs[j].own - 1) end"),
+        "scores": F.expr(f"case when rs is not null and {_SEVERAL} and some_E then transform(acc, j -> {L.score('E', 'rs[j].C', 'kingdom_E', 'rs[j].its_kingdom')}) end"),
+        "p18": F.expr(f"case when rs is not null and n >= 1 and M = 'PartialExact' and some_E then filter(acc, j -> rs[j].matchedCanonicalSimple <> '' and rs[j].own > 0 and startswith({L.strip('raw[rs[j].own]')}, rs[j].matchedCanonicalSimple) and conflicts[j] > rs[j].own - 1) end"),
     })
     d = c.withColumn("top_score", F.array_max("scores"))
     return d.withColumn("tied", F.expr("size(filter(scores, x -> x = top_score))"))
 
 
-def classify(rungs: DataFrame) -> DataFrame:
-    """Add ``rule`` and the outcome columns of each rung.  RETRY_SCHEDULED stands for climbing on."""
-    rows = staged(rungs)
-    rule = F.expr("case " + " ".join(f"when coalesce({r.when}, false) then {r.number}" for r in RULES) + " end")
+def classify(rungs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``rule`` and the outcome columns of each rung, but for those ``without``.  RETRY_SCHEDULED stands for climbing on.
+
+    Spark takes no column out of the generator that ends this, so a query names those that it does not read.
+    """
+    rows = staged(rungs if "E" in rungs.columns else with_lineage(rungs))
+    rule = F.expr("case when settled is not null then if(no_data, 1, settled) " + " ".join(f"when coalesce({r.when}, false) then {r.number}" for r in RULES) + " end")
     rows = rows.withColumn("rule", rule)
     default = ", ".join(str(r.number) for r in RULES if r.pick == "rs[0]")
     picks = " ".join(f"when {r.number} then rs[{r.pick}]" for r in RULES if r.pick not in ("null", "rs[0]"))
@@ -209,7 +224,7 @@ def classify(rungs: DataFrame) -> DataFrame:
     }
     inner = {*ANSWER, *_OWN_COLUMNS, *outcome, "_lineage", "_empty", "_broken", "_failed"}
     # A filter on the outcome must not be moved below it: there it would hold a copy of every stage above.  A generator stops it.
-    return rows.select(*[c for c in rows.columns if c not in inner], F.inline(F.array(F.struct(*[x.alias(k) for k, x in outcome.items()]))))
+    return rows.select(*[c for c in rows.columns if c not in inner], F.inline(F.array(F.struct(*[x.alias(k) for k, x in outcome.items() if k not in without]))))
 
 
-__all__ = ["RULES", "Rule", "classify", "prepared", "staged"]
+__all__ = ["RULES", "Rule", "classify", "prepared", "staged", "with_lineage"]

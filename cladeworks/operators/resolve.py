@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import EXHAUSTED, FAILED, FORCED, FORCED_INPUT, RANKS, RETRY, SOURCES, STATUSES, SUCCESSFUL
 from ..functions.canonical import canonical_json
 from ..functions.names import term_rank, terms, valid_names
-from .cascade import classify, prepared
+from .cascade import classify, prepared, with_lineage
 from .grouping import NAMES, group_entries, with_group_key
 from .ladder import rungs, source_at
 
@@ -30,9 +30,9 @@ def _with_answers(asked: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(prepared(responses).withColumnRenamed("term", "query_term"), ["query_term", "source_id"], "left")
 
 
-def attempts(groups: DataFrame, responses: DataFrame) -> DataFrame:
-    """All rungs of all groups with their outcomes, also those that a climb would not reach."""
-    return classify(_with_answers(rungs(groups), responses))
+def attempts(groups: DataFrame, responses: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """All rungs of all groups with their outcomes but for columns ``without``, also rungs that a climb would not reach."""
+    return classify(_with_answers(rungs(with_lineage(groups)), responses), without)
 
 
 def decisive_rungs(groups: DataFrame, responses: DataFrame) -> DataFrame:
@@ -62,14 +62,32 @@ def _term_at(rung: Column) -> Column:
     return F.get("_terms", F.floor(rung / len(SOURCES)).cast("int"))
 
 
-def final_attempts(groups: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per group: the outcome of its first decisive rung, or of its last one, exhausted."""
-    rows = classify(_with_answers(decisive_rungs(groups, responses), responses))
+def final_attempts(groups: DataFrame, responses: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group: the outcome of its first decisive rung, or of its last one, exhausted; ``without`` may name ``resolved`` and ``metadata``."""
+    rows = classify(_with_answers(with_lineage(decisive_rungs(groups, responses)), responses), without)
     lost = F.when(F.col("strategy") == "NoMatchNonEmptyQuery", "No match found after exhausting all retry combinations.").otherwise(
         "Retries exhausted after detecting primary source inconsistency (missing rank)."
     )
     none = F.col("status") == RETRY
-    return rows.withColumns({"failure_reason": F.when(none, lost).otherwise(F.col("failure_reason")), "status": F.when(none, EXHAUSTED).otherwise(F.col("status"))}).select("group_key", *NAMES, *_OUTCOME)
+    return rows.withColumns({"failure_reason": F.when(none, lost).otherwise(F.col("failure_reason")), "status": F.when(none, EXHAUSTED).otherwise(F.col("status"))}).select("group_key", *NAMES, *[c for c in _OUTCOME if c not in without])
+
+
+def _climbed(last: DataFrame) -> DataFrame:
+    """Groups with their last ``rung``, repeated for every rung ``_k`` up to it."""
+    rows = last.withColumn("_names", valid_names()).withColumn("_terms", terms(F.col("_names")))
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("rung"))))
+
+
+def _steps() -> list[Column]:
+    """The look-up of each rung of ``_climbed``."""
+    k = F.col("_k")
+    term = _term_at(k)
+    return ["group_key", k.alias("rung"), F.coalesce(term, F.lit("")).alias("query_term"), term_rank(term, F.col("_names")).alias("query_rank"), source_at(k % len(SOURCES)).alias("source_id")]
+
+
+def steps(groups: DataFrame, responses: DataFrame) -> DataFrame:
+    """The look-ups of ``chains`` without their outcomes, for which no rule has to run."""
+    return _climbed(decisive_rungs(groups, responses)).select(*_steps())
 
 
 def chains(final: DataFrame) -> DataFrame:
@@ -77,18 +95,16 @@ def chains(final: DataFrame) -> DataFrame:
 
     A group's names and its last rung say which rungs those are, so nothing is joined.
     """
-    k, ended = F.col("_k"), F.col("_k") == F.col("rung")
-    term = _term_at(k)
-    rows = final.withColumn("_names", valid_names()).withColumn("_terms", terms(F.col("_names"))).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("rung"))))
-    return rows.select(
-        "group_key", k.alias("rung"), F.coalesce(term, F.lit("")).alias("query_term"), term_rank(term, F.col("_names")).alias("query_rank"), source_at(k % len(SOURCES)).alias("source_id"),
+    ended = F.col("_k") == F.col("rung")
+    return _climbed(final).select(
+        *_steps(),
         F.when(ended, F.col("status")).otherwise(RETRY).alias("status"), F.when(ended, F.col("strategy")).otherwise("NoMatchNonEmptyQuery").alias("strategy"),
         F.when(ended, F.col("failure_reason")).alias("failure_reason"), F.when(ended, F.col("error")).alias("error"),
     )
 
 
 def with_attempt_keys(steps: DataFrame, responses: DataFrame) -> DataFrame:
-    """``chains`` with ``attempt_key``, the digest of group, look-up and answer, and ``previous_key``, the one of the rung before.
+    """``chains`` or ``steps`` with ``attempt_key``, the digest of group, look-up and answer, and ``previous_key``, the one of the rung before.
 
     The answer counts as its canonical JSON, serialised once for each look-up
     and not once a group; without an answer it is empty.

@@ -33,9 +33,22 @@ def _answers(groups) -> DataFrame:
     return V.responses(ladder.lookups(groups))
 
 
-def _ended(spark, d) -> DataFrame:
-    groups = _groups(spark, d)
-    return resolve.final_attempts(groups, _answers(groups))
+#: Answers that are broadcast, of about 2 KB each.
+_FEW = 20_000
+
+
+def _stored(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Groups and the answers to their look-ups, stored, as several steps read them.
+
+    Few terms are asked for by very many groups: joined by shuffle, all rungs of all groups would move, most to the tasks of a few terms.
+    """
+    keep = store.keeper(spark)
+    groups = keep("groups", _groups(spark, d))
+    return groups, store.few(keep("answers", _answers(groups)), _FEW)
+
+
+def _ended(spark, d, without=()) -> DataFrame:
+    return resolve.final_attempts(*_stored(spark, d), without)
 
 
 def _final(spark, d) -> DataFrame:
@@ -117,12 +130,15 @@ def rank_of_term(spark, d):
 
 
 def resolve_attempts(spark, d):
-    groups = _groups(spark, d)
-    return resolve.attempts(groups, _answers(groups)).select("group_key", F.col("rung").cast("long").alias("rung"), "status")
+    without = ("strategy", "resolved", "failure_reason", "error", "metadata")
+    return resolve.attempts(*_stored(spark, d), without).select("group_key", F.col("rung").cast("long").alias("rung"), "status")
+
+
+_NOT_RESOLVED = ("resolved", "metadata")
 
 
 def first_terminal_rung(spark, d):
-    return _ended(spark, d).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
+    return _ended(spark, d, _NOT_RESOLVED).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
 
 
 def resolve_final(spark, d):
@@ -142,13 +158,12 @@ def successful_attempts(spark, d):
 
 
 def attempts_chain(spark, d):
-    return resolve.chains(_ended(spark, d)).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
+    return resolve.chains(_ended(spark, d, _NOT_RESOLVED)).select("group_key", F.col("rung").cast("long").alias("rung"), "query_term", "source_id", "status")
 
 
 def attempt_keys(spark, d):
-    groups = _groups(spark, d)
-    answers = _answers(groups)
-    steps = resolve.with_attempt_keys(resolve.chains(resolve.final_attempts(groups, answers)), answers)
+    groups, answers = _stored(spark, d)
+    steps = resolve.with_attempt_keys(resolve.chains(resolve.final_attempts(groups, answers, _NOT_RESOLVED)), answers)
     return steps.select("group_key", F.col("rung").cast("long").alias("rung"), "attempt_key", "previous_key")
 
 
@@ -161,8 +176,9 @@ def climb_rounds(spark, d):
 def trace_many(spark, d):
     """The stored chains of every entry whose number is divisible by 50, through the index."""
     entries = V.entries(spark, d)
-    folder, rows = store.shared_folder(spark), entries.count()
-    index.store(folder, entries, resolve.chains(_ended(spark, d)), rows)
+    folder, (groups, answers) = store.shared_folder(spark), _stored(spark, d)
+    rows = groups.agg(F.coalesce(F.sum("group_count"), F.lit(0))).first()[0]
+    index.store(folder, entries, resolve.chains(resolve.final_attempts(groups, answers, _NOT_RESOLVED)), rows)
     n = index.buckets_for(rows)
     members, chains = (spark.read.parquet(f"{folder}/{x}-{n}") for x in (index.MEMBERS, index.CHAINS))
     asked = entries.select("uuid").filter(F.col("uuid").cast("long") % 50 == 0)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import __version__
 
@@ -110,6 +111,11 @@ def keeper(spark: SparkSession) -> Callable[[str, DataFrame], DataFrame]:
     return keep
 
 
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """Mark a stored table for broadcasting if it has at most ``most`` rows.  Else its joins are shuffled, and with them all rows of the other side."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def namespace(command: str, fingerprint: str) -> str:
     """A folder name that changes with the command, the version and the input."""
     return f"{command}_v{__version__}_{fingerprint[:16]}"

@@ -593,3 +593,32 @@ def test_trace_holds_entry_plan_and_every_attempt(spark):
     assert as_text(said[0].trace).count("\nAttempt ") == 9
     assert [r.uuid for r in group_members(df, "b").collect()] == ["a", "b"]
     assert trace_entry(df, lambda groups: resolve.chains(resolve.final_attempts(groups, nothing)), "absent").count() == 0
+
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_answers_do_not_move_the_rungs(spark):
+    """Few terms are asked for by very many groups: their answers go to the rungs, and a query of statuses builds no other outcome."""
+    from cladeworks.plans import catalog
+
+    plan = _plan(catalog.resolve_attempts(spark, "/root/testdata/sf0.001"))
+    assert "strategy=broadcast" in plan and "Aggregate" not in plan and "failure_reason" not in plan
+
+
+def test_answers_that_decide_alone(spark, monkeypatch):
+    """``settled`` gives what the rules give when they run."""
+    from cladeworks.operators import cascade
+    from cladeworks.plans import driver_views as V
+
+    groups = grouping.group_entries(V.entries(spark, "/root/testdata/sf0.001").filter("uuid % 10 = 0"))
+    said = V.responses(ladder.lookups(groups))
+    alone = cascade.prepared(said).groupBy(F.col("settled").isNotNull()).count().collect()
+    assert len(alone) == 2
+    seen = ["group_key", "rung", "rule", "status", "strategy", "resolved", "failure_reason", "error", F.to_json("metadata")]
+    rows = lambda: sorted(map(str, resolve.attempts(groups, said).select(*seen).collect()))
+    got = rows()
+    monkeypatch.setattr(cascade, "_SETTLED", "cast(null as int)")
+    assert got == rows() and len(got) > 1000
