@@ -16,6 +16,8 @@ from .grouping import with_group_key
 
 #: Rows of a folder, about.
 BUCKET_ROWS = 1_000_000
+#: A table of fewer folders is written by about so many tasks, a file for each folder and task.
+WRITERS = 32
 MEMBERS, CHAINS = "members", "chains"
 
 
@@ -28,7 +30,8 @@ def bucket(key: str | Column, buckets: int) -> Column:
 
 
 def _store(rows: DataFrame, key: str, folder: str, buckets: int) -> None:
-    dealt = rows.withColumn("bucket", bucket(key, buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", key)
+    files = max(1, WRITERS // buckets)
+    dealt = rows.withColumn("bucket", bucket(key, buckets)).repartition(buckets * files, "bucket", F.pmod(F.hash(key), F.lit(files))).sortWithinPartitions("bucket", key)
     dealt.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(folder)
 
 

@@ -339,3 +339,10 @@ def test_delta_scans_changed_files_and_resolves_touched_groups(spark, tmp_path):
     (tmp_path / "in" / "f4.csv").unlink()
     check([], 1)
     assert read_files == [[f"f{k}.csv" for k in range(10)], ["f3.csv"]]
+
+
+def test_a_table_of_one_folder_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("cast(id as string) as uuid", "id as x")
+    index._store(rows, "uuid", f"{tmp_path}/t", 1)
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert back.count() == 2000 and len(back.inputFiles()) >= 16
