@@ -163,7 +163,7 @@ def attempts_chain(spark, d):
 
 def attempt_keys(spark, d):
     groups, answers = _stored(spark, d)
-    steps = resolve.with_attempt_keys(resolve.chains(resolve.final_attempts(groups, answers, _NOT_RESOLVED)), answers)
+    steps = resolve.with_attempt_keys(resolve.steps(groups, answers), answers)
     return steps.select("group_key", F.col("rung").cast("long").alias("rung"), "attempt_key", "previous_key")
 
 

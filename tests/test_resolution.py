@@ -622,3 +622,9 @@ def test_answers_that_decide_alone(spark, monkeypatch):
     got = rows()
     monkeypatch.setattr(cascade, "_SETTLED", "cast(null as int)")
     assert got == rows() and len(got) > 1000
+
+
+def test_attempt_keys_need_no_rules(spark):
+    from cladeworks.plans import catalog
+
+    assert "inline" not in _plan(catalog.attempt_keys(spark, "/root/testdata/sf0.001"))
