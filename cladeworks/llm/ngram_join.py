@@ -56,9 +56,11 @@ BLOCK = 512
 MAX_SMALL = 12
 NEAREST = 1
 _LOCAL_FREQUENT = 2
+#: Shingles whose repetitions a task counts at once.
+_HELD_SHINGLES = 4_000_000
 _POSTINGS_A_TASK = 1_500_000
 #: Postings that a task holds before it hands them on.
-_HELD_POSTINGS = 400_000
+_HELD_POSTINGS = 250_000
 #: A list of more sets than this is dealt to several tasks by set; each ties its sets, then the parts are tied.
 HOT_LIST = 1_000_000
 _SLICE_ROWS = 512
@@ -95,13 +97,17 @@ _SETS_SCHEMA = pa.schema([(x.split()[0], pa.int64()) for x in _SETS.split(", ")]
 
 def _sets(width: int):
     def frequent(held):
-        u, c = np.unique(np.concatenate(held), return_counts=True)
+        """The shingles that ``held`` has twice or more, with their counts; it is sorted in place, as a worker's memory is short."""
+        held.sort()
+        again = np.flatnonzero(held[1:] == held[:-1])
+        at, more = _runs(held[again])
+        u, c = held[again[at]], more + 1
         u, c = u[c >= _LOCAL_FREQUENT], c[c >= _LOCAL_FREQUENT]
         nothing = pa.nulls(len(u), pa.int64())
         return pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], schema=_SETS_SCHEMA)
 
     def run(batches):
-        seen, held, size = set(), [], 0
+        seen, held, size = set(), np.empty(_HELD_SHINGLES, np.uint64), 0
         for batch in batches:
             rows = []
             for _, shingles in _each_set(batch, width):
@@ -109,16 +115,18 @@ def _sets(width: int):
                 rows.append((len(shingles), *key))
                 if len(shingles) and key not in seen:
                     seen.add(key)
-                    held.append(shingles)
+                    if size + len(shingles) > len(held):
+                        if size:
+                            yield frequent(held[:size])
+                        held, size = held if len(held) >= len(shingles) else np.empty(len(shingles), np.uint64), 0
+                    held[size : size + len(shingles)] = shingles
                     size += len(shingles)
             n, k1, k2 = (pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ((), (), ())))
             nothing = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, k1, k2, nothing, nothing], schema=_SETS_SCHEMA)
-            if size > 4_000_000:
-                yield frequent(held)
-                held, size = [], 0
-        if held:
-            yield frequent(held)
+            del batch  # before the next one comes
+        if size:
+            yield frequent(held[:size])
 
     return run
 
@@ -265,6 +273,7 @@ def _postings(width: int, percent: int, small: int, buckets: int, frequent, hot:
                 if held > _HELD_POSTINGS:
                     yield flush(parts)
                     parts, held = [], 0
+            del batch
         if parts:
             yield flush(parts)
 
@@ -539,7 +548,7 @@ def _long_pairs(tokens: DataFrame, long: DataFrame, percent: int, nearest: int |
     by_label = long.groupBy("gid", "label").count()
     plan = by_label.groupBy("gid").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("major"), F.max("count").alias("most"), F.sum("count").alias("total")).filter("labels > 1")
     plan = materialize(plan.select("gid", "major", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most") / BLOCK).cast("int").alias("majors")), "plan")
-    rows = materialize(long.join(broadcast_if_small(plan, 500_000), "gid"), "long")
+    rows = materialize(long.join(broadcast_if_small(plan), "gid"), "long")
     out = F.col("label") != F.col("major")
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.when(out, F.col("others")).otherwise(F.col("majors"))).cast("int"))
     # Cells: two blocks of minor labels, or one of those and a block of the major label.

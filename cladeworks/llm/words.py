@@ -17,7 +17,7 @@ _SHINGLE_MULTIPLIERS = np.array(
     [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB],
     dtype=np.uint64,
 )
-_BLOCK_BYTES = 2 << 20
+_BLOCK_BYTES = 256 << 10
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, ngram_join, quality_rules, queries, sentence_pieces, token_planes, url_filter, warc
 from cladeworks.llm.queries import tokenizer_path
+from cladeworks.llm.runtime import broadcast_if_small
 from cladeworks.llm.words import shingle_sets, string_buffer
 
 SF = "/root/testdata/sf0.01"
@@ -716,3 +717,27 @@ def test_mixed_rows_keep_columns_of_any_name(spark):
     rows = mixing.mixed(df).collect()
     assert {k: n for k, n in times.items() if n} == Counter(r.doc_id for r in rows)
     assert all(r["times"] == r["whole"] == r["_row"] == r.doc_id for r in rows)
+
+
+def test_larger_tables_are_not_broadcast(spark, tmp_path):
+    """Half a million narrow rows, a few MB as a file, are 50 MB in a hash table of the driver, and more while it is built."""
+    spark.range(500_000).selectExpr("id as k", "id % 7 as v").coalesce(1).write.parquet(f"{tmp_path}/t")
+    side, rows = spark.read.parquet(f"{tmp_path}/t"), spark.range(1_000_000).withColumnRenamed("id", "k")
+    plan = lambda n: rows.join(broadcast_if_small(side.limit(n)), "k", "left")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan(1000) and "Broadcast" not in plan(500_000)
+
+
+def test_counting_frequent_shingles_takes_little_memory(monkeypatch):
+    """A task's counts are made in the memory that holds the shingles; a count is not lost where that is full."""
+    import tracemalloc
+
+    texts = [" ".join(f"w{i}x{k}" for i in range(20_000)) for k in range(190)] + [" ".join(["again"] * 5 + [f"v{k}"]) for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    monkeypatch.setattr(ngram_join, "_SLICE_ROWS", 8)
+    run = ngram_join._sets(5)
+    tracemalloc.start()
+    out = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counted = [c for b in out for c in b.column(5).to_pylist() if c is not None]
+    assert counted == [40] and peak < 90 << 20
