@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import broadcast_if_small, materialize, scratch
+from .runtime import MOST_BROADCAST, broadcast_if_small, materialize, scratch, shuffled
 from .words import mix64, shingle_sets
 
 WIDTH = 5
@@ -364,10 +364,11 @@ def _joined_parts(lists: DataFrame, hot_tokens: np.ndarray) -> DataFrame:
     sizes = F.broadcast(inside.groupBy(F.col("gid").alias("hot")).agg(F.count("*").alias("whole")))
     whole = inside.join(sizes, F.col("gid") == F.col("hot")).select("gid", "key", "n", "subset", F.col("whole").alias("size"), "pivot")
     # Of each size the least key in the whole list: a row for each size of each hot list, so that windows hold no more.
-    least = inside.groupBy("gid", "n").agg(F.min("key").alias("key"))
+    least = materialize(inside.groupBy("gid", "n").agg(F.min("key").alias("key")), "hot_sizes")
     before = Window.partitionBy("gid").orderBy("n")
     ties = least.select("gid", "key", "n", F.lit(False).alias("subset"), F.lit(0).cast("long").alias("size"), F.lag("key").over(before).alias("pivot"))
-    same = inside.filter("pivot is null or key < pivot").join(least.select(F.col("gid").alias("g"), F.col("n").alias("m"), F.col("key").alias("first")), (F.col("gid") == F.col("g")) & (F.col("n") == F.col("m")))
+    first = broadcast_if_small(least.select(F.col("gid").alias("g"), F.col("n").alias("m"), F.col("key").alias("first")))
+    same = inside.filter("pivot is null or key < pivot").join(first, (F.col("gid") == F.col("g")) & (F.col("n") == F.col("m")))
     chained = same.filter("key != first").select("gid", "key", "n", F.lit(False).alias("subset"), F.lit(0).cast("long").alias("size"), F.col("first").alias("pivot"))
     return cold.unionByName(whole).unionByName(ties.filter("pivot is not null").unionByName(chained))
 
@@ -415,12 +416,14 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int =
     partners is repeated for parts of them.
     """
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ids = materialize(keys.join(classes.select(F.col("k1").alias("key"), F.col("rep")), "key").select("key", F.col("rep").alias("_doc")), "candidates")
+    ids = materialize(shuffled(keys).join(classes.select(F.col("k1").alias("key"), F.col("rep")), "key").select("key", F.col("rep").alias("_doc")), "candidates")
     texts = materialize(docs.join(broadcast_if_small(ids), docs["doc_id"] == F.col("_doc")).select("key", docs["text"].cast("string").alias("text")), "texts")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 400).cast("int").alias("parts"))
-    salted = materialize(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), "salted")
-    members = salted.join(texts, F.col("b") == F.col("key")).select("a", "salt", F.lit(1).alias("role"), "key", "text")
-    heads = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("key")).select("a", "salt", F.lit(0).alias("role"), "key", "text")
+    # At most a row for each 400 pairs.
+    parts = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / 400).cast("int").alias("parts")).filter("parts > 1"), "parts")
+    salted = pairs.join(broadcast_if_small(parts), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt"))
+    salted = materialize(salted, "salted")
+    members = salted.join(shuffled(texts), F.col("b") == F.col("key")).select("a", "salt", F.lit(1).alias("role"), "key", "text")
+    heads = salted.select("a", "salt").distinct().join(shuffled(texts), F.col("a") == F.col("key")).select("a", "salt", F.lit(0).alias("role"), "key", "text")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return materialize(rows.mapInArrow(_verify(width, percent), _LINKS), "links")
 
@@ -560,9 +563,10 @@ def _long_pairs(tokens: DataFrame, long: DataFrame, percent: int, nearest: int |
         F.transform(count("majors"), lambda j: cell(F.col("block"), "m", j, 0)),
     )
     major = F.transform(count("others"), lambda i: cell(i, "m", F.col("block"), 1))
-    dealt = blocks.withColumn("at", F.explode(F.when(out, minor).otherwise(major))).select("gid", "at.cell", "at.side", "key", "n", "label")
-    full = dealt.join(tokens.select("key", "tokens", "long"), "key").repartition("gid", "cell").sortWithinPartitions("gid", "cell")
-    return full.select("gid", "cell", "side", "key", "n", "label", "tokens", "long").mapInArrow(_block_pairs(percent, nearest), _PAIRS).dropDuplicates(["a", "b"])
+    # The blocks have few bytes in their file, and their rows become one for each block of their list.
+    full = shuffled(blocks).join(tokens.select("key", "tokens", "long"), "key").withColumn("at", F.explode(F.when(out, minor).otherwise(major)))
+    full = full.select("gid", "at.cell", "at.side", "key", "n", "label", "tokens", "long").repartition("gid", "cell").sortWithinPartitions("gid", "cell")
+    return full.mapInArrow(_block_pairs(percent, nearest), _PAIRS).dropDuplicates(["a", "b"])
 
 
 def _likely(lists: str, n_a: str, n_b: str, percent: int):
@@ -575,7 +579,7 @@ def _likely(lists: str, n_a: str, n_b: str, percent: int):
 def _likely_ties(ties: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """Ties by a shared subset, and those whose sets share enough lists."""
     side = lambda c: tokens.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
-    open_ = ties.filter("not sure").join(side("a"), "a").join(side("b"), "b").withColumn("lists", F.size(F.array_intersect("t_a", "t_b")))
+    open_ = ties.filter("not sure").join(shuffled(side("a")), "a").join(shuffled(side("b")), "b").withColumn("lists", F.size(F.array_intersect("t_a", "t_b")))
     return ties.filter("sure").select("a", "b").union(open_.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b"))
 
 
@@ -591,18 +595,20 @@ def connected(links: DataFrame) -> DataFrame:
     nothing changes; every round is a table in the shared folder.
     """
     edges = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    mark, n = None, edges.count()
     while True:
+        # A round has at most two rows a link in one table of minima and one in the other.
+        sized = F.broadcast if 2 * n <= MOST_BROADCAST else shuffled
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(sized(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         tops = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(tops, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        small = large.join(sized(tops), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         edges = materialize(small, "stars")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        mark = now
+        mark, n = now, now[0]
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -611,7 +617,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         sets, of_class = _components_of_sets(docs, width, percent)
         keep += [sets, of_class]
     rows = sets.filter("n is not null").select("doc_id", "n", "k1", "k2")
-    return rows.join(of_class, ["k1", "k2", "n"], "left").select(
+    return rows.join(shuffled(of_class), ["k1", "k2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -649,12 +655,12 @@ def _components_of_sets(docs: DataFrame, width: int, percent: int) -> tuple[Data
     pairs = labelled.filter(F.col("size") <= LONG_LIST).select("gid", "key", "n", "label").repartition(buckets, "gid").mapInArrow(_short_pairs(percent), _PAIRS)
     counted = pairs.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("lists").alias("lists"))
     untied = ties.select("a", "b")
-    short = materialize(counted.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b", "lists").join(untied, ["a", "b"], "left_anti"), "short")
+    short = materialize(counted.filter(_likely("lists", "n_a", "n_b", percent)).select("a", "b", "lists").join(shuffled(untied), ["a", "b"], "left_anti"), "short")
     # The best candidates first: a set that they attach to a label is not compared with all the others of it.
     either = short.select(F.col("a").alias("x"), "a", "b", "lists").union(short.select("b", "a", "b", "lists"))
     best = either.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("lists", "a", "b")).alias("p")).select("p.a", "p.b")
     listed = materialize(labelled.filter(F.col("size") > LONG_LIST), "long_lists")
-    near = _long_pairs(tokens, listed, percent, NEAREST).select("a", "b").join(untied, ["a", "b"], "left_anti")
+    near = _long_pairs(tokens, listed, percent, NEAREST).select("a", "b").join(shuffled(untied), ["a", "b"], "left_anti")
     best = materialize(best.union(near).distinct(), "best")
     second = verified(docs, best, classes, width, percent)
     tied = connected(tied.toDF("a", "b").union(second))
@@ -665,11 +671,11 @@ def _components_of_sets(docs: DataFrame, width: int, percent: int) -> tuple[Data
     apart = ~F.coalesce(F.col("label_a") == F.col("label_b"), F.lit(False))
     open_ = short.join(broadcast_if_small(side("a")), "a", "left").join(broadcast_if_small(side("b")), "b", "left").filter(apart).select("a", "b")
     long = _long_pairs(tokens, materialize(again, "relabelled"), percent).select("a", "b")
-    rest = open_.union(long).distinct().join(untied.union(best), ["a", "b"], "left_anti")
+    rest = open_.union(long).distinct().join(shuffled(untied.union(best)), ["a", "b"], "left_anti")
     third = verified(docs, materialize(rest, "rest"), classes, width, percent)
 
     components = connected(tied.toDF("a", "b").union(third))
-    of_set = materialize(classes.join(components, F.col("k1") == F.col("id"), "left").select("k1", "k2", "n", "rep", "component"), "of_set")
+    of_set = materialize(classes.join(shuffled(components), F.col("k1") == F.col("id"), "left").select("k1", "k2", "n", "rep", "component"), "of_set")
     least = materialize(of_set.filter("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("least")), "least")
     of_class = of_set.join(broadcast_if_small(least), F.col("component") == F.col("c"), "left").select("k1", "k2", "n", F.coalesce("least", "rep").alias("component"))
     return sets, materialize(of_class, "components")

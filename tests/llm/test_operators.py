@@ -741,3 +741,24 @@ def test_counting_frequent_shingles_takes_little_memory(monkeypatch):
     tracemalloc.stop()
     counted = [c for b in out for c in b.column(5).to_pylist() if c is not None]
     assert counted == [40] and peak < 90 << 20
+
+
+def test_join_broadcasts_only_counted_tables(spark, monkeypatch):
+    """Files of repeated keys are far smaller than their rows: whether a table goes to the driver is decided by its rows, never by its file."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", -1, raising=False)
+    monkeypatch.setattr(ngram_join, "broadcast_if_small", lambda df: broadcast_if_small(df, -1))
+    broadcast, put = [], ngram_join.materialize
+
+    def planned(df, name):
+        if "Broadcast" in df._jdf.queryExecution().sparkPlan().toString():
+            broadcast.append(name)
+        return put(df, name)
+
+    monkeypatch.setattr(ngram_join, "materialize", planned)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(w if rng.random() > 0.05 else f"e{rng.randrange(10**6)}" for w in base)) for i in range(300)]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert not broadcast and "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components(rows)
